@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans import apps
@@ -26,12 +28,30 @@ def conversation_records(spark: SparkSession, directory: str) -> DataFrame:
 
 def events_of(spark: SparkSession, directory: str, app: str) -> DataFrame:
     """Accepted events of an app over the event or page records."""
-    chosen = {each.name: each for each in apps.shipped_apps()}[app]
+    tune(spark)
+    chosen = apps.SHIPPED[app]()
     records = page_records if app == "url-reputation" else event_records
     return chosen.events(records(spark, directory))
 
 
-def tables_of(spark: SparkSession, directory: str, app: str) -> dict[str, DataFrame]:
-    chosen = {each.name: each for each in apps.shipped_apps()}[app]
-    records = page_records if app == "url-reputation" else event_records
-    return chosen.tables(records(spark, directory))
+class TableSource(Mapping):
+    """Tables of an app by name, each planned only when asked for."""
+
+    def __init__(self, spark: SparkSession, directory: str, app: str) -> None:
+        tune(spark)
+        self._app = apps.SHIPPED[app]()
+        records = page_records if app == "url-reputation" else event_records
+        self._records = records(spark, directory)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._app.tables(self._records, name)[name]
+
+    def __iter__(self):
+        return iter(self._app.keys)
+
+    def __len__(self) -> int:
+        return len(self._app.keys)
+
+
+def tables_of(spark: SparkSession, directory: str, app: str) -> TableSource:
+    return TableSource(spark, directory, app)

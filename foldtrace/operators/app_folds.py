@@ -33,19 +33,23 @@ def _seen(first: str, last: str) -> tuple:
     return FirstNanos(first, C(TIME)), LastNanos(last, C(TIME))
 
 
-OUTCOMES = (
-    CountIf("success_count", _is("success_state", "success")),
-    CountIf("failure_count", _is("success_state", "failure")),
-    CountIf("outcome_unknown_count", _is("success_state", "unknown")),
-)
-POSITION = LastPosition("last_source_position", C("source_position"))
+def _outcomes() -> tuple[CountIf, ...]:
+    return (
+        CountIf("success_count", _is("success_state", "success")),
+        CountIf("failure_count", _is("success_state", "failure")),
+        CountIf("outcome_unknown_count", _is("success_state", "unknown")),
+    )
+
+
+def _position() -> LastPosition:
+    return LastPosition("last_source_position", C("source_position"))
 
 
 def signal_counts() -> Fold:
     return Fold(
         "signal_counts",
         ("source", "signal", "event_name"),
-        (Count("event_count"), *_seen("first_seen_unix_nano", "last_seen_unix_nano"), POSITION),
+        (Count("event_count"), *_seen("first_seen_unix_nano", "last_seen_unix_nano"), _position()),
     )
 
 
@@ -53,7 +57,7 @@ def session_cost() -> Fold:
     return Fold(
         "session_cost",
         ("harness", "session_id"),
-        (*_sums(*USAGE), LastNanos("last_event_time_unix_nano", C(TIME)), POSITION),
+        (*_sums(*USAGE), LastNanos("last_event_time_unix_nano", C(TIME)), _position()),
     )
 
 
@@ -68,7 +72,7 @@ def session_cost_detail() -> Fold:
             EverObserved("project_coverage", C("project_coverage")),
             *_sums(*USAGE),
             *_seen("first_event_time_unix_nano", "last_event_time_unix_nano"),
-            POSITION,
+            _position(),
         ),
         columns=(
             "harness",
@@ -99,11 +103,11 @@ def event_inventory() -> Fold:
             Sum("duration_milliseconds_total", C("duration_milliseconds")),
             CountIf("duration_observed_count", _is("duration_coverage", "observed")),
             CountIf("duration_unknown_count", _is("duration_coverage", "unknown")),
-            *OUTCOMES,
+            *_outcomes(),
             CountIf("session_unknown_count", _is("session_coverage", "unknown")),
             CountIf("token_observed_count", _is("token_coverage", "observed")),
             CountIf("token_unknown_count", _is("token_coverage", "unknown")),
-            POSITION,
+            _position(),
         ),
     )
 
@@ -134,11 +138,11 @@ def session_activity() -> Fold:
             CountIf("prompt_count", _is("event_family", "user-prompt")),
             CountIf("response_count", _is("event_family", "assistant-response")),
             CountIf("request_count", C("event_family").isin("api-request", "websocket-request")),
-            *OUTCOMES,
+            *_outcomes(),
             Sum("reported_length_total", C("reported_length")),
             *_sums(*USAGE),
             Sum("unknown_field_observations", unknown_fields),
-            POSITION,
+            _position(),
         ),
     )
 
@@ -152,7 +156,7 @@ def request_performance() -> Fold:
         (
             Count("request_count"),
             *_seen("first_seen_unix_nano", "last_seen_unix_nano"),
-            *OUTCOMES,
+            *_outcomes(),
             CountIf("duration_observed_count", observed),
             CountIf("duration_unknown_count", ~observed),
             Sum("duration_milliseconds_total", F.when(observed, duration).otherwise(0)),
@@ -161,7 +165,7 @@ def request_performance() -> Fold:
                 for bound in V.LATENCY_BOUNDS
             ],
             CountIf("duration_gt_5000ms", observed & (duration > V.LATENCY_BOUNDS[-1])),
-            POSITION,
+            _position(),
         ),
         where=C("performance_event"),
     )
@@ -178,7 +182,7 @@ def daily_review() -> Fold:
             CountIf("metric_count", _is("signal", "metric")),
             Sum("tool_event_count", C("tool_event")),
             Sum("api_event_count", C("api_event")),
-            *OUTCOMES,
+            *_outcomes(),
             Sum("duration_observed_count", C("duration_observed")),
             Sum("duration_milliseconds_total", C("duration_milliseconds")),
             CountIf(
@@ -193,6 +197,6 @@ def daily_review() -> Fold:
             Sum("raw_tool_content_count", C("raw_tool_content")),
             Sum("risky_action_count", C("risky_action")),
             *_seen("first_event_time_unix_nano", "last_event_time_unix_nano"),
-            POSITION,
+            _position(),
         ),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import cache, partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from ..operators import (
 from ..operators.record_view import effective_events
 
 Tables = dict[str, DataFrame]
+Plans = dict[str, Callable[[], DataFrame]]
 
 
 @dataclass(frozen=True)
@@ -35,7 +37,7 @@ class App:
 
     name: str
     normalize: Callable[[DataFrame], DataFrame]
-    fold: Callable[[DataFrame, Mapping[str, DataFrame]], Tables]
+    fold: Callable[[DataFrame, Mapping[str, DataFrame]], Plans]
     keys: Mapping[str, tuple[str, ...]]
     append_only: frozenset[str] = field(default_factory=frozenset)
     views: Mapping[str, str] = field(default_factory=dict)
@@ -44,9 +46,10 @@ class App:
     def events(self, records: DataFrame) -> DataFrame:
         return effective_events(self.normalize(records))
 
-    def tables(self, records: DataFrame) -> Tables:
-        """All tables of a batch that starts from nothing."""
-        return self.fold(self.events(records), {})
+    def tables(self, records: DataFrame, only: str | None = None) -> Tables:
+        """Tables of a batch that starts from nothing; ``only`` plans a single one."""
+        plans = self.fold(self.events(records), {})
+        return {name: plan() for name, plan in plans.items() if only is None or name == only}
 
     def validate(self, records: DataFrame) -> dict[str, str]:
         """Check keys against analysed schemas; returns the contract digest of every export."""
@@ -64,9 +67,9 @@ def contract_digest(frame: DataFrame) -> str:
     return "sha256:" + hashlib.sha256(frame.schema.json().encode()).hexdigest()
 
 
-def _folded(*folds) -> Callable[[DataFrame, Mapping[str, DataFrame]], Tables]:
-    def run(events: DataFrame, prior: Mapping[str, DataFrame]) -> Tables:
-        return {fold.table: fold.apply(events, prior.get(fold.table)) for fold in folds}
+def _folded(*folds) -> Callable[[DataFrame, Mapping[str, DataFrame]], Plans]:
+    def run(events: DataFrame, prior: Mapping[str, DataFrame]) -> Plans:
+        return {fold.table: partial(fold.apply, events, prior.get(fold.table)) for fold in folds}
 
     return run
 
@@ -92,18 +95,18 @@ def daily_review() -> App:
 
 
 def agent_guard(chunk: int = guard_folds.runs.CHUNK_POSITIONS) -> App:
-    def run(events: DataFrame, prior: Mapping[str, DataFrame]) -> Tables:
-        progress, loops = guard_folds.session_tables(
-            events, prior.get("session_progress"), prior.get("loop_findings"), chunk
-        )
-        gaps = prior.get("policy_gaps")
+    def run(events: DataFrame, prior: Mapping[str, DataFrame]) -> Plans:
+        @cache
+        def sessions() -> tuple[DataFrame, DataFrame]:
+            return guard_folds.session_tables(events, prior.get("session_progress"), prior.get("loop_findings"), chunk)
+
         return {
-            "telemetry_coverage": guard_folds.telemetry_coverage(events, prior.get("telemetry_coverage")),
-            "session_progress": progress,
-            "policy_violations": guard_folds.policy_violations(events),
-            "policy_gaps": guard_folds.policy_gaps(events, gaps),
-            "loop_findings": loops,
-            "tool_failure_detail": guard_folds.tool_failure_detail(events),
+            "telemetry_coverage": partial(guard_folds.telemetry_coverage, events, prior.get("telemetry_coverage")),
+            "session_progress": lambda: sessions()[0],
+            "policy_violations": partial(guard_folds.policy_violations, events),
+            "policy_gaps": partial(guard_folds.policy_gaps, events, prior.get("policy_gaps")),
+            "loop_findings": lambda: sessions()[1],
+            "tool_failure_detail": partial(guard_folds.tool_failure_detail, events),
         }
 
     findings = "SELECT * FROM policy_violations UNION ALL SELECT * FROM policy_gaps"
@@ -128,12 +131,12 @@ def url_reputation(namespace: str = normalize_url.DEFAULT_NAMESPACE, keep_prior_
     observations = url_folds.url_observations(keep_prior_on_null)
     counts = url_folds.url_family_counts()
 
-    def run(events: DataFrame, prior: Mapping[str, DataFrame]) -> Tables:
+    def run(events: DataFrame, prior: Mapping[str, DataFrame]) -> Plans:
         return {
-            observations.table: observations.apply(events, prior.get(observations.table)),
-            "url_exclusions": url_folds.url_exclusions(events, prior.get("url_exclusions")),
-            "url_verdicts": url_folds.url_verdicts(events, prior.get("url_verdicts")),
-            counts.table: counts.apply(events, prior.get(counts.table)),
+            observations.table: partial(observations.apply, events, prior.get(observations.table)),
+            "url_exclusions": partial(url_folds.url_exclusions, events, prior.get("url_exclusions")),
+            "url_verdicts": partial(url_folds.url_verdicts, events, prior.get("url_verdicts")),
+            counts.table: partial(counts.apply, events, prior.get(counts.table)),
         }
 
     return App(
@@ -149,5 +152,15 @@ def url_reputation(namespace: str = normalize_url.DEFAULT_NAMESPACE, keep_prior_
     )
 
 
+SHIPPED = {
+    "signal-counts": signal_counts,
+    "session-cost": session_cost,
+    "activity-stats": activity_stats,
+    "daily-review": daily_review,
+    "agent-guard": agent_guard,
+    "url-reputation": url_reputation,
+}
+
+
 def shipped_apps() -> list[App]:
-    return [signal_counts(), session_cost(), activity_stats(), daily_review(), agent_guard(), url_reputation()]
+    return [build() for build in SHIPPED.values()]

@@ -27,132 +27,118 @@ def _typed_struct(values: dict[str, Column]) -> Column:
 
 def event_parts(events: DataFrame) -> DataFrame:
     """The derived quantities of the event rule, as columns next to the event."""
-    user, k = C("user_id"), C("k")
-    slot = user % 4
-    tool_like = C("event_type").isin("click", "error")
-    staged = events.withColumn("k", F.get_json_object("props", "$.k").cast("bigint")).withColumns(
-        {
-            "micros": F.unix_micros(C("ts").cast("timestamp")),
-            "slot": slot,
-            "cents": F.floor(C("value") * 100),
-            "is_tool": tool_like,
-        }
+    staged = events.selectExpr(
+        "event_id",
+        "user_id",
+        "event_type",
+        "value",
+        "CAST(get_json_object(props, '$.k') AS BIGINT) AS k",
+        "unix_micros(CAST(ts AS TIMESTAMP)) AS micros",
+        "user_id % 4 AS slot",
+        "event_type IN ('click', 'error') AS is_tool",
+        "event_type = 'error' AS failed",
+        "user_id % 7 = 0 AS calm",
     )
-    kind = (
-        F.when(C("is_tool"), "tool_result")
-        .when(C("event_type") == "view", "user_prompt")
-        .when((C("event_type") == "purchase") & (k % 9 == 0), "websocket_request")
-        .when(C("event_type") == "purchase", "api_request")
-        .when(k % 3 == 0, "assistant_response")
-        .when(k % 3 == 1, "turn_ttft")
-        .when(C("slot") == 1, "sse_event")
-        .otherwise("other")
+    return staged.selectExpr(
+        "*",
+        """CASE WHEN is_tool THEN 'tool_result' WHEN event_type = 'view' THEN 'user_prompt'
+             WHEN event_type = 'purchase' AND k % 9 = 0 THEN 'websocket_request'
+             WHEN event_type = 'purchase' THEN 'api_request'
+             WHEN k % 3 = 0 THEN 'assistant_response' WHEN k % 3 = 1 THEN 'turn_ttft'
+             WHEN slot = 1 THEN 'sse_event' ELSE 'other' END AS kind""",
     )
-    return staged.withColumn("kind", kind)
 
 
-def events_as_records(events: DataFrame) -> DataFrame:
-    """``events`` rows as canonical records of four sources in three signals."""
-    parts = event_parts(events)
-    k, user, event = C("k"), C("user_id"), C("event_id")
-    claude, codex, opencode, plain = (C("slot") == i for i in range(4))
-    kind = C("kind")
-    prefix = F.when(claude, "claude_code.").when(codex, "codex.").when(opencode, "opencode.").otherwise("agent.")
-    full_name = (
-        F.when(kind == "other", F.lit("other.event"))
-        .when(opencode & C("is_tool"), F.lit("opencode.tool.execute.after"))
-        .otherwise(F.concat(prefix, kind))
-    )
-    nanos = F.when(event % 97 != 0, (C("micros") * 1000).cast("string"))
-    session = F.when(event % 17 != 0, F.concat(F.lit("s"), user.cast("string")))
-    calm = user % 7 == 0
-    tool = F.when(calm, "read").otherwise(
-        F.element_at(
-            F.array(*[F.lit(x) for x in ("bash", "read", "grep", "write", "dangerous_shell", None)]),
-            (k % 6 + 1).cast("int"),
-        )
-    )
-    target = F.when(calm, "/workspace/a").otherwise(
-        F.element_at(
-            F.array(*[F.lit(x) for x in ("/workspace/a", "/workspace/b", "/outside/x", "<redacted>", None)]),
-            (k % 5 + 1).cast("int"),
-        )
-    )
-    is_tool = C("is_tool")
-    api = kind.isin("api_request", "websocket_request")
-    counted = ((kind == "api_request") & (k % 12 != 5)) | (kind == "sse_event")
-    timed = (is_tool | api) & (k % 10 != 9)
-    duration = F.floor(C("value") * 20)
-    failed = C("event_type") == "error"
-    day = F.floor(C("micros") / F.lit(86400000000)).cast("bigint")
-    progress = F.when((user % 5 == 0) & (event % 4 != 0), F.concat(F.lit("p"), F.floor(day / 6).cast("string"))).when(
-        (user % 5 == 0) & (event % 8 == 0), "<redacted>"
+# Attribute expressions over the event parts; NULL means the record lacks the attribute.
+EVENT_ATTRIBUTES = {
+    "event.name": "CASE slot WHEN 0 THEN kind WHEN 1 THEN full_name END",
+    "session.id": "CASE WHEN slot IN (0, 3) THEN session END",
+    "conversation.id": "CASE WHEN slot = 1 THEN session END",
+    "session_id": "CASE WHEN slot = 2 THEN session END",
+    "tool_name": "CASE WHEN slot = 0 THEN upper(tool) ELSE tool END",
+    "target": "target",
+    "operation_kind": "CASE WHEN is_tool AND k % 23 = 0 THEN 'destructive' END",
+    "success": "CASE WHEN failed THEN false WHEN event_type = 'click' AND k % 7 <> 0 THEN true END",
+    "status_code": "CAST(CASE WHEN api THEN CASE k % 5 WHEN 0 THEN 200 WHEN 1 THEN 404 WHEN 2 THEN 500 END END AS BIGINT)",
+    "status": "CASE WHEN api AND k % 5 = 3 THEN 'OK' END",
+    "duration_ms": "CASE WHEN timed AND slot <> 1 THEN duration END",
+    "latency_ms": "CASE WHEN timed AND slot = 1 THEN duration END",
+    "ttft_ms": "CASE WHEN kind = 'turn_ttft' THEN duration END",
+    "endpoint": "CASE WHEN api THEN CASE k % 4 WHEN 0 THEN '/v1/responses' WHEN 1 THEN 'chat/completions' WHEN 2 THEN '/v1/other' END END",
+    "input_tokens": "CASE WHEN counted AND slot <> 1 THEN k END",
+    "input_token_count": "CASE WHEN counted AND slot = 1 THEN k END",
+    "output_tokens": "CASE WHEN counted AND slot <> 1 THEN k % 13 END",
+    "output_token_count": "CASE WHEN counted AND slot = 1 THEN k % 13 END",
+    "cache_read_tokens": "CASE WHEN counted AND slot = 0 THEN k * 2 END",
+    "cached_token_count": "CASE WHEN counted AND slot = 1 THEN k END",
+    "reasoning_tokens": "CASE WHEN counted AND slot = 2 THEN k % 5 END",
+    "reasoning_token_count": "CASE WHEN counted AND slot = 1 THEN k % 3 END",
+    "cost_microusd": "CASE WHEN counted AND slot IN (0, 3) THEN floor(value * 100) END",
+    "cost_usd": "CASE WHEN counted AND slot = 2 THEN value / 1000 END",
+    "prompt_length": "CASE WHEN kind = 'user_prompt' THEN k * 3 END",
+    "response_length": "CASE WHEN kind = 'assistant_response' AND k % 11 <> 0 THEN k * 7 END",
+    "model": "CASE WHEN slot <> 2 THEN model END",
+    "gen_ai.request.model": "CASE WHEN slot = 2 THEN model END",
+    "project": "CASE WHEN slot = 0 THEN project END",
+    "cwd": "CASE WHEN slot <> 0 THEN project END",
+    "progress_fingerprint": "progress",
+    "full_command": "CASE WHEN failed AND k % 3 = 0 THEN concat('run ', k) END",
+    "arguments": "CASE WHEN failed AND k % 4 = 0 THEN concat('args ', k) END",
+    "error.message": "CASE WHEN failed AND k % 2 = 0 THEN concat('failed ', k) END",
+    "user.email": "CASE WHEN user_id % 10 = 0 THEN 'person@example.com' END",
+    "auth_mode": "CASE WHEN user_id % 10 = 1 THEN 'token' END",
+    "prompt": "CASE WHEN kind = 'user_prompt' AND k % 2 = 0 THEN 'text' END",
+}
+EVENT_RESOURCE = {
+    "service.name": "source",
+    "service.instance.id": "CASE WHEN slot = 2 AND event_id % 17 = 0 THEN concat('i', user_id % 3) END",
+}
+
+
+def _struct_text(fields: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {text}" for name, text in fields.items()) + ")"
+
+
+def events_as_records(events: DataFrame, attributes: dict[str, str] | None = None) -> DataFrame:
+    """``events`` rows as canonical records of four sources in three signals.
+
+    ``attributes`` overrides or adds attribute expressions.
+    """
+    staged = event_parts(events).selectExpr(
+        "*",
+        """CASE WHEN kind = 'other' THEN 'other.event' WHEN slot = 2 AND is_tool THEN 'opencode.tool.execute.after'
+             ELSE concat(element_at(array('claude_code.', 'codex.', 'opencode.', 'agent.'), CAST(slot + 1 AS INT)), kind) END AS full_name""",
+        "element_at(array('claude-code', 'codex_exec', 'opencode', 'demo-agent'), CAST(slot + 1 AS INT)) AS source",
+        "CASE WHEN event_id % 97 <> 0 THEN CAST(micros * 1000 AS STRING) END AS nanos",
+        "CASE WHEN event_id % 17 <> 0 THEN concat('s', user_id) END AS session",
+        """CASE WHEN NOT is_tool THEN NULL WHEN calm THEN 'read' ELSE
+             CASE k % 6 WHEN 0 THEN 'bash' WHEN 1 THEN 'read' WHEN 2 THEN 'grep' WHEN 3 THEN 'write' WHEN 4 THEN 'dangerous_shell' END END AS tool""",
+        """CASE WHEN NOT is_tool THEN NULL WHEN calm THEN '/workspace/a' ELSE
+             CASE k % 5 WHEN 0 THEN '/workspace/a' WHEN 1 THEN '/workspace/b' WHEN 2 THEN '/outside/x' WHEN 3 THEN '<redacted>' END END AS target""",
+        """CASE WHEN NOT is_tool THEN NULL
+             WHEN user_id % 5 = 0 AND event_id % 4 <> 0 THEN concat('p', micros div 86400000000 div 6)
+             WHEN user_id % 5 = 0 AND event_id % 8 = 0 THEN '<redacted>' END AS progress""",
+        "kind IN ('api_request', 'websocket_request') AS api",
+        "(kind = 'api_request' AND k % 12 <> 5) OR kind = 'sse_event' AS counted",
+        "(is_tool OR kind IN ('api_request', 'websocket_request')) AND k % 10 <> 9 AS timed",
+        "floor(value * 20) AS duration",
+        "CASE WHEN k % 11 <> 0 THEN concat('m', user_id % 3) END AS model",
+        "CASE WHEN k % 8 <> 3 THEN concat('/w/', user_id % 5) END AS project",
     )
-    model = F.when(k % 11 != 0, F.concat(F.lit("m"), (user % 3).cast("string")))
-    project = F.when(k % 8 != 3, F.concat(F.lit("/w/"), (user % 5).cast("string")))
-    attributes = {
-        "event.name": F.when(claude, kind).when(codex, full_name),
-        "session.id": F.when(claude | plain, session),
-        "conversation.id": F.when(codex, session),
-        "session_id": F.when(opencode, session),
-        "tool_name": F.when(is_tool, F.when(claude, F.upper(tool)).otherwise(tool)),
-        "target": F.when(is_tool, target),
-        "operation_kind": F.when(is_tool & (k % 23 == 0), "destructive"),
-        "success": F.when(failed, False).when((C("event_type") == "click") & (k % 7 != 0), True),
-        "status_code": F.when(api, F.when(k % 5 == 0, 200).when(k % 5 == 1, 404).when(k % 5 == 2, 500)).cast("bigint"),
-        "status": F.when(api & (k % 5 == 3), "OK"),
-        "duration_ms": F.when(timed & ~codex, duration),
-        "latency_ms": F.when(timed & codex, duration),
-        "ttft_ms": F.when(kind == "turn_ttft", duration),
-        "endpoint": F.when(
-            api, F.when(k % 4 == 0, "/v1/responses").when(k % 4 == 1, "chat/completions").when(k % 4 == 2, "/v1/other")
-        ),
-        "input_tokens": F.when(counted & ~codex, k),
-        "input_token_count": F.when(counted & codex, k),
-        "output_tokens": F.when(counted & ~codex, k % 13),
-        "output_token_count": F.when(counted & codex, k % 13),
-        "cache_read_tokens": F.when(counted & claude, k * 2),
-        "cached_token_count": F.when(counted & codex, k),
-        "reasoning_tokens": F.when(counted & opencode, k % 5),
-        "reasoning_token_count": F.when(counted & codex, k % 3),
-        "cost_microusd": F.when(counted & (claude | plain), C("cents")),
-        "cost_usd": F.when(counted & opencode, C("value") / 1000),
-        "prompt_length": F.when(kind == "user_prompt", k * 3),
-        "response_length": F.when((kind == "assistant_response") & (k % 11 != 0), k * 7),
-        "model": F.when(~opencode, model),
-        "gen_ai.request.model": F.when(opencode, model),
-        "project": F.when(claude, project),
-        "cwd": F.when(~claude, project),
-        "progress_fingerprint": F.when(is_tool, progress),
-        "full_command": F.when(failed & (k % 3 == 0), F.concat(F.lit("run "), k.cast("string"))),
-        "arguments": F.when(failed & (k % 4 == 0), F.concat(F.lit("args "), k.cast("string"))),
-        "error.message": F.when(failed & (k % 2 == 0), F.concat(F.lit("failed "), k.cast("string"))),
-        "user.email": F.when(user % 10 == 0, F.lit("person@example.com")),
-        "auth_mode": F.when(user % 10 == 1, F.lit("token")),
-        "prompt": F.when((kind == "user_prompt") & (k % 2 == 0), F.lit("text")),
+    record = {
+        "position": "event_id + 1",
+        "event_id": "concat('local:', event_id + 1)",
+        "signal": "CASE event_id % 10 WHEN 8 THEN 'span' WHEN 9 THEN 'metric' ELSE 'log' END",
+        "name": "CASE slot WHEN 0 THEN kind WHEN 1 THEN 'event callsite' ELSE full_name END",
+        "source": "source",
+        "time_unix_nano": "CASE WHEN slot <> 1 THEN nanos END",
+        "observed_unix_nano": "nanos",
+        "content_digest": "concat('sha256:', sha2(CAST(event_id AS STRING), 256))",
+        "body": "CASE WHEN slot = 0 THEN full_name END",
+        "attributes": _struct_text({**EVENT_ATTRIBUTES, **(attributes or {})}),
+        "resource_attributes": _struct_text(EVENT_RESOURCE),
     }
-    source = F.when(claude, "claude-code").when(codex, "codex_exec").when(opencode, "opencode").otherwise("demo-agent")
-    return emit(
-        parts,
-        (event + 1).alias("position"),
-        F.concat(F.lit("local:"), (event + 1).cast("string")).alias("event_id"),
-        F.when(event % 10 == 8, "span").when(event % 10 == 9, "metric").otherwise("log").alias("signal"),
-        F.when(claude, kind).when(codex, "event callsite").otherwise(full_name).alias("name"),
-        source.alias("source"),
-        F.when(~codex, nanos).alias("time_unix_nano"),
-        nanos.alias("observed_unix_nano"),
-        F.concat(F.lit("sha256:"), F.sha2(event.cast("string"), 256)).alias("content_digest"),
-        F.when(claude, full_name).alias("body"),
-        _typed_struct(attributes).alias("attributes"),
-        _typed_struct(
-            {
-                "service.name": source,
-                "service.instance.id": F.when(
-                    opencode & (event % 17 == 0), F.concat(F.lit("i"), (user % 3).cast("string"))
-                ),
-            }
-        ).alias("resource_attributes"),
-    )
+    return staged.selectExpr(f"{_struct_text(record)} AS _record").selectExpr("inline(array(_record))")
 
 
 def conversations_as_records(conversations: DataFrame) -> DataFrame:
