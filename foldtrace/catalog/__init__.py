@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("folded",)
+GROUPS = ("folded", "normalized", "relational")
 
 
 def all_queries() -> dict:
