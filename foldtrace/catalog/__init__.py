@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("folded", "normalized", "relational")
+GROUPS = ("folded", "normalized", "relational", "ingest")
 
 
 def all_queries() -> dict:

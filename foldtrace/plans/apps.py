@@ -42,6 +42,8 @@ class App:
     append_only: frozenset[str] = field(default_factory=frozenset)
     views: Mapping[str, str] = field(default_factory=dict)
     revision: str = "1"
+    # Totals that must never be negative: table -> ((total column, event column), ...).
+    non_negative: Mapping[str, tuple[tuple[str, str], ...]] = field(default_factory=dict)
 
     def events(self, records: DataFrame) -> DataFrame:
         return effective_events(self.normalize(records))
@@ -86,7 +88,16 @@ def session_cost() -> App:
 
 def activity_stats() -> App:
     folds = (app_folds.event_inventory(), app_folds.session_activity(), app_folds.request_performance())
-    return App("activity-stats", normalize_activity.normalize, _folded(*folds), {f.table: f.keys for f in folds})
+    usage = tuple((name, name) for name in app_folds.USAGE)
+    length = ("reported_length_total", "reported_length")
+    duration = ("duration_milliseconds_total", "duration_milliseconds")
+    return App(
+        "activity-stats",
+        normalize_activity.normalize,
+        _folded(*folds),
+        {f.table: f.keys for f in folds},
+        non_negative={"event_inventory": (length, duration), "session_activity": (length, *usage)},
+    )
 
 
 def daily_review() -> App:

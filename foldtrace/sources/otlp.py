@@ -44,6 +44,20 @@ GROUPS = {
 KEY_VALUES = "array<struct<key: string, value: variant>>"
 
 
+def stream_requests(spark: SparkSession, path: str, signal: str) -> DataFrame:
+    """The same as a stream of arriving files; lines are numbered inside each micro-batch."""
+    return spark.readStream.text(path).select(
+        C("_metadata.file_path").alias("request_block"), F.lit(signal).alias("signal"), C("value").alias("body")
+    )
+
+
+def numbered(requests: DataFrame) -> DataFrame:
+    """Requests with ``request_line``, by their order in the input splits when they have none."""
+    if "request_line" in requests.columns:
+        return requests
+    return requests.withColumn("request_line", F.monotonically_increasing_id())
+
+
 def read_requests(spark: SparkSession, path: str, signal: str) -> DataFrame:
     """One request per line of text files; gzip is read as it is.
 
