@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("folded", "normalized", "relational", "ingest")
+GROUPS = ("folded", "normalized", "relational", "ingest", "stateful")
 
 
 def all_queries() -> dict:

@@ -17,16 +17,20 @@ ORACLE: dict[str, str] = {}
 PER_REQUEST = 50
 
 # One request holds 50 events. Every 7th is cut off, every 11th repeats an attribute key.
-ATTRIBUTES = """array(
-  named_struct('key', 'session.id', 'value', named_struct('stringValue', concat('s', user_id))),
-  named_struct('key', 'event.name', 'value', named_struct('stringValue', event_type)),
-  named_struct('key', 'k', 'value', named_struct('intValue', get_json_object(props, '$.k'))),
-  named_struct('key', 'big', 'value', named_struct('intValue', CAST(event_id * 3000000000000 AS STRING))),
-  named_struct('key', 'value', 'value', named_struct('doubleValue', value)),
-  named_struct('key', 'odd', 'value', named_struct('boolValue', event_id % 2 = 1)),
-  named_struct('key', 'pair', 'value', named_struct('arrayValue', named_struct('values', array(
-    named_struct('intValue', CAST(user_id AS STRING)), named_struct('intValue', '7'))))),
-  named_struct('key', IF(event_id div 50 % 11 = 5 AND event_id % 50 = 9, 'k', 'bytes'), 'value', named_struct('bytesValue', base64(CAST(event_type AS BINARY)))))"""
+_VALUES = {
+    "'session.id'": "named_struct('stringValue', concat('s', user_id))",
+    "'event.name'": "named_struct('stringValue', event_type)",
+    "'k'": "named_struct('intValue', get_json_object(props, '$.k'))",
+    "'big'": "named_struct('intValue', CAST(event_id * 3000000000000 AS STRING))",
+    "'value'": "named_struct('doubleValue', value)",
+    "'odd'": "named_struct('boolValue', event_id % 2 = 1)",
+    "'pair'": "named_struct('arrayValue', named_struct('values', array(named_struct('intValue', CAST(user_id AS STRING)), "
+    "named_struct('intValue', '7'))))",
+    "IF(event_id div 50 % 11 = 5 AND event_id % 50 = 9, 'k', 'bytes')": "named_struct('bytesValue', base64(CAST(event_type AS BINARY)))",
+}
+ATTRIBUTES = (
+    "array(" + ", ".join(f"named_struct('key', {key}, 'value', to_variant_object({value}))" for key, value in _VALUES.items()) + ")"
+)
 NANOS = "CAST(unix_micros(CAST(ts AS TIMESTAMP)) * 1000 AS STRING)"
 ITEMS = {
     "log": (
@@ -51,7 +55,7 @@ ITEMS = {
         "IF(event_id % 2 = 0, to_json(named_struct('name', event_type, 'unit', 'u', 'sum', named_struct('aggregationTemporality', 2, 'isMonotonic', true, "
         f"'dataPoints', array(named_struct('timeUnixNano', {NANOS}, 'asInt', '1', 'attributes', attributes))))), "
         "to_json(named_struct('name', event_type, 'gauge', named_struct('dataPoints', array("
-        f"named_struct('timeUnixNano', {NANOS}, 'asDouble', value, 'attributes', attributes), named_struct('timeUnixNano', '0', 'asDouble', 0.5D))))))",
+        f"named_struct('timeUnixNano', {NANOS}, 'asDouble', value, 'attributes', attributes), named_struct('timeUnixNano', '0', 'asDouble', 0.5D, 'attributes', slice(attributes, 1, 0)))))))",
     ),
 }
 

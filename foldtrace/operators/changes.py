@@ -71,19 +71,12 @@ def previous_value(
 def apply_changes(changes: DataFrame, keys: Sequence[str], prior: DataFrame | None = None) -> DataFrame:
     """Table after ordered changes: the latest change of a key decides, a delete removes it."""
     values = [name for name in changes.columns if name not in ("op", "position", "ordinal", "step")]
-    rows = changes.select(*values, change_order().alias("_order"), (C("op") != "delete").alias("_kept"))
+    rows = changes.select(*values, (C("op") != "delete").alias("_kept"), change_order().alias("_at"))
     older = None
     if prior is not None:
-        older = prior.select(*values).withColumn("_kept", F.lit(True))
-    latest = latest_rows(rows.drop("_order").withColumn("_at", rows["_order"]), keys, C("_at"), _with_null(older, rows))
-    return latest.where("_kept").select(*values)
-
-
-def _with_null(older: DataFrame | None, rows: DataFrame) -> DataFrame | None:
-    if older is None:
-        return None
-    kind = dict(rows.dtypes)["_order"]
-    return older.withColumn("_at", F.lit(None).cast(kind))
+        never = F.lit(None).cast(rows.schema["_at"].dataType)
+        older = prior.select(*values, F.lit(True).alias("_kept"), never.alias("_at"))
+    return latest_rows(rows, keys, C("_at"), older).where("_kept").select(*values)
 
 
 def insert_conflicts(changes: DataFrame, keys: Sequence[str], prior: DataFrame | None = None, chunk: int = CHUNK_POSITIONS) -> DataFrame:
@@ -149,14 +142,29 @@ def many_read(
         "_rank", F.row_number().over(Window.partitionBy(*names, "_chunk").orderBy("_value"))
     )
     tops = ranked.where(C("_rank") <= limit).select(*names, "_chunk", "_value")
-    chunks = merged.select(*names, "_chunk").distinct()
-    earlier = tops.withColumnRenamed("_chunk", "_from")
-    pairs = chunks.join(earlier, names).where(C("_from") < C("_chunk"))
+    starts = merged.select(*names, "_chunk").distinct().withColumns({"_value": F.lit(None).cast(dict(rows.dtypes)["_value"]), "_kind": F.lit(0)})
+    entries = starts.unionByName(tops.withColumn("_kind", F.lit(1)))
+    carry_schema = T.StructType(
+        [*[merged.schema[name] for name in names], merged.schema["_chunk"], T.StructField("_carry", T.ArrayType(merged.schema["_value"].dataType))]
+    )
+
+    def carry_forward(batches):
+        """One ordered pass over the chunk tops of each key, holding ``limit`` values."""
+        current, held = None, []
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                key = tuple(row[name] for name in names)
+                if key != current:
+                    current, held = key, []
+                if row["_kind"] == 0:
+                    out.append({**dict(zip(names, key)), "_chunk": row["_chunk"], "_carry": list(held)})
+                else:
+                    held = sorted([*held, row["_value"]])[:limit]
+            yield pd.DataFrame(out, columns=[*names, "_chunk", "_carry"])
+
     carry = (
-        pairs.withColumn("_rank", F.row_number().over(Window.partitionBy(*names, "_chunk").orderBy("_value")))
-        .where(C("_rank") <= limit)
-        .groupBy(*names, "_chunk")
-        .agg(F.array_sort(F.collect_list("_value")).alias("_carry"))
+        entries.repartition(*names).sortWithinPartitions(*names, "_chunk", "_kind").mapInPandas(carry_forward, carry_schema)
     )
     value_type = merged.schema["_value"].dataType
     key_fields = [merged.schema[name] for name in names]
