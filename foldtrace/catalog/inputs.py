@@ -13,17 +13,17 @@ from ..sources import tables
 
 def event_records(spark: SparkSession, directory: str) -> DataFrame:
     tune(spark)
-    return tables.events_as_records(tables.read_table(spark, directory, "events"))
+    return tables.events_as_records(tables.spread(tables.read_table(spark, directory, "events")))
 
 
 def page_records(spark: SparkSession, directory: str) -> DataFrame:
     tune(spark)
-    return tables.pages_as_url_records(tables.read_table(spark, directory, "pages"))
+    return tables.pages_as_url_records(tables.spread(tables.read_table(spark, directory, "pages")))
 
 
 def conversation_records(spark: SparkSession, directory: str) -> DataFrame:
     tune(spark)
-    return tables.conversations_as_records(tables.read_table(spark, directory, "conversations"))
+    return tables.conversations_as_records(tables.spread(tables.read_table(spark, directory, "conversations")))
 
 
 def events_of(spark: SparkSession, directory: str, app: str) -> DataFrame:

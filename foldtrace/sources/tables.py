@@ -16,6 +16,16 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Spread a scan of fewer splits than cores over all cores.
+
+    Normalizing costs far more than moving the few columns of a small input.  A large
+    input has more splits than cores and is left as it is, without a shuffle.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def emit(frame: DataFrame, *columns: Column) -> DataFrame:
     """One record per row, as generator output: each derived column is computed once."""
     return frame.select(F.struct(*columns).alias("_record")).select(F.inline(F.array(F.col("_record"))))
