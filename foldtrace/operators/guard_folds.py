@@ -202,8 +202,19 @@ def session_tables(
     chunk: int = runs.CHUNK_POSITIONS,
 ) -> tuple[DataFrame, DataFrame]:
     """``session_progress`` and ``loop_findings`` from one pass of chunk states."""
-    states = runs.chunk_states(events, chunk)
-    carry = runs.carry_over(runs.chunk_summaries(states), prior_progress)
+    shared = ("tool_coverage", "target_coverage", "coverage_reason")
+    kept = [
+        "harness",
+        "session_id",
+        "source_position",
+        "event_time_unix_nano",
+        "action_fingerprint",
+        "progress_fingerprint",
+        "progress_coverage",
+        "success",
+    ]
+    states = runs.chunk_states(events.select(*kept, *shared), chunk)
+    carry = runs.carry_over(runs.chunk_summaries(states, shared), prior_progress)
     loops = latest_rows(
         loop_rows(runs.event_counters(states, carry)), ["finding_id"], C("source_position"), prior_loops
     )

@@ -100,11 +100,15 @@ SUMMARY = (
 )
 
 
-def chunk_summaries(states: DataFrame) -> DataFrame:
-    """Last state of every chunk; the grouping keys are the partitioning already in place."""
+def chunk_summaries(states: DataFrame, shared: tuple[str, ...] = ()) -> DataFrame:
+    """Last state of every chunk; the grouping keys are the partitioning already in place.
+
+    ``shared`` names event columns another branch over the same states reads.  Carrying
+    them here gives both branches the same shuffle, which Spark then runs once.
+    """
     return (
         states.groupBy(*SESSION, "_chunk")
-        .agg(F.max_by(F.struct(*SUMMARY), "source_position").alias("_s"))
+        .agg(F.max_by(F.struct(*SUMMARY, *shared), "source_position").alias("_s"))
         .select(*SESSION, "_chunk", *[C(f"_s.{name}").alias(name) for name in SUMMARY])
     )
 
