@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 RUNTIME_SETTINGS = {
-    # Recording the Python call site of every column call makes wide plans slow to build.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -15,6 +13,12 @@ RUNTIME_SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+# Static: only a new session can take them.
+STARTUP_SETTINGS = {
+    # Recording the Python call site of every column call makes wide plans slow to build.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
@@ -33,6 +37,6 @@ def local_session(cores: str = "*", memory: str = "8g", partitions: int = 8, **e
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
-    for key, value in {**RUNTIME_SETTINGS, **extra}.items():
+    for key, value in {**RUNTIME_SETTINGS, **STARTUP_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
