@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, quality_rules, url_filters
+from . import chat, mixing, quality_rules, substring_dedup, url_filters
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op1_chat_formatting(spark: SparkSession, directory: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns.unionByName(probe)))
 
 
+def op2_substring_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    return substring_dedup.dedup_words(table(spark, directory, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, directory: str) -> DataFrame:
     return mixing.mix(table(spark, directory, "documents"))
 
@@ -30,10 +34,11 @@ def op9_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
     return quality_rules.measure(table(spark, directory, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_source_mixing, op8_url_filters, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_substring_dedup, op4_source_mixing, op8_url_filters, op9_quality_rules)}
 
 ORACLE = {
     "op1_chat_formatting": chat.oracle(),
+    "op2_substring_dedup": substring_dedup.oracle(),
     "op4_source_mixing": mixing.oracle(),
     "op8_url_filters": url_filters.oracle(),
     "op9_quality_rules": quality_rules.oracle(),
