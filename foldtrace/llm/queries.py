@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, quality_rules, substring_dedup, url_filters
+from . import chat, mixing, quality_rules, substring_dedup, suffix_dedup, url_filters
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op4_source_mixing(spark: SparkSession, directory: str) -> DataFrame:
     return mixing.mix(table(spark, directory, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    return suffix_dedup.dedup_bytes(table(spark, directory, "documents"))
+
+
 def op8_url_filters(spark: SparkSession, directory: str) -> DataFrame:
     pages = table(spark, directory, "pages")
     return url_filters.filter_urls(pages, url_filters.page_outcomes(pages, table(spark, directory, "labels")))
@@ -34,7 +38,7 @@ def op9_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
     return quality_rules.measure(table(spark, directory, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_substring_dedup, op4_source_mixing, op8_url_filters, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_substring_dedup, op4_source_mixing, op5_suffix_array_dedup, op8_url_filters, op9_quality_rules)}
 
 ORACLE = {
     "op1_chat_formatting": chat.oracle(),
