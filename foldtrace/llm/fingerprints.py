@@ -59,12 +59,15 @@ def blocks(offsets: np.ndarray, size: int):
         first = last
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray):
-    """Starts and ends of the words of consecutive texts, and the first word of each text."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = IS_SPACE):
+    """Starts and ends of the words of consecutive texts, and the first word of each text.
+
+    ``gap`` tells which byte values stand between words.
+    """
     if not len(data):
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(len(offsets), dtype=np.int64)
-    letter = ~IS_SPACE[data]
+    letter = ~gap[data]
     fresh = np.ones(len(data), dtype=bool)
     fresh[1:] = ~letter[:-1]
     inner = offsets[(offsets > 0) & (offsets < len(data))]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, quality_rules, substring_dedup, suffix_dedup, url_filters
+from . import chat, decontaminate, mixing, quality_rules, substring_dedup, suffix_dedup, url_filters
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op5_suffix_array_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return suffix_dedup.dedup_bytes(table(spark, directory, "documents"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, directory: str) -> DataFrame:
+    return decontaminate.judge(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
 def op8_url_filters(spark: SparkSession, directory: str) -> DataFrame:
     pages = table(spark, directory, "pages")
     return url_filters.filter_urls(pages, url_filters.page_outcomes(pages, table(spark, directory, "labels")))
@@ -38,12 +42,13 @@ def op9_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
     return quality_rules.measure(table(spark, directory, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_substring_dedup, op4_source_mixing, op5_suffix_array_dedup, op8_url_filters, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_substring_dedup, op4_source_mixing, op5_suffix_array_dedup, op7_benchmark_decontamination, op8_url_filters, op9_quality_rules)}
 
 ORACLE = {
     "op1_chat_formatting": chat.oracle(),
     "op2_substring_dedup": substring_dedup.oracle(),
     "op4_source_mixing": mixing.oracle(),
+    "op7_benchmark_decontamination": decontaminate.oracle(),
     "op8_url_filters": url_filters.oracle(),
     "op9_quality_rules": quality_rules.oracle(),
 }
