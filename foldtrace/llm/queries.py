@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, quality_rules, substring_dedup, suffix_dedup, url_filters
+from . import chat, decontaminate, jaccard_join, mixing, quality_rules, substring_dedup, suffix_dedup, url_filters
 from .common import table
 
 
@@ -42,7 +42,11 @@ def op9_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
     return quality_rules.measure(table(spark, directory, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_substring_dedup, op4_source_mixing, op5_suffix_array_dedup, op7_benchmark_decontamination, op8_url_filters, op9_quality_rules)}
+def op10_ngram_jaccard_join(spark: SparkSession, directory: str) -> DataFrame:
+    return jaccard_join.join_components(table(spark, directory, "documents"), width=4, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_substring_dedup, op4_source_mixing, op5_suffix_array_dedup, op7_benchmark_decontamination, op8_url_filters, op9_quality_rules, op10_ngram_jaccard_join)}
 
 ORACLE = {
     "op1_chat_formatting": chat.oracle(),
@@ -51,4 +55,5 @@ ORACLE = {
     "op7_benchmark_decontamination": decontaminate.oracle(),
     "op8_url_filters": url_filters.oracle(),
     "op9_quality_rules": quality_rules.oracle(),
+    "op10_ngram_jaccard_join": jaccard_join.oracle(4, 85),
 }
