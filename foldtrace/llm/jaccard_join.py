@@ -373,8 +373,8 @@ WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({lower}, '[^\x20\x09-\x0D
 g AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(list_transform(range(1, greatest(2, len(ws) - {width - 2})),
         lambda i: array_to_string(ws[i:i + {width - 1}], ' '))) AS g FROM w WHERE len(ws) > 0)),
 n AS (SELECT doc_id, count(*)::BIGINT AS n FROM g GROUP BY 1),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= {percent} * (x.n + y.n - both)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= {percent} * (x.n + y.n - common)),
 r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
 c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY 1)
 SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM w JOIN c ON c.node = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id

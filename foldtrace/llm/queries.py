@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard_join, mixing, quality_rules, substring_dedup, suffix_dedup, url_filters
+from . import chat, decontaminate, jaccard_join, mixing, quality_rules, substring_dedup, suffix_dedup, url_filters, warc
 from .common import table
 
 
@@ -29,6 +29,13 @@ def op5_suffix_array_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return suffix_dedup.dedup_bytes(table(spark, directory, "documents"))
 
 
+def op6_warc(spark: SparkSession, directory: str) -> DataFrame:
+    index = warc.archive_and_index(table(spark, directory, "pages"))
+    return index.selectExpr(
+        "page AS page_id", "bytes AS payload_bytes", "digest AS payload_digest", "type AS record_type", "refers AS refers_to"
+    )
+
+
 def op7_benchmark_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     return decontaminate.judge(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
 
@@ -46,12 +53,13 @@ def op10_ngram_jaccard_join(spark: SparkSession, directory: str) -> DataFrame:
     return jaccard_join.join_components(table(spark, directory, "documents"), width=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_substring_dedup, op4_source_mixing, op5_suffix_array_dedup, op7_benchmark_decontamination, op8_url_filters, op9_quality_rules, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_substring_dedup, op4_source_mixing, op5_suffix_array_dedup, op6_warc, op7_benchmark_decontamination, op8_url_filters, op9_quality_rules, op10_ngram_jaccard_join)}
 
 ORACLE = {
     "op1_chat_formatting": chat.oracle(),
     "op2_substring_dedup": substring_dedup.oracle(),
     "op4_source_mixing": mixing.oracle(),
+    "op6_warc": warc.oracle(),
     "op7_benchmark_decontamination": decontaminate.oracle(),
     "op8_url_filters": url_filters.oracle(),
     "op9_quality_rules": quality_rules.oracle(),
