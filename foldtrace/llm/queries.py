@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard_join, mixing, quality_rules, substring_dedup, suffix_dedup, url_filters, warc
+from . import chat, decontaminate, html_extract, jaccard_join, mixing, quality_rules, substring_dedup, suffix_dedup, url_filters, warc
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op2_substring_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return substring_dedup.dedup_words(table(spark, directory, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, directory: str) -> DataFrame:
+    return html_extract.extract(table(spark, directory, "pages"))
+
+
 def op4_source_mixing(spark: SparkSession, directory: str) -> DataFrame:
     return mixing.mix(table(spark, directory, "documents"))
 
@@ -53,7 +57,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, directory: str) -> DataFrame:
     return jaccard_join.join_components(table(spark, directory, "documents"), width=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_substring_dedup, op4_source_mixing, op5_suffix_array_dedup, op6_warc, op7_benchmark_decontamination, op8_url_filters, op9_quality_rules, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_substring_dedup, op3_html_extraction, op4_source_mixing, op5_suffix_array_dedup, op6_warc, op7_benchmark_decontamination, op8_url_filters, op9_quality_rules, op10_ngram_jaccard_join)}
 
 ORACLE = {
     "op1_chat_formatting": chat.oracle(),
