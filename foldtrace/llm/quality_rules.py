@@ -82,12 +82,12 @@ def _stages(stop_words: tuple[str, ...]) -> list[dict[str, str]]:
 
 
 _MEASURES = {
-    "mean_word_chars": "word_chars / n_words",
-    "symbols_per_word": "n_symbols / n_words",
-    "shouts_per_word": "_shouts / n_words",
-    "stop_word_ratio": "_stops / n_words",
-    "dup_line_ratio": "n_dup_lines / _n_lines",
-    "repeat_word_ratio": "n_repeat_words / n_words",
+    "mean_word_chars": "word_chars / nullif(n_words, 0)",
+    "symbols_per_word": "n_symbols / nullif(n_words, 0)",
+    "shouts_per_word": "_shouts / nullif(n_words, 0)",
+    "stop_word_ratio": "_stops / nullif(n_words, 0)",
+    "dup_line_ratio": "n_dup_lines / nullif(_n_lines, 0)",
+    "repeat_word_ratio": "n_repeat_words / nullif(n_words, 0)",
 }
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
