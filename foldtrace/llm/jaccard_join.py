@@ -35,12 +35,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import exchange as ex
 from . import fingerprints as fp
-from .common import stored
+from .common import stored, text_of
 from .components import components
 
 #: Bits of a signature sent in the exchange, and bytes of text per signature.
@@ -161,7 +161,7 @@ def _emit(percent: int, width: int, buckets: int):
     return emit
 
 
-SET_SCHEMA = "id long, n_shingles long, node long, signatures array<long>, bitmap binary, elements binary"
+SET_SCHEMA = "id long, key long, n_shingles long, node long, signatures array<long>, bitmap binary, elements binary"
 
 
 def _sets(percent: int, width: int, buckets: int):
@@ -186,6 +186,7 @@ def _sets(percent: int, width: int, buckets: int):
         return pa.table(
             {
                 "id": docs.column("id"),
+                "key": docs.column("key"),
                 "n_shingles": pa.array([len(x) for x in found], pa.int64()),
                 "node": pa.array(rows["node"], pa.int64()),
                 "signatures": pa.array(rows["signatures"], pa.list_(pa.int64())),
@@ -339,17 +340,17 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(documents with size and node, labels of nodes): see ``join_components``."""
     chunks, total = ex.ordered_chunks(docs, id_col, text_col)
     buckets = ex.bucket_count(total / BYTES_PER_SIGNATURE)
-    by_chunk = chunks.groupBy("chunk")
+    by_chunk = chunks.withColumn("key", F.xxhash64("text")).groupBy("chunk")
     replies = ex.ask(by_chunk.applyInArrow(_emit(percent, width, buckets), ex.ENTRY_SCHEMA), "repeated")
     sets = stored(by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(_sets(percent, width, buckets), SET_SCHEMA), "sets")
     # Equal sets become one node; any of its rows stands for it.
-    nodes = stored(sets.where("node IS NOT NULL").dropDuplicates(["node"]).drop("id"), "nodes")
+    nodes = stored(sets.where("node IS NOT NULL").dropDuplicates(["node"]).drop("id", "key"), "nodes")
     links = _Links(nodes, percent)
     refuted = links.round(first_only=True, every_pair=False)
     refuted = links.round(first_only=False, every_pair=False)
     if refuted:
         links.round(first_only=False, every_pair=True)
-    return sets.select("id", "n_shingles", "node"), links.labels
+    return sets.select("id", "key", "n_shingles", "node"), links.labels
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -366,6 +367,26 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return alone.union(found).select(F.col("id").alias(id_col), "n_shingles", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without near duplicates: of every component, the row of the least id.
+
+    Rows that repeat an id and its text become one row.  Of equal least ids the least
+    fingerprint of the text stays; a component without any id keeps one text likewise.  Texts
+    without words are near to nothing and stay.
+    """
+    sets, labels = linked_sets(docs, id_col, text_col, width, percent)
+    linked = sets.where("node IS NOT NULL").join(labels, "node")
+    order = F.struct(F.col("id").isNull(), "id", "key")  # rows with an id first
+    best = linked.groupBy("component").agg(F.min(order).alias("best"))
+    gone = linked.join(best, "component").where(~F.col("best.id").eqNullSafe(F.col("id")) | (F.col("best.key") != F.col("key")))
+    gone = gone.select(F.col("id").alias("i"), F.col("key").alias("k")).distinct()
+    row = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_of(text_col)).alias("key"))
+    left = keyed.join(gone, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left_anti")
+    again = F.row_number().over(Window.partitionBy("id", "key").orderBy("key"))
+    return left.withColumn("again", again).where("again = 1").select("row.*")
+
+
 def oracle(width: int, percent: int) -> str:
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return rf"""

@@ -129,7 +129,10 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     """The rows that pass, with their columns unchanged."""
-    return measure(docs, text_col=text_col, rules=rules, carry=True).where("kept").select("row.*")
+    judged = measure(docs, text_col=text_col, rules=rules, carry=True)
+    # As generator output, so that the filter is not pushed below the stages and repeats them.
+    judged = judged.select(F.inline(F.array(F.struct(F.col("row"), F.col("kept").alias("passed")))))
+    return judged.where("passed").select("row.*")
 
 
 def oracle() -> str:
