@@ -110,10 +110,11 @@ class Split:
         for name, start, end in zip(self.names.tolist(), self.edges[:-1].tolist(), self.edges[1:].tolist()):
             yield name, start, end
 
-    def entries(self, chunk: int) -> pa.Table:
+    def entries(self, chunk: int, kinds: int = 1, kind: int = 0) -> pa.Table:
+        """What the chunk sends; entries of several kinds share an exchange by bucket number."""
         names, payloads = [], []
         for name, start, end in self.parts():
-            names.append(name)
+            names.append(name * kinds + kind)
             payloads.append(fp.pack(np.unique(self.values[start:end])))
         return pa.table(
             {"chunk": pa.array([chunk] * len(names), pa.int64()), "bucket": pa.array(names, pa.int32()), "payload": pa.array(payloads, pa.binary())}
@@ -154,8 +155,9 @@ class Split:
         return low
 
 
-def _answer(mode: str):
+def _answer(modes: tuple[str, ...]):
     def answer(table: pa.Table) -> pa.Table:
+        mode = modes[table.column("bucket")[0].as_py() % len(modes)]
         chunks = np.asarray(table.column("chunk").to_numpy())
         order = np.argsort(chunks, kind="stable")
         payloads = table.column("payload").to_pylist()
@@ -183,9 +185,9 @@ def _answer(mode: str):
     return answer
 
 
-def ask(entries: DataFrame, mode: str) -> DataFrame:
-    """Replies (chunk, bucket, bits) to entries (chunk, bucket, payload)."""
-    return entries.groupBy("bucket").applyInArrow(_answer(mode), REPLY_SCHEMA)
+def ask(entries: DataFrame, *modes: str) -> DataFrame:
+    """Replies (chunk, bucket, bits) to entries (chunk, bucket, payload), a mode per kind."""
+    return entries.groupBy("bucket").applyInArrow(_answer(modes), REPLY_SCHEMA)
 
 
 def bucket_count(expected_entries: float) -> int:
@@ -199,5 +201,10 @@ def replies_of(table: pa.Table, step: int | None = None) -> dict[int, bytes]:
     return dict(zip(table.column("bucket").to_pylist(), table.column("bits").to_pylist()))
 
 
+def of_kind(replies: dict[int, bytes], kinds: int, kind: int) -> dict[int, bytes]:
+    """The replies to one kind of entries, by their own bucket numbers."""
+    return {bucket // kinds: bits for bucket, bits in replies.items() if bucket % kinds == kind}
+
+
 def chunk_number(table: pa.Table) -> int:
     return table.column("chunk")[0].as_py()

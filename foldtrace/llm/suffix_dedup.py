@@ -10,12 +10,16 @@ order of their fingerprints instead of the alphabet, and by position within a gr
    ``LENGTH`` bytes have, below the period, a shift that brings both into the cover, and the
    sample there is equal too.  A sample whose rank is its own alone settles every suffix it
    would have to decide: none of them can tie on account of it.
-2. Blocks: what is left are the long ties, suffixes that start at most ``PERIOD - 1`` bytes
-   before a sample of shared rank.  They are dealt into buckets of the order and each bucket is
-   sorted alone, in bounded memory; per distinct prefix the earliest position is the first.
+2. Runs: texts are also cut where their bytes say so, so equal passages have equal cuts.  The
+   suffixes between two cuts are a run; a run whose text, with the ``LENGTH - 1`` bytes after
+   it, occurs in an earlier run repeats that run's order suffix by suffix, and is settled.
+3. Blocks: what is left are the long ties, suffixes of unsettled runs that start at most
+   ``PERIOD - 1`` bytes before a sample of shared rank.  They are dealt into buckets of the order
+   and each bucket is sorted alone, in bounded memory; per distinct prefix the earliest position
+   is the first.  (The first position of a prefix is never in a settled run.)
 
 Suffixes are never written with their text: a chunk of documents sends 4 bytes per distinct
-sample and 8 per distinct long tie, differences packed.  Chunks are ordered by id, so the first
+sample and 8 per distinct run and long tie, differences packed.  Chunks are ordered by id, so the first
 chunk holding a prefix has its earliest start, and no entry carries a position.  Prefixes are
 compared by 64-bit fingerprints plus the bits of an independent bucket fingerprint.
 
@@ -41,9 +45,13 @@ PERIOD = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)  # every difference modulo 57 occurs once between two of them
 SAMPLE = LENGTH - PERIOD + 1
 SAMPLE_BITS = 32
-#: Bytes of text per sample and per long tie sent, for the number of buckets.
+#: Bytes of text per sample, run and long tie sent, for the number of buckets.
 BYTES_PER_SAMPLE = PERIOD / len(COVER)
-BYTES_PER_TIE = 5
+BYTES_PER_TIE = 16
+#: A cut is where a product of four bytes has so many leading zero bits: every 64 bytes, about.
+CUT_BITS = 6
+BYTES_PER_RUN = 1 << CUT_BITS
+_CUT_FACTOR = np.uint32(2654435761)
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
@@ -62,12 +70,30 @@ class _Block:
         at = np.flatnonzero(_IN_COVER[(here - self.start) % PERIOD] & (self.end - here >= SAMPLE))
         return at, self.hashes.of(at, at + SAMPLE)
 
-    def ties(self, samples: np.ndarray) -> np.ndarray:
-        """Starts of the suffixes that one of these samples decides."""
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the runs that hold a whole prefix, with their fingerprints."""
+        cut = np.zeros(self.size, dtype=bool)
+        if self.size >= 4:
+            four = self.data[:-3].astype(np.uint32)
+            for k in (1, 2, 3):
+                four |= self.data[k : self.size - 3 + k].astype(np.uint32) << np.uint32(8 * k)
+            cut[:-3] = (four * _CUT_FACTOR) >> np.uint32(32 - CUT_BITS) == 0
+        cut[self.start[self.start == np.arange(self.size)]] = True
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], self.size)
+        until = np.minimum(ends + LENGTH - 1, self.end[starts]) if len(starts) else ends[:0]
+        ends = ends[: len(starts)]
+        whole = until - starts >= LENGTH
+        starts, ends, until = starts[whole], ends[whole], until[whole]
+        ends = np.minimum(ends, until - LENGTH + 1)  # of the starts of whole prefixes
+        return starts, ends, self.hashes.of(starts, until), fp.Ranges(self.data, 1).of(starts, until)
+
+    def ties(self, samples: np.ndarray, settled: np.ndarray) -> np.ndarray:
+        """Starts of the suffixes that one of these samples decides, but for settled ones."""
         step = np.zeros(self.size + 1, dtype=np.int32)
         np.add.at(step, np.maximum(samples - (PERIOD - 1), self.start[samples]), 1)
         np.add.at(step, samples + 1, -1)
-        return np.flatnonzero((np.cumsum(step[:-1]) > 0) & (self.end - np.arange(self.size) >= LENGTH))
+        return np.flatnonzero((np.cumsum(step[:-1]) > 0) & (self.end - np.arange(self.size) >= LENGTH) & ~settled)
 
     def prefixes(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Fingerprints of both families of the first LENGTH bytes."""
@@ -85,34 +111,51 @@ def _joined(parts: list[np.ndarray], kind=np.uint64) -> np.ndarray:
     return np.concatenate([np.zeros(0, dtype=kind), *parts])
 
 
-def _sample_split(table: pa.Table, buckets: int) -> tuple[np.ndarray, ex.Split]:
-    places, hashes = [], []
-    for base, block in _blocks(table):
-        at, values = block.samples()
-        places.append(at + base)
-        hashes.append(values)
-    return _joined(places, np.int64), ex.Split(_joined(hashes), buckets, SAMPLE_BITS)
-
-
-def _tie_split(table: pa.Table, replies: dict[int, bytes], buckets: tuple[int, int]) -> tuple[np.ndarray, ex.Split]:
-    at, split = _sample_split(table, buckets[0])
-    told, _, several = split.apply(replies)
-    shared = at[told | several]
-    places, hashes, others = [], [], []
-    for base, block in _blocks(table):
-        low, high = np.searchsorted(shared, [base, base + block.size])
-        if high > low:
-            starts = block.ties(shared[low:high] - base)
-            whole, other = block.prefixes(starts)
-            places.append(starts + base)
-            hashes.append(whole)
-            others.append(other)
-    return _joined(places, np.int64), ex.Split(_joined(hashes), buckets[1], others=_joined(others))
-
+class _Chunk:
+    """Samples and runs of a chunk."""
 
-def _sample_entries(buckets: int):
+    def __init__(self, table: pa.Table, buckets: int):
+        at, samples, starts, ends, runs, others = ([] for _ in range(6))
+        for base, block in _blocks(table):
+            places, values = block.samples()
+            at.append(places + base)
+            samples.append(values)
+            first, last, values, other = block.runs()
+            starts.append(first + base)
+            ends.append(last + base)
+            runs.append(values)
+            others.append(other)
+        self.at, self.starts, self.ends = _joined(at, np.int64), _joined(starts, np.int64), _joined(ends, np.int64)
+        self.samples = ex.Split(_joined(samples), buckets, SAMPLE_BITS)
+        self.runs = ex.Split(_joined(runs), buckets, others=_joined(others))
+
+    def ties(self, table: pa.Table, replies: dict[int, bytes], buckets: int) -> tuple[np.ndarray, ex.Split, np.ndarray]:
+        """Places of the long ties, their prefixes, and which starts of the chunk are settled."""
+        told, _, several = self.samples.apply(ex.of_kind(replies, 2, 0))
+        shared = self.at[told | several]
+        told, first, _ = self.runs.apply(ex.of_kind(replies, 2, 1))
+        data, _ = ex.text_buffer(table)
+        step = np.zeros(len(data) + 1, dtype=np.int32)
+        again = ~(told & first)
+        np.add.at(step, self.starts[again], 1)
+        np.add.at(step, self.ends[again], -1)
+        settled = np.cumsum(step[:-1], dtype=np.int32) > 0
+        places, hashes, others = [], [], []
+        for base, block in _blocks(table):
+            low, high = np.searchsorted(shared, [base, base + block.size])
+            if high > low:
+                starts = block.ties(shared[low:high] - base, settled[base : base + block.size])
+                whole, other = block.prefixes(starts)
+                places.append(starts + base)
+                hashes.append(whole)
+                others.append(other)
+        return _joined(places, np.int64), ex.Split(_joined(hashes), buckets, others=_joined(others)), settled
+
+
+def _sample_and_run_entries(buckets: int):
     def emit(table: pa.Table) -> pa.Table:
-        return _sample_split(ex.in_order(table), buckets)[1].entries(ex.chunk_number(table))
+        chunk, number = _Chunk(ex.in_order(table), buckets), ex.chunk_number(table)
+        return pa.concat_tables([chunk.samples.entries(number, 2, 0), chunk.runs.entries(number, 2, 1)])
 
     return emit
 
@@ -121,7 +164,8 @@ def _tie_entries(buckets: tuple[int, int]):
     def emit(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return ex.Split(np.zeros(0, dtype=np.uint64), 1).entries(0)
-        return _tie_split(ex.in_order(docs), ex.replies_of(replies), buckets)[1].entries(ex.chunk_number(docs))
+        number, docs = ex.chunk_number(docs), ex.in_order(docs)
+        return _Chunk(docs, buckets[0]).ties(docs, ex.replies_of(replies), buckets[1])[1].entries(number)
 
     return emit
 
@@ -130,10 +174,10 @@ def _finish(buckets: tuple[int, int], texts: bool):
     def finish(docs: pa.Table, replies: pa.Table) -> pa.Table:
         docs = ex.in_order(docs)
         data, offsets = ex.text_buffer(docs)
-        starts, split = _tie_split(docs, ex.replies_of(replies, 1), buckets)
+        starts, split, settled = _Chunk(docs, buckets[0]).ties(docs, ex.replies_of(replies, 1), buckets[1])
         told, first, _ = split.apply(ex.replies_of(replies, 2))
         step = np.zeros(len(data) + 1, dtype=np.int32)
-        gone = starts[~(told & first)]
+        gone = np.concatenate([starts[~(told & first)], np.flatnonzero(settled)])
         np.add.at(step, gone, 1)
         np.add.at(step, gone + LENGTH, -1)
         removed = np.cumsum(step[:-1], dtype=np.int32) > 0
@@ -161,7 +205,7 @@ def _run(docs: DataFrame, id_col: str, text_col: str, texts: bool) -> DataFrame:
     chunks, total = ex.ordered_chunks(docs, id_col, text_col)
     buckets = ex.bucket_count(total / BYTES_PER_SAMPLE), ex.bucket_count(total / BYTES_PER_TIE)
     by_chunk = chunks.groupBy("chunk")
-    samples = ex.ask(by_chunk.applyInArrow(_sample_entries(buckets[0]), ex.ENTRY_SCHEMA), "repeated")
+    samples = ex.ask(by_chunk.applyInArrow(_sample_and_run_entries(buckets[0]), ex.ENTRY_SCHEMA), "repeated", "first")
     entries = by_chunk.cogroup(samples.groupBy("chunk")).applyInArrow(_tie_entries(buckets), ex.ENTRY_SCHEMA)
     ties = ex.ask(entries, "first")
     replies = samples.withColumn("step", F.lit(1)).union(ties.withColumn("step", F.lit(2)))
