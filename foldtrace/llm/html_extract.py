@@ -1,8 +1,8 @@
 r"""Main text of web pages by a site style tree.
 
-Every page is parsed once into its element tree: nodes are paths of tag and class, the style of
-a node is the sequence of its child elements with runs of equal ones merged, and leaf blocks
-carry text.  Trees of the same host are merged by counting, over pages:
+Every page is parsed once into its element tree: nodes are paths of tag and class (and position
+among equal siblings, but for paragraphs and the like), the style of a node is the sequence of
+its child elements with runs of equal ones merged, and leaf blocks carry text.  Trees of the same host are merged by counting, over pages:
 
 * presentation importance of a node: the entropy of its styles, base the number of pages that
   have the node; a menu that looks the same everywhere has 0;
@@ -64,6 +64,8 @@ NOISE_WORDS = set(
     "toolbar pagination pager skip disclaimer copyright legal tags tagcloud".split()
 )
 LANDMARKS = {"article", "main"}
+# Elements that stand in rows of any length; others are told apart by position.
+REPEATED = {"p", "li", "dt", "dd", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "option"}
 # A start tag of the key closes an open element of the values on top.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -75,10 +77,10 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Element:
-    __slots__ = ("tag", "path", "noise", "landmark", "style")
+    __slots__ = ("tag", "path", "noise", "landmark", "style", "counts")
 
     def __init__(self, tag: str, path: str, noise: bool, landmark: bool):
-        self.tag, self.path, self.noise, self.landmark, self.style = tag, path, noise, landmark, []
+        self.tag, self.path, self.noise, self.landmark, self.style, self.counts = tag, path, noise, landmark, [], {}
 
 
 def _marks(attributes: str) -> tuple[str, bool, bool]:
@@ -163,6 +165,9 @@ def parse(page: str):
                 close(len(stack) - 1)
         top = stack[-1]
         label = f"{tag}.{kind}" if kind else tag
+        if tag not in REPEATED and tag not in INLINE:
+            top.counts[label] = top.counts.get(label, 0) + 1
+            label += f"[{top.counts[label]}]" if top.counts[label] > 1 else ""
         if not top.style or top.style[-1] != label:
             top.style.append(label)
         if tag in LANDMARKS or tag in ("html", "body"):

@@ -105,8 +105,9 @@ def _ranked(sized: DataFrame, sources: DataFrame, seed: str) -> DataFrame:
 def _with_rank(frame: DataFrame, seed: str) -> DataFrame:
     """rank = random odds / inclusion odds; the cell is the same order on an even scale."""
     u, p = F.col("u"), F.col("chance")
-    ranked = frame.withColumn("u", _random(F.col("id"), seed)).withColumn("rank", (u / (1 - u)) / (p / (1 - p)))
-    back = F.col("rank") * (p / (1 - p))
+    odds = F.when(p > 0, p / (1 - p))  # without a chance there is no rank
+    ranked = frame.withColumn("u", _random(F.col("id"), seed)).withColumn("rank", (u / (1 - u)) / odds)
+    back = F.col("rank") * odds
     return ranked.withColumn("cell", F.floor(back / (1 + back) * F.col("cells")))
 
 
