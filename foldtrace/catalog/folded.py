@@ -240,10 +240,12 @@ register(
 # -- recipes ---------------------------------------------------------------------
 
 
-def recipe(text: str, app: str, *names: str, args: list | None = None):
+def recipe(make, app: str, *names: str):
+    """A query that applies a recipe to tables of one app."""
+
     def run(spark, directory):
         tables = tables_of(spark, directory, app)
-        return recipes.sql(spark, text, args, **{name: tables[name] for name in names})
+        return make(*[tables[name] for name in names])
 
     return run
 
@@ -258,7 +260,7 @@ def _sum(name: str, alias: str | None = None) -> str:
 
 register(
     "c01_latest_day",
-    recipe(recipes.LATEST_DAY, "daily-review", "daily_review"),
+    recipe(recipes.latest_day, "daily-review", "daily_review"),
     oracle(
         "SELECT harness, record_count, failure_count, duration_gt_5000ms_count AS slow_events, cost_microusd / 1000000.0 AS cost_usd, "
         "risky_action_count FROM daily_review WHERE day_utc = (SELECT max(day_utc) FROM daily_review)",
@@ -267,7 +269,7 @@ register(
 )
 register(
     "c02_coverage_rollup",
-    recipe(recipes.COVERAGE_ROLLUP, "activity-stats", "event_inventory"),
+    recipe(recipes.coverage_rollup, "activity-stats", "event_inventory"),
     oracle(
         f"SELECT harness, event_family, {_sum('event_count', 'events')}, {_sum('length_unknown_count', 'length_unknown')}, "
         f"{_sum('duration_unknown_count', 'duration_unknown')}, {_sum('outcome_unknown_count', 'outcome_unknown')}, "
@@ -278,7 +280,7 @@ register(
 )
 register(
     "c03_cache_efficiency",
-    recipe(recipes.CACHE_EFFICIENCY, "activity-stats", "session_activity"),
+    recipe(recipes.cache_efficiency, "activity-stats", "session_activity"),
     oracle(
         "SELECT harness, CAST(last_seen_unix_nano AS BIGINT) // 86400000000000 AS unix_day, "
         f"{_sum('input_tokens')}, {_sum('cached_input_tokens')}, "
@@ -290,7 +292,7 @@ register(
 )
 register(
     "c04_tool_outcomes",
-    recipe(recipes.TOOL_OUTCOMES, "activity-stats", "event_inventory"),
+    recipe(recipes.tool_outcomes, "activity-stats", "event_inventory"),
     oracle(
         f"SELECT harness, tool_bucket, {_sum('event_count', 'calls')}, {_sum('success_count', 'successes')}, "
         f"{_sum('failure_count', 'failures')}, {_sum('outcome_unknown_count', 'outcome_unknown')} "
@@ -300,7 +302,7 @@ register(
 )
 register(
     "c05_latency_buckets",
-    recipe(recipes.LATENCY_BUCKETS, "activity-stats", "request_performance"),
+    recipe(recipes.latency_buckets, "activity-stats", "request_performance"),
     oracle(
         f"SELECT harness, event_family, endpoint_bucket, {_sum('request_count', 'requests')}, "
         f"{_sum('duration_observed_count', 'duration_observed')}, {_sum('duration_unknown_count', 'duration_unknown')}, "
@@ -324,12 +326,7 @@ register(
 )
 register(
     "c06_failed_commands",
-    recipe(
-        "SELECT event_time_unix_nano, harness, session_id_prefix, project, model, tool, command, tool_arguments, target, "
-        "failure_detail, detail_coverage FROM {tool_failure_detail} ORDER BY source_position DESC",
-        "agent-guard",
-        "tool_failure_detail",
-    ),
+    recipe(recipes.failed_commands, "agent-guard", "tool_failure_detail"),
     oracle(
         "SELECT event_time_unix_nano, harness, session_id_prefix, project, model, tool, command, tool_arguments, target, "
         "failure_detail, detail_coverage FROM tool_failure_detail",
@@ -338,12 +335,7 @@ register(
 )
 register(
     "c06_loop_evidence",
-    recipe(
-        "SELECT first_observed_unix_nano, last_observed_unix_nano, harness, session_id, finding_kind, repeat_count, "
-        "consecutive_failures, no_progress_count, evidence FROM {loop_findings} ORDER BY source_position DESC",
-        "agent-guard",
-        "loop_findings",
-    ),
+    recipe(recipes.loop_evidence, "agent-guard", "loop_findings"),
     oracle(
         "SELECT first_observed_unix_nano, last_observed_unix_nano, harness, session_id, finding_kind, repeat_count, "
         "consecutive_failures, no_progress_count, evidence FROM loop_findings",
@@ -353,7 +345,7 @@ register(
 CUTOFF = "1706000000000000000"
 register(
     "c07_stalled_sessions",
-    recipe(recipes.STALLED, "agent-guard", "session_progress", args=[CUTOFF]),
+    recipe(lambda progress: recipes.stalled_sessions(progress, CUTOFF), "agent-guard", "session_progress"),
     oracle(
         "SELECT harness, session_id, last_activity_unix_nano, last_distinct_progress_unix_nano, total_actions "
         f"FROM session_progress WHERE last_distinct_progress_unix_nano < '{CUTOFF}'",
@@ -362,7 +354,7 @@ register(
 )
 register(
     "c08_usage_by_session",
-    recipe(recipes.USAGE_BY_SESSION, "session-cost", "session_cost"),
+    recipe(recipes.usage_by_session, "session-cost", "session_cost"),
     oracle(
         "SELECT harness, session_id, input_tokens, cached_input_tokens, output_tokens, reasoning_output_tokens, "
         "cost_microusd / 1000000.0 AS cost_usd, last_event_time_unix_nano FROM session_cost",
@@ -371,7 +363,7 @@ register(
 )
 register(
     "c08_usage_by_harness",
-    recipe(recipes.USAGE_BY_HARNESS, "session-cost", "session_cost"),
+    recipe(recipes.usage_by_harness, "session-cost", "session_cost"),
     oracle(
         f"SELECT harness, {_sum('input_tokens')}, {_sum('cached_input_tokens')}, {_sum('output_tokens')}, "
         f"{_sum('reasoning_output_tokens')}, sum(cost_microusd)::DOUBLE / 1000000.0 AS cost_usd FROM session_cost GROUP BY harness",
@@ -380,7 +372,7 @@ register(
 )
 register(
     "c09_cost_by_model",
-    recipe(recipes.COST_BY_MODEL, "session-cost", "session_cost_detail"),
+    recipe(recipes.cost_by_model, "session-cost", "session_cost_detail"),
     oracle(
         "SELECT harness, model, project, model_coverage, project_coverage, sum(cost_microusd)::DOUBLE / 1000000.0 AS cost_usd, "
         f"{_sum('input_tokens')}, {_sum('cached_input_tokens')}, {_sum('output_tokens')} FROM session_cost_detail GROUP BY 1, 2, 3, 4, 5",
@@ -389,7 +381,7 @@ register(
 )
 register(
     "c09_session_labels",
-    recipe(recipes.SESSION_LABELS, "session-cost", "session_cost_detail"),
+    recipe(recipes.session_labels, "session-cost", "session_cost_detail"),
     oracle(
         "SELECT harness, session_id_prefix, first_event_time_unix_nano, last_event_time_unix_nano, project, model, "
         "cost_microusd / 1000000.0 AS cost_usd FROM session_cost_detail",
@@ -399,19 +391,15 @@ register(
 
 
 def _guard_cost(spark, directory):
-    return recipes.sql(
-        spark,
-        recipes.GUARD_COST,
-        session_progress=tables_of(spark, directory, "agent-guard")["session_progress"],
-        session_cost=tables_of(spark, directory, "session-cost")["session_cost"],
-    )
+    progress = tables_of(spark, directory, "agent-guard")["session_progress"]
+    return recipes.guard_cost(progress, tables_of(spark, directory, "session-cost")["session_cost"])
 
 
 register(
     "c10_guard_cost_join",
     _guard_cost,
     oracle(
-        "SELECT p.harness, p.session_id, p.total_actions, c.input_tokens, c.output_tokens, c.cost_microusd "
+        "SELECT p.harness, p.session_id, p.total_actions, p.consecutive_failures, p.no_progress_count, c.input_tokens, c.output_tokens, c.cost_microusd "
         "FROM session_progress p JOIN session_cost c ON c.harness = p.harness AND c.session_id = p.session_id",
         "session_progress",
         "session_cost",
@@ -426,27 +414,23 @@ register(
 )
 PROVIDER, NOW = "safe-browsing-v5", "1704300000000000000"
 DUE = (
-    "SELECT o.observed_full, o.host, o.last_observed_unix_nano FROM url_observations o LEFT JOIN url_verdicts v "
+    "SELECT o.observed_full, o.host, o.last_observed_unix_nano, o.latest_tool_name, o.latest_project, o.latest_harness, "
+    "o.latest_session_id_prefix FROM url_observations o LEFT JOIN url_verdicts v "
     f"ON v.observed_full = o.observed_full AND v.provider = '{PROVIDER}' "
     f"WHERE v.observed_full IS NULL OR CAST(v.valid_until_unix_nano AS BIGINT) <= {NOW}"
 )
-_due = recipe(recipes.URLS_DUE, "url-reputation", "url_observations", "url_verdicts", args=[PROVIDER, NOW])
+_due = recipe(
+    lambda observations, verdicts: recipes.urls_due(observations, verdicts, PROVIDER, NOW), "url-reputation", "url_observations", "url_verdicts"
+)
 register("c12_urls_due", _due, oracle(DUE, "url_observations", "url_verdicts"))
 register(
     "c12_enabled_exclusions",
-    recipe(recipes.ENABLED_EXCLUSIONS, "url-reputation", "url_exclusions"),
+    recipe(recipes.enabled_exclusions, "url-reputation", "url_exclusions"),
     oracle("SELECT exclusion_id, kind, pattern, updated_unix_nano FROM url_exclusions WHERE enabled = 1", "url_exclusions"),
 )
 register(
     "c13_daily_listing",
-    recipe(
-        "SELECT day_utc, harness, record_count, tool_event_count, api_event_count, failure_count, duration_gt_5000ms_count, "
-        "input_tokens, cached_input_tokens, output_tokens, reasoning_output_tokens, cost_microusd / 1000000.0D AS cost_usd, "
-        "identity_metadata_count, auth_metadata_count, raw_prompt_content_count, raw_tool_content_count, risky_action_count "
-        "FROM {daily_review} ORDER BY day_utc DESC, harness",
-        "daily-review",
-        "daily_review",
-    ),
+    recipe(recipes.daily_listing, "daily-review", "daily_review"),
     oracle(
         "SELECT day_utc, harness, record_count, tool_event_count, api_event_count, failure_count, duration_gt_5000ms_count, "
         "input_tokens, cached_input_tokens, output_tokens, reasoning_output_tokens, cost_microusd / 1000000.0 AS cost_usd, "
@@ -478,7 +462,7 @@ register(
         f"SELECT * FROM ({DUE}) due WHERE NOT EXISTS (SELECT 1 FROM url_exclusions x WHERE x.enabled = 1 AND ("
         "(x.kind = 'host-exact' AND x.pattern = due.host) "
         "OR (x.kind = 'host-exact' AND x.pattern = 'single-label-host' AND strpos(due.host, '.') = 0) "
-        "OR (x.kind = 'host-suffix' AND ends_with('.' || due.host, x.pattern)) "
+        "OR (x.kind = 'host-suffix' AND ltrim(x.pattern, '.') <> '' AND ends_with('.' || due.host, '.' || ltrim(x.pattern, '.'))) "
         "OR (x.kind = 'url-prefix' AND starts_with(due.observed_full, x.pattern))))",
         "url_observations",
         "url_verdicts",
@@ -500,5 +484,5 @@ register(
     _conversation_activity,
     "SELECT 'c' || conv_id AS session_id, count(*) AS event_count, count(*) FILTER (role = 'user') AS prompt_count, "
     "count(*) FILTER (role = 'assistant') AS response_count, CAST(sum(length(text)) AS BIGINT) AS reported_length_total, "
-    "max(conv_id * 1000 + turn + 1) AS last_source_position FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id",
+    "max(conv_id * 1048576 + turn + 1) AS last_source_position FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id",
 )

@@ -223,7 +223,8 @@ policy_findings AS (
 URL = """
 p0 AS (
   SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host,
-    regexp_extract(url, '^https?://[^/?#]+/[a-z]+', 0) AS section, unnest([0, 1, 2]) AS part
+    regexp_extract(url, '^https?://[^/?#]+/[a-z]+', 0) AS section,
+    CASE WHEN regexp_matches(url, '^https?://[^/?#]+') THEN url ELSE '' END AS whole, unnest([0, 1, 2]) AS part
   FROM pages
 ),
 p1 AS (
@@ -235,7 +236,7 @@ urls AS (
   SELECT position AS source_position, page_id,
     CASE part WHEN 0 THEN 'observation' WHEN 1 THEN 'reputation' ELSE 'exclusion' END AS event_family,
     t AS event_time_unix_nano, CAST(floor(CAST(t AS DOUBLE) / 86400000000000) AS BIGINT) AS day_utc,
-    CASE WHEN part < 2 THEN section END AS observed_full, CASE WHEN part = 0 THEN host END AS host,
+    CASE WHEN part < 2 THEN whole END AS observed_full, CASE WHEN part = 0 THEN host END AS host,
     CASE WHEN part = 0 THEN CASE WHEN page_id % 6 = 0 THEN 'codex' WHEN page_id % 2 = 0 THEN 'opencode' ELSE 'codex_exec' END END AS harness,
     CASE WHEN part = 0 AND page_id % 4 <> 3 THEN 'session-number-' || (page_id % 7) END AS session_id,
     CASE WHEN part = 0 AND page_id % 2 = 0 THEN 'web_fetch' END AS tool_name,
@@ -243,10 +244,10 @@ urls AS (
     CASE WHEN part = 0 AND page_id % 9 <> 0 THEN '/w/' || (page_id % 3) END AS project,
     CASE WHEN part = 2 THEN CASE WHEN page_id % 50 = 10 THEN 'builtin:local' ELSE 'operator:' || (page_id % 4) END END AS exclusion_id,
     CASE WHEN part = 2 THEN CASE page_id % 3 WHEN 0 THEN 'host-exact' WHEN 1 THEN 'host-suffix' ELSE 'url-prefix' END END AS exclusion_kind,
-    CASE WHEN part = 2 THEN CASE page_id % 3 WHEN 0 THEN host WHEN 1 THEN '.' || regexp_extract(host, '([^.]+\\.[^.]+)$', 1) ELSE section END END AS exclusion_pattern,
+    CASE WHEN part = 2 THEN CASE page_id % 3 WHEN 0 THEN host WHEN 1 THEN CASE WHEN page_id % 2 = 0 THEN '.' ELSE '' END || regexp_extract(host, '([^.]+\\.[^.]+)$', 1) ELSE section END END AS exclusion_pattern,
     CASE WHEN part = 2 THEN CAST(page_id % 20 = 0 AS INT) END AS exclusion_enabled,
     CASE WHEN part = 1 THEN CASE WHEN page_id % 2 = 0 THEN 'safe-browsing-v5' ELSE 'web-risk' END END AS provider,
-    CASE WHEN part = 1 THEN section END AS checked_full,
+    CASE WHEN part = 1 THEN whole END AS checked_full,
     CASE WHEN part = 1 THEN CASE page_id % 9 WHEN 0 THEN 'clean' WHEN 3 THEN 'suspected' ELSE 'error' END END AS verdict,
     CASE WHEN part = 1 AND page_id % 9 = 3 THEN '["MALWARE"]' END AS threat_types,
     CAST(NULL AS VARCHAR) AS provider_reference,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import values as values_kit
 from ..operators import app_folds, changes, custom, guard_folds, normalize_activity, normalize_guard, normalize_usage, validate
 from ..operators.record_view import effective_events
-from ..plans import apps, recipes, serve
+from ..plans import apps, serve
 from ..session import tune
 from ..sources.tables import events_as_records, read_table
 from ..streaming import lifecycle
@@ -332,8 +332,7 @@ register(
 
 register(
     "q02_open_findings_view",
-    lambda s, d: recipes.sql(
-        s,
+    lambda s, d: s.sql(
         "SELECT finding_id, rule_id, severity, session_id FROM {violations} UNION ALL SELECT finding_id, rule_id, severity, session_id FROM {gaps}",
         violations=tables_of(s, d, "agent-guard")["policy_violations"],
         gaps=tables_of(s, d, "agent-guard")["policy_gaps"],
@@ -342,10 +341,9 @@ register(
 )
 register(
     "q04_parameters",
-    lambda s, d: recipes.sql(
-        s,
+    lambda s, d: s.sql(
         "SELECT finding_id, summary FROM {policy_violations} WHERE harness = ? AND source_position > ?",
-        ["codex", 100],
+        args=["codex", 100],
         policy_violations=tables_of(s, d, "agent-guard")["policy_violations"],
     ),
     oracle(
@@ -355,8 +353,7 @@ register(
 )
 register(
     "q05_mounted_join",
-    lambda s, d: recipes.sql(
-        s,
+    lambda s, d: s.sql(
         "SELECT p.harness, p.session_id, p.repeat_count, c.cost_microusd FROM {session_progress} p "
         "JOIN {cost_session_cost} c ON c.harness = p.harness AND c.session_id = p.session_id",
         session_progress=tables_of(s, d, "agent-guard")["session_progress"],

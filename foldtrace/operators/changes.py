@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .folds import latest_rows
 
@@ -27,6 +28,13 @@ def change_order(op: str = "op", position: str = "position", ordinal: str = "ord
     return F.struct(C(position).alias("p"), C(ordinal).alias("o"), C(step).alias("s"), rank.alias("r"))
 
 
+def _same_keys(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which NULL is one; the right side's keys are dropped."""
+    renamed = right.withColumnsRenamed({name: f"_r_{name}" for name in names})
+    on = [left[name].eqNullSafe(renamed[f"_r_{name}"]) for name in names]
+    return left.join(renamed, on, how).drop(*[f"_r_{name}" for name in names])
+
+
 def _chunked(frame: DataFrame, position: str, chunk: int) -> DataFrame:
     return frame.withColumn("_chunk", F.expr(f"{position} div {chunk}"))
 
@@ -44,8 +52,7 @@ def running_total(
         .select(*keys, "_chunk", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_carry"))
     )
     return (
-        rows.withColumn("_local", F.sum("_x").over(inside))
-        .join(carried, [*keys, "_chunk"])
+        _same_keys(rows.withColumn("_local", F.sum("_x").over(inside)), carried, [*keys, "_chunk"])
         .select(*keys, position, (C("_carry") + C("_local")).alias("_running"))
     )
 
@@ -60,9 +67,9 @@ def previous_value(
     edges = edges.select(
         *keys, "_chunk", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_before")
     )
+    numbered = rows.withColumns({"_n": F.row_number().over(inside), "_lag": F.lag("_value").over(inside)})
     return (
-        rows.withColumns({"_n": F.row_number().over(inside), "_lag": F.lag("_value").over(inside)})
-        .join(edges, [*keys, "_chunk"])
+        _same_keys(numbered, edges, [*keys, "_chunk"])
         .withColumn("_previous", F.when(C("_n") == 1, C("_before")).otherwise(C("_lag")))
         .drop("_n", "_lag", "_before", "_chunk", "_order", "_value")
     )
@@ -139,7 +146,7 @@ def many_read(
     reads = events.select(*names, position, F.lit(None).cast(dict(rows.dtypes)["_value"]).alias("_value"), F.lit(0).alias("_kind"))
     merged = _chunked(rows.unionByName(reads), position, chunk)
     ranked = rows.transform(lambda f: _chunked(f, position, chunk)).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*names, "_chunk").orderBy("_value"))
+        "_rank", F.row_number().over(Window.partitionBy(*names, "_chunk").orderBy(C("_value").asc_nulls_first()))
     )
     tops = ranked.where(C("_rank") <= limit).select(*names, "_chunk", "_value")
     starts = merged.select(*names, "_chunk").distinct().withColumns({"_value": F.lit(None).cast(dict(rows.dtypes)["_value"]), "_kind": F.lit(0)})
@@ -147,40 +154,43 @@ def many_read(
     carry_schema = T.StructType(
         [*[merged.schema[name] for name in names], merged.schema["_chunk"], T.StructField("_carry", T.ArrayType(merged.schema["_value"].dataType))]
     )
+    carry_layout = to_arrow_schema(carry_schema)
+
+    def least(values: list) -> list:
+        """The first ``limit`` values in order, NULL before all others."""
+        return sorted(values, key=lambda v: (v is not None, v) if v is not None else (False,))[:limit]
 
     def carry_forward(batches):
         """One ordered pass over the chunk tops of each key, holding ``limit`` values."""
         current, held = None, []
         for batch in batches:
             out = []
-            for row in batch.to_dict("records"):
+            for row in batch.to_pylist():
                 key = tuple(row[name] for name in names)
                 if key != current:
                     current, held = key, []
                 if row["_kind"] == 0:
                     out.append({**dict(zip(names, key)), "_chunk": row["_chunk"], "_carry": list(held)})
                 else:
-                    held = sorted([*held, row["_value"]])[:limit]
-            yield pd.DataFrame(out, columns=[*names, "_chunk", "_carry"])
+                    held = least([*held, row["_value"]])
+            yield pa.RecordBatch.from_pylist(out, carry_layout)
 
-    carry = (
-        entries.repartition(*names).sortWithinPartitions(*names, "_chunk", "_kind").mapInPandas(carry_forward, carry_schema)
-    )
+    carry = entries.repartition(*names).sortWithinPartitions(*names, "_chunk", "_kind").mapInArrow(carry_forward, carry_schema)
     value_type = merged.schema["_value"].dataType
     key_fields = [merged.schema[name] for name in names]
     output = T.StructType([*key_fields, T.StructField(position, T.LongType()), T.StructField("values", T.ArrayType(value_type))])
-
-    def replay(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([position, "_kind"], kind="stable")
-        start = frame["_carry"].iloc[0]
-        held = [] if start is None else list(start)
-        found = []
-        for kind, value in zip(frame["_kind"], frame["_value"]):
-            if kind == 0:
-                found.append(list(held))
+    output_layout = to_arrow_schema(output)
+
+    def replay(rows_and_carry: pa.Table, carried: pa.Table) -> pa.Table:
+        """Every read of a chunk on top of the values carried into it."""
+        starts_with = carried.column("_carry").to_pylist() if carried.num_rows else [None]
+        held, found = list(starts_with[0] or []), []
+        for row in sorted(rows_and_carry.to_pylist(), key=lambda r: (r[position], r["_kind"])):
+            if row["_kind"] == 0:
+                found.append({**{name: row[name] for name in names}, position: row[position], "values": list(held)})
             else:
-                held = sorted([*held, value])[:limit]
-        reads_only = frame[frame["_kind"] == 0]
-        return reads_only[[*names, position]].assign(values=found)
+                held = least([*held, row["_value"]])
+        return pa.Table.from_pylist(found, output_layout)
 
-    return merged.join(carry, [*names, "_chunk"], "left").groupBy(*names, "_chunk").applyInPandas(replay, output)
+    # The carry arrives once per chunk, beside the chunk's rows instead of on each of them.
+    return merged.groupBy(*names, "_chunk").cogroup(carry.groupBy(*names, "_chunk")).applyInArrow(replay, output)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql import types as T
 
 
@@ -22,14 +23,17 @@ def ordered_fold(
     """Fold every key's events in order with ``step(state, event) -> state`` (``state`` starts as None).
 
     Spark partitions by key and sorts on disk where it must; the pass streams Arrow batches
-    and holds the state of one key at a time, so a key of any size fits in memory.
+    and holds the state of one key at a time, so a key of any size fits in memory.  Values keep
+    their types: integers stay integers beside NULLs, and NULL is a key like any other.
     """
     names, wanted = list(keys), [*keys, *columns]
+    result = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    layout = to_arrow_schema(result)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state, done = None, None, []
         for batch in batches:
-            for row in batch.to_dict("records"):
+            for row in batch.to_pylist():
                 key = tuple(row[name] for name in names)
                 if key != current:
                     if current is not None:
@@ -37,10 +41,10 @@ def ordered_fold(
                     current, state = key, None
                 state = step(state, row)
             if done:
-                yield pd.DataFrame(done)
+                yield pa.RecordBatch.from_pylist(done, layout)
                 done = []
         if current is not None:
-            yield pd.DataFrame([{**dict(zip(names, current)), **finish(state)}])
+            yield pa.RecordBatch.from_pylist([{**dict(zip(names, current)), **finish(state)}], layout)
 
     pruned = events.select(*dict.fromkeys([*wanted, *order]))
-    return pruned.repartition(*names).sortWithinPartitions(*names, *order).mapInPandas(run, schema)
+    return pruned.repartition(*names).sortWithinPartitions(*names, *order).mapInArrow(run, result)

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 C = F.col
 
+#: Positions reserved for the turns of one conversation.
+TURN_POSITIONS = 1 << 20
+
 
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
@@ -155,9 +158,9 @@ def conversations_as_records(conversations: DataFrame) -> DataFrame:
     """Conversation turns as prompt and response logs with their reported length."""
     conversation, turn, role = C("conv_id"), C("turn"), C("role")
     kind = F.when(role == "user", "user_prompt").when(role == "assistant", "assistant_response").otherwise("system_note")
-    position = conversation * 1000 + turn + 1
+    position = conversation * TURN_POSITIONS + turn + 1
     length = F.char_length("text").cast("bigint")
-    nanos = (F.lit(1704067200000000000) + position * 1000000000).cast("string")
+    nanos = (F.lit(1704067200000000000) + (conversation * 1000 + turn + 1) * 1000000000).cast("string")
     return emit(
         conversations,
         position.alias("position"),
@@ -182,7 +185,8 @@ def pages_as_url_records(pages: DataFrame, namespace: str = "agent") -> DataFram
     page = C("page_id")
     host = F.lower(F.regexp_extract("url", r"^https?://([^/?#]+)", 1))
     section = F.regexp_extract("url", r"^https?://[^/?#]+/[a-z]+", 0)
-    staged = pages.select("page_id", host.alias("host"), section.alias("section")).select(
+    whole = F.when(C("url").rlike(r"^https?://[^/?#]+"), C("url")).otherwise("")
+    staged = pages.select("page_id", host.alias("host"), section.alias("section"), whole.alias("whole")).select(
         "*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("part")
     )
     staged = staged.where(
@@ -205,12 +209,12 @@ def pages_as_url_records(pages: DataFrame, namespace: str = "agent") -> DataFram
     )
     pattern = (
         F.when(page % 3 == 0, F.upper("host"))
-        .when(page % 3 == 1, F.concat(F.lit("."), F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)))
+        .when(page % 3 == 1, F.concat(F.when(page % 2 == 0, ".").otherwise(""), F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)))
         .otherwise(C("section"))
     )
     attributes = {
         "event.name": F.concat(F.lit(f"{url}."), stem),
-        f"{url}.observed_full": F.when(~exclusion, C("section")),
+        f"{url}.observed_full": F.when(~exclusion, C("whole")),
         f"{url}.host": F.when(observation, declared),
         f"{namespace}.harness": F.when(observation & (page % 6 == 0), "codex"),
         "session.id": F.when(observation & (page % 4 != 3), F.concat(F.lit("session-number-"), (page % 7).cast("string"))),
@@ -222,7 +226,7 @@ def pages_as_url_records(pages: DataFrame, namespace: str = "agent") -> DataFram
         f"{url}.exclusion.kind": F.when(exclusion, kind),
         f"{url}.exclusion.pattern": F.when(exclusion, pattern),
         f"{url}.exclusion.enabled": F.when(exclusion, page % 20 == 0),
-        f"{url}.checked_full": F.when(verdict, C("section")),
+        f"{url}.checked_full": F.when(verdict, C("whole")),
         f"{url}.provider": F.when(verdict, F.when(page % 2 == 0, "safe-browsing-v5").otherwise("web-risk")),
         f"{url}.verdict": F.when(
             verdict, F.when(page % 9 == 0, "clean").when(page % 9 == 3, "suspected").otherwise("error")

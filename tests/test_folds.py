@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from foldtrace.functions.values import pack_nanos, unpack_nanos
-from foldtrace.operators import changes, guard_folds, url_folds
+from foldtrace.operators import changes, custom, guard_folds, url_folds
 from foldtrace.operators.app_folds import session_cost_detail
 
 SCHEMA = (
@@ -153,12 +153,31 @@ def test_ordered_changes_against_a_replay(spark):
 
 def test_many_read_against_a_replay(spark):
     rng = random.Random(6)
-    rows = [(f"k{rng.randrange(3)}", rng.randrange(50), p) for p in range(1, 120)]
+    huge = 9007199254740993
+    rows = [(rng.choice(["k0", "k1", None]), rng.choice([None, huge, huge + 2, rng.randrange(50)]), p) for p in range(1, 120)]
     frame = spark.createDataFrame(rows, "key string, balance long, position long")
     held, expected = {}, {}
     for key, balance, position in rows:
-        expected[position] = sorted(held.setdefault(key, []))[:4]
+        expected[position] = sorted(held.setdefault(key, []), key=lambda v: (v is not None, v or 0))[:4]
         held[key].append(balance)
     for chunk in (10, 1 << 20):
         found = changes.many_read(frame, frame, ["key"], "balance", 4, chunk=chunk).collect()
         assert {row.position: row["values"] for row in found} == expected
+
+
+def test_ordered_fold_keeps_null_keys_and_integers(spark):
+    rows = [(None, 1, 9007199254740993), (None, 2, None), ("a", 3, 5), (None, 4, 2)]
+    frame = spark.createDataFrame(rows, "key string, at long, n long")
+
+    def step(state, event):
+        assert event["n"] is None or isinstance(event["n"], int)
+        return (state or 0) + (event["n"] or 0)
+
+    found = custom.ordered_fold(frame, ["key"], ["at"], step, lambda total: {"total": total}, "key string, total long", ["n"])
+    assert {row.key: row.total for row in found.collect()} == {None: 9007199254740995, "a": 5}
+
+
+def test_running_total_keeps_null_keys(spark):
+    frame = spark.createDataFrame([(None, 1, 2), (None, 2, 3), ("a", 3, 4)], "key string, position long, n long")
+    found = changes.running_total(frame, ["key"], "n", "position").collect()
+    assert {(row.key, row.position): row["_running"] for row in found} == {(None, 1): 2, (None, 2): 5, ("a", 3): 4}
