@@ -57,6 +57,32 @@ _LOWER[0x41:0x5B] += 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+@lru_cache(maxsize=None)
+def _allocate(percent: int, largest: int, least: int) -> tuple[int, int]:
+    """(segments, slack) at the least cost for sets of ``least`` to ``largest`` elements.
+
+    A segment more costs one signature; a set with more empty segments than slack costs its
+    neighbourhood, and meets the other such sets.  Slack grows until it stops paying.
+    """
+    differing = (100 - percent) * 2 * largest // (100 + percent)
+    if not differing:
+        return 1, 0
+    best = None
+    for slack in range(differing + 64):
+        count = differing + 1 + slack
+        empty = count * (1 - 1 / count) ** least
+        tail, term = 1.0, math.exp(-empty)
+        for k in range(slack + 1):
+            tail -= term
+            term *= empty / (k + 1)
+        cost = slack + max(tail, 0.0) * (least + 1e5)
+        if best is None or cost < best[0]:
+            best = (cost, count, slack)
+        elif slack > best[2] + 8:
+            break
+    return best[1], best[2]
+
+
 class Scheme:
     """Bands, segments and slack for one threshold (percent)."""
 
@@ -73,67 +99,82 @@ class Scheme:
         self.band(self.bands[-1]) if band + 1 >= len(self.bands) else None
         return self.bands[band + 1] - 1
 
-    @lru_cache(maxsize=None)
     def segments(self, band: int) -> tuple[int, int]:
         """(segments, slack) of a band."""
-        differing = (100 - self.percent) * 2 * self.largest(band) // (100 + self.percent)
-        if not differing:
-            return 1, 0
-        size = max(1, self.bands[band] * self.percent // 100)
-        best = None
-        for slack in range(0, differing + 40):
-            count = differing + 1 + slack
-            empty = count * (1 - 1 / count) ** size
-            tail, term = 1.0, math.exp(-empty)
-            for k in range(slack + 1):
-                tail -= term
-                term *= empty / (k + 1)
-            # A neighbourhood costs its elements, and its empty segments meet each other.
-            cost = slack + max(tail, 0.0) * (size + 1e5)
-            if best is None or cost < best[0]:
-                best = (cost, count, slack)
-        return best[1], best[2]
-
-    def schemes_of(self, size: int) -> list[int]:
-        """Bands under which a set of this size emits: its own and, if in reach, the next."""
-        own = self.band(size)
-        return [own, own + 1] if self.percent * (self.largest(own) + 1) <= 100 * size else [own]
-
-    def signatures(self, elements: np.ndarray) -> np.ndarray:
-        out = []
+        return _allocate(self.percent, self.largest(band), max(1, self.bands[band] * self.percent // 100))
+
+    def signatures(self, elements: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of consecutive sets, given as all their elements and their sizes.
+
+        Returns the signatures in order of sets, and how many each set has.
+        """
+        sets = np.flatnonzero(sizes)
+        if not len(sets):
+            return np.zeros(0, dtype=np.uint64), np.zeros(len(sizes), dtype=np.int64)
+        self.band(int(sizes.max()) * 100 // self.percent + 2)
+        limits = np.array(self.bands)
+        own = np.searchsorted(limits, sizes, side="right") - 1
+        # The next band is in reach if its least size is near enough to this one.
+        near = self.percent * limits[own + 1] <= 100 * sizes
+        owner = np.repeat(np.arange(len(sizes)), sizes)
         mixed, dealt = fp.mix(elements), (elements * _ODD) >> np.uint64(32)
-        for band in self.schemes_of(len(elements)):
-            count, slack = self.segments(band)
-            segment = ((dealt * np.uint64(count)) >> np.uint64(32)).astype(np.int64)
-            sums = np.zeros(count, dtype=np.uint64)
-            np.add.at(sums, segment, mixed)
-            held = np.bincount(segment, minlength=count)
-            salt = (np.arange(count, dtype=np.uint64) + np.uint64(band << 40)) * _ODD
-            full = np.flatnonzero(held)
-            out.append(fp.mix(sums[full] ^ salt[full]))
-            empty = count - len(full)
-            if empty > slack:
-                out.append(fp.mix(salt[held == 0]))
-                out.append(fp.mix((sums[segment] - mixed) ^ salt[segment]))
-                if 2 * empty > count + slack:
-                    out.append(fp.mix(np.array([band], dtype=np.uint64) + _ODD))
-        return np.unique(np.concatenate(out))
+        whose, found = [], []
+        for band, chosen in ((own, sizes > 0), (own + 1, (sizes > 0) & near)):
+            self._emit(band, np.flatnonzero(chosen), owner, mixed, dealt, chosen, whose, found)
+        whose, found = np.concatenate(whose), np.concatenate(found)
+        return found[np.argsort(whose, kind="stable")], np.bincount(whose, minlength=len(sizes))
+
+    def _emit(self, band, sets, owner, mixed, dealt, chosen, whose, found) -> None:
+        """Signatures of the chosen sets under one band each."""
+        if not len(sets):
+            return
+        plan = np.array([self.segments(int(b)) for b in range(int(band[sets].max()) + 1)])
+        count, slack = plan[band[sets], 0], plan[band[sets], 1]
+        start = np.concatenate([[0], np.cumsum(count)])
+        place = np.zeros(len(band), dtype=np.int64)
+        place[sets] = np.arange(len(sets))
+        if chosen.all():
+            at = place[owner]
+        else:
+            mine = chosen[owner]
+            at, mixed, dealt = place[owner[mine]], mixed[mine], dealt[mine]
+        segment = ((dealt * count[at].astype(np.uint64)) >> np.uint64(32)).astype(np.int64) + start[at]
+        sums = np.zeros(start[-1], dtype=np.uint64)
+        np.add.at(sums, segment, mixed)
+        held = np.bincount(segment, minlength=start[-1]) > 0
+        of = np.repeat(np.arange(len(sets)), count)
+        salt = ((np.arange(start[-1]) - start[of]) + (band[sets][of] << 40)).astype(np.uint64) * _ODD
+        whose.append(sets[of[held]])
+        found.append(fp.mix((sums ^ salt)[held]))
+        empty = count - np.bincount(of[held], minlength=len(sets))
+        sparse = empty > slack
+        if sparse.any():
+            bare = ~held & sparse[of]
+            whose.append(sets[of[bare]])
+            found.append(fp.mix(salt[bare]))
+            lone = sparse[at]
+            whose.append(sets[at[lone]])
+            found.append(fp.mix((sums[segment] - mixed)[lone] ^ salt[segment][lone]))
+            most = 2 * empty > count + slack
+            whose.append(sets[most])
+            found.append(fp.mix(band[sets][most].astype(np.uint64) + _ODD))
 
 
 def shingle_sets(table: pa.Table, width: int):
-    """The sorted distinct shingle fingerprints of every text of a table, in order."""
+    """The sorted distinct shingle fingerprints of every text of a table, in lists by block."""
     data, offsets = ex.text_buffer(table)
     for first, last in fp.blocks(offsets, ex.BLOCK_BYTES):
         part = _LOWER[data[offsets[first] : offsets[last]]]
         starts, ends, at = fp.word_spans(part, offsets[first : last + 1] - offsets[first])
         words = fp.Ranges(part).of(starts, ends) if len(part) else np.zeros(0, dtype=np.uint64)
         at = at if len(part) else np.zeros(last - first + 1, dtype=np.int64)
-        shingles = fp.window_hashes(words, width)
+        shingles, sets = fp.window_hashes(words, width), []
         for low, high in zip(at[:-1].tolist(), at[1:].tolist()):
             if high - low >= width:
-                yield np.unique(shingles[low : high - width + 1])
+                sets.append(np.unique(shingles[low : high - width + 1]))
             else:
-                yield fp.window_hashes(words[low:high], high - low) if high > low else np.zeros(0, dtype=np.uint64)
+                sets.append(fp.window_hashes(words[low:high], high - low) if high > low else np.zeros(0, dtype=np.uint64))
+        yield sets
 
 
 def _bitmap(elements: np.ndarray) -> bytes:
@@ -146,17 +187,20 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def _signature_parts(table: pa.Table, percent: int, width: int):
-    scheme, sets, signatures = Scheme(percent), [], []
-    for elements in shingle_sets(table, width):
-        sets.append(elements)
-        signatures.append(scheme.signatures(elements) if len(elements) else elements)
-    return sets, signatures
+    """Sets of a chunk, their signatures in order, and how many each set has."""
+    scheme, sets, signatures, counts = Scheme(percent), [], [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+    for some in shingle_sets(table, width):
+        found, many = scheme.signatures(np.concatenate([np.zeros(0, dtype=np.uint64), *some]), np.array([len(x) for x in some]))
+        sets += some
+        signatures.append(found)
+        counts.append(many)
+    return sets, np.concatenate(signatures), np.concatenate(counts)
 
 
 def _emit(percent: int, width: int, buckets: int):
     def emit(table: pa.Table) -> pa.Table:
-        _, signatures = _signature_parts(table := ex.in_order(table), percent, width)
-        return ex.Split(np.concatenate(signatures), buckets, SIGNATURE_BITS).entries(ex.chunk_number(table))
+        _, signatures, _ = _signature_parts(ex.in_order(table), percent, width)
+        return ex.Split(signatures, buckets, SIGNATURE_BITS).entries(ex.chunk_number(table))
 
     return emit
 
@@ -169,15 +213,13 @@ def _sets(percent: int, width: int, buckets: int):
 
     def sets(docs: pa.Table, replies: pa.Table) -> pa.Table:
         docs = ex.in_order(docs)
-        found, signatures = _signature_parts(docs, percent, width) if docs.num_rows else ([], [])
-        joined = np.concatenate([np.zeros(0, dtype=np.uint64), *signatures])
-        told, _, several = ex.Split(joined, buckets, SIGNATURE_BITS).apply(ex.replies_of(replies))
+        found, signatures, counts = _signature_parts(docs, percent, width)
+        told, _, several = ex.Split(signatures, buckets, SIGNATURE_BITS).apply(ex.replies_of(replies))
         recurs = told | several
         rows: dict[str, list] = {"node": [], "signatures": [], "bitmap": [], "elements": []}
-        at = 0
-        for elements, own in zip(found, signatures):
-            kept = own[recurs[at : at + len(own)]]
-            at += len(own)
+        ends = np.cumsum(counts)
+        for elements, low, high in zip(found, (ends - counts).tolist(), ends.tolist()):
+            kept = signatures[low:high][recurs[low:high]]
             some = len(kept) > 0
             rows["node"].append(int(_signed(fp.mix(np.array([fp.mix(elements + _ODD).sum(dtype=np.uint64)])))[0]) if some else None)
             rows["signatures"].append(_signed(kept) if some else None)
