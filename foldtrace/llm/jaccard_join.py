@@ -15,12 +15,15 @@ H + 1 + S segments:
 
 The slack S is allocated per band by cost: segments emitted against neighbourhoods expected.
 
-Signatures that occur once are discarded by an exchange of packed fingerprints.  What is left
-is verified exactly, in this order: equal sets collapse to one node; groups of a signature are
-cut into blocks and searched with parity bitmaps, whose distance never exceeds the true one;
-edges that are found are verified on the whole sets; verified links form components; then
-signatures whose members lie in several components are searched again, in the end pair by pair.
-Only links that join components are emitted, never all pairs of a group.
+Documents stay where they are scanned.  A task packs the signatures of its documents by bucket;
+a bucket discards signatures that one set alone has, and the rest become entries (signature,
+node), a node being all documents with an equal set.  The entries are then searched with parity
+bitmaps, whose distance never exceeds the true one: first a sample of signatures, then all whose
+members lie in different components, cut into blocks where a group is large.  Edges found are
+verified exactly on the whole sets; where one is refuted, the signatures that still join
+components are searched again, pair by pair.  Only edges that join components are emitted, never
+all pairs of a group.  The sets of the nodes on edges are made in another scan, which sends only
+sets whose node is in a bit table of fixed size (a false hit costs its bytes, nothing else).
 
 Defined cases: a null text is empty; an empty set links with nothing; a text with fewer words
 than a shingle is one shingle; rows with a null id take part and get the least id of their
@@ -35,20 +38,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as ex
 from . import fingerprints as fp
-from .common import stored, text_of
+from .common import stored, text_bytes, text_of
 from .components import components
 
-#: Bits of a signature sent in the exchange, and bytes of text per signature.
-SIGNATURE_BITS = 40
+#: Bytes of text per signature, for the number of buckets.
 BYTES_PER_SIGNATURE = 16
+#: Bits of the table of nodes whose sets are needed: at most 8 MB for 2 ** 26.
+FILTER_BITS = 26
+#: Elements of sets are compared by so many bits of their fingerprints.
+ELEMENT_BITS = 48
 BITMAP_BITS = 1024
-#: Signatures per node in the first search, entries per search task, members per block.
-FIRST_SIGNATURES = 8
+#: One of so many signatures is in the first search; entries per search task, members per block.
+FIRST_SHARE = 16
 TASK_ENTRIES = 50_000
 BLOCK_MEMBERS = 4096
 
@@ -182,64 +188,140 @@ def _bitmap(elements: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _signed(values: np.ndarray) -> np.ndarray:
-    return values.view(np.int64)
+def _node(elements: np.ndarray) -> int:
+    """The fingerprint of a set, as a signed number."""
+    return int(fp.mix(np.array([fp.mix(elements + _ODD).sum(dtype=np.uint64)])).view(np.int64)[0])
 
 
-def _signature_parts(table: pa.Table, percent: int, width: int):
-    """Sets of a chunk, their signatures in order, and how many each set has."""
-    scheme, sets, signatures, counts = Scheme(percent), [], [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-    for some in shingle_sets(table, width):
-        found, many = scheme.signatures(np.concatenate([np.zeros(0, dtype=np.uint64), *some]), np.array([len(x) for x in some]))
-        sets += some
-        signatures.append(found)
-        counts.append(many)
-    return sets, np.concatenate(signatures), np.concatenate(counts)
+def _tables(batches):
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.Table.from_batches([batch])
 
 
-def _emit(percent: int, width: int, buckets: int):
-    def emit(table: pa.Table) -> pa.Table:
-        _, signatures, _ = _signature_parts(ex.in_order(table), percent, width)
-        return ex.Split(signatures, buckets, SIGNATURE_BITS).entries(ex.chunk_number(table))
+DOC_SCHEMA = "id long, key long, n_shingles long, node long, bitmap binary"
 
-    return emit
 
+def _docs(width: int):
+    """Size, node and bitmap of every document's set; no node for an empty set."""
 
-SET_SCHEMA = "id long, key long, n_shingles long, node long, signatures array<long>, bitmap binary, elements binary"
-
-
-def _sets(percent: int, width: int, buckets: int):
-    """Every document's set; signatures, bitmap and elements only where a signature recurs."""
-
-    def sets(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        docs = ex.in_order(docs)
-        found, signatures, counts = _signature_parts(docs, percent, width)
-        told, _, several = ex.Split(signatures, buckets, SIGNATURE_BITS).apply(ex.replies_of(replies))
-        recurs = told | several
-        rows: dict[str, list] = {"node": [], "signatures": [], "bitmap": [], "elements": []}
-        ends = np.cumsum(counts)
-        for elements, low, high in zip(found, (ends - counts).tolist(), ends.tolist()):
-            kept = signatures[low:high][recurs[low:high]]
-            some = len(kept) > 0
-            rows["node"].append(int(_signed(fp.mix(np.array([fp.mix(elements + _ODD).sum(dtype=np.uint64)])))[0]) if some else None)
-            rows["signatures"].append(_signed(kept) if some else None)
-            rows["bitmap"].append(_bitmap(elements) if some else None)
-            rows["elements"].append(elements.tobytes() if some else None)
-        return pa.table(
-            {
-                "id": docs.column("id"),
-                "key": docs.column("key"),
+    def docs(batches):
+        for table in _tables(batches):
+            found = [x for some in shingle_sets(table, width) for x in some]
+            columns = {
+                "id": table.column("id"),
+                "key": table.column("key"),
                 "n_shingles": pa.array([len(x) for x in found], pa.int64()),
-                "node": pa.array(rows["node"], pa.int64()),
-                "signatures": pa.array(rows["signatures"], pa.list_(pa.int64())),
-                "bitmap": pa.array(rows["bitmap"], pa.binary()),
-                "elements": pa.array(rows["elements"], pa.binary()),
+                "node": pa.array([_node(x) if len(x) else None for x in found], pa.int64()),
+                "bitmap": pa.array([_bitmap(x) if len(x) else None for x in found], pa.binary()),
             }
-        )
+            yield from pa.table(columns).to_batches()
+
+    return docs
+
+
+def _packed(percent: int, width: int, buckets: int):
+    """Signatures by bucket: sorted, with the place of their node in the task's list of nodes."""
+
+    def packed(batches):
+        scheme = Scheme(percent)
+        for table in _tables(batches):
+            sets, nodes = [], []
+            for elements in (x for some in shingle_sets(table, width) for x in some):
+                if len(elements):
+                    sets.append(elements)
+                    nodes.append(_node(elements))
+            names, first = np.unique(np.array(nodes, dtype=np.int64), return_index=True)
+            sets = [sets[k] for k in first.tolist()]  # equal sets once
+            for low in range(0, len(sets), 1024):
+                some = sets[low : low + 1024]
+                found, counts = scheme.signatures(np.concatenate(some), np.array([len(x) for x in some]))
+                yield _by_bucket(found, np.repeat(np.arange(len(some), dtype=np.uint16), counts), names[low : low + 1024], buckets)
+
+    return packed
+
+
+def _by_bucket(signatures: np.ndarray, owner: np.ndarray, names: np.ndarray, buckets: int) -> pa.RecordBatch:
+    order = np.argsort(signatures)
+    signatures, owner = signatures[order], owner[order]
+    bucket = ((signatures >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+    out = {"bucket": [], "signatures": [], "owners": [], "nodes": []}
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        used, place = np.unique(owner[low:high], return_inverse=True)
+        out["bucket"].append(int(bucket[low]))
+        # Two sets may share a signature: steps of 0 are kept by the packing.
+        out["signatures"].append(fp.pack(signatures[low:high]))
+        out["owners"].append(np.ascontiguousarray(place.astype(np.uint16).view(np.uint8).reshape(-1, 2).T).tobytes())
+        out["nodes"].append(names[used].tobytes())
+    return pa.RecordBatch.from_pydict(
+        {"bucket": pa.array(out["bucket"], pa.int32()), **{k: pa.array(out[k], pa.binary()) for k in ("signatures", "owners", "nodes")}}
+    )
+
+
+def _entries_of_bucket(table: pa.Table) -> pa.Table:
+    """(signature, node) of the signatures of a bucket that several nodes have."""
+    signatures, nodes = [], []
+    for packed, owners, names in zip(*(table.column(k).to_pylist() for k in ("signatures", "owners", "nodes"))):
+        values = fp.unpack(packed)
+        place = np.ascontiguousarray(np.frombuffer(owners, dtype=np.uint8).reshape(2, -1).T).view(np.uint16).ravel()
+        signatures.append(values)
+        nodes.append(np.frombuffer(names, dtype=np.int64)[place])
+    values, names = np.concatenate(signatures), np.concatenate(nodes)
+    order = np.lexsort((names, values))
+    values, names = values[order], names[order]
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = (values[1:] != values[:-1]) | (names[1:] != names[:-1])
+    values, names = values[new], names[new]
+    same = values[1:] == values[:-1]
+    several = np.zeros(len(values), dtype=bool)
+    several[1:] |= same
+    several[:-1] |= same
+    return pa.table({"sig": pa.array(values[several].view(np.int64), pa.int64()), "node": pa.array(names[several], pa.int64())})
+
+
+def _sets_of(width: int, wanted):
+    """(node, elements) of documents whose node is in the bit table."""
+
+    def sets(batches):
+        table_of_bits = wanted.value
+        for table in _tables(batches):
+            seen, nodes, elements = set(), [], []
+            for x in (x for some in shingle_sets(table, width) for x in some):
+                if len(x):
+                    node = _node(x)
+                    place = node & (1 << FILTER_BITS) - 1
+                    if node not in seen and table_of_bits[place >> 3] >> (place & 7) & 1:
+                        seen.add(node)
+                        nodes.append(node)
+                        elements.append(fp.pack(np.unique(x & np.uint64((1 << ELEMENT_BITS) - 1))))
+            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "elements": pa.array(elements, pa.binary())})
 
     return sets
 
 
+def _bit_parts(numbers: DataFrame) -> DataFrame:
+    """(bucket, bits): a bit per residue modulo 2 ** FILTER_BITS of column ``node``.
+
+    At most 2 ** FILTER_BITS / 8 bytes in all, whatever the rows.
+    """
+    place = F.pmod("node", F.lit(1 << FILTER_BITS)) + 1  # the bitmap functions count from 1
+    return (
+        numbers.select(place.alias("place"))
+        .groupBy(F.bitmap_bucket_number("place").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    )
+
+
+def bit_table(numbers: DataFrame) -> bytes:
+    """The bits of ``_bit_parts`` as one table."""
+    out = bytearray(1 << FILTER_BITS - 3)
+    for row in _bit_parts(numbers).collect():  # bounded by the size of the table
+        at = (row.bucket - 1) * len(row.bits)
+        out[at : at + len(row.bits)] = row.bits
+    return bytes(out[: 1 << FILTER_BITS - 3])
+
+
 def _allowed(a: int, b: np.ndarray, percent: int) -> np.ndarray:
     """Most differing elements of a similar pair of these sizes; negative if sizes rule it out."""
     most = (100 - percent) * (a + b) // (100 + percent)
@@ -319,7 +401,7 @@ def _verify(percent: int):
             rows = batch.to_pydict()
             similar = []
             for left, right in zip(rows["left"], rows["right"]):
-                x, y = np.frombuffer(left, dtype=np.uint64), np.frombuffer(right, dtype=np.uint64)
+                x, y = fp.unpack(left), fp.unpack(right)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 similar.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_pydict({"a": rows["a"], "b": rows["b"], "similar": pa.array(similar, pa.bool_())})
@@ -328,71 +410,83 @@ def _verify(percent: int):
 
 
 class _Links:
-    """The search over one table of nodes."""
-
-    def __init__(self, nodes: DataFrame, percent: int):
-        self.nodes, self.percent = nodes, percent
-        self.elements = nodes.select("node", "elements")
-        self.tasks = max(1, math.ceil(nodes.select(F.coalesce(F.sum(F.size("signatures")), F.lit(0))).first()[0] / TASK_ENTRIES))
-        self.links: DataFrame | None = None
-        self.labels = nodes.select("node", F.col("node").alias("component"))
-
-    def _entries(self, first_only: bool) -> DataFrame:
-        """(signature, node) of signatures whose members lie in more than one component."""
-        chosen = F.slice(F.sort_array("signatures"), 1, FIRST_SIGNATURES) if first_only else F.col("signatures")
-        all_entries = self.nodes.select("node", F.explode(chosen).alias("sig"))
-        if self.links is not None:
-            all_entries = all_entries.join(self.labels, "node")
+    """The search over the entries of one table of documents."""
+
+    def __init__(self, texts: DataFrame, sets: DataFrame, entries: DataFrame, width: int, percent: int):
+        self.texts, self.entries, self.width, self.percent = texts, entries, width, percent
+        nodes = sets.where("node IS NOT NULL").select("node", F.col("n_shingles").cast("int").alias("size"), "bitmap").dropDuplicates(["node"])
+        self.attributes = stored(nodes.join(entries.select("node").distinct(), "node", "left_semi"), "nodes")
+        self.tasks = max(1, math.ceil(entries.count() / TASK_ENTRIES))
+
+    def search(self, components_so_far: DataFrame | None, first_only: bool = False, every_pair: bool = False) -> DataFrame:
+        """Edges that may be links and join components."""
+        entries = self.entries.where(F.pmod("sig", F.lit(FIRST_SHARE)) == 0) if first_only else self.entries
+        if components_so_far is None:
+            entries = entries.withColumn("component", F.col("node"))
         else:
-            all_entries = all_entries.withColumn("component", F.col("node"))
-        spread = all_entries.groupBy("sig").agg(
+            known = components_so_far.select(F.col("node").alias("n"), F.col("component").alias("c"))
+            entries = entries.join(known, F.col("node") == F.col("n"), "left")
+            entries = entries.select("sig", "node", F.coalesce("c", "node").alias("component"))
+        spread = entries.groupBy("sig").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")
         ).where("low < high")
         # Groups above a block are searched block against block.
         blocks = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
-        entries = all_entries.join(spread.select("sig", blocks.alias("blocks")), "sig")
+        chosen = entries.join(spread.select("sig", blocks.alias("blocks")), "sig")
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         pairs = F.transform(
             F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.xxhash64(F.col("sig"), F.least(own, k), F.greatest(own, k))
         )
         gid = F.when(F.col("blocks") == 1, F.array("sig")).otherwise(pairs)
-        return entries.select("node", "component", F.explode(gid).alias("gid"))
-
-    def round(self, first_only: bool, every_pair: bool) -> int:
-        """Search, verify and link; returns how many edges were refuted."""
-        attributes = self.nodes.select("node", F.col("n_shingles").cast("int").alias("size"), "bitmap")
-        entries = self._entries(first_only).join(attributes, "node")
+        dealt = chosen.select("node", "component", F.explode(gid).alias("gid")).join(self.attributes, "node")
         task = F.pmod(F.xxhash64("gid"), F.lit(self.tasks)).cast("int")
-        edges = entries.withColumn("task", task).groupBy("task").applyInArrow(_search(self.percent, every_pair), "a long, b long")
-        left = edges.distinct().join(self.elements.toDF("b", "right"), "b")
-        both = left.join(self.elements.toDF("a", "left"), "a").select("a", "b", "left", "right")
-        judged = stored(both.mapInArrow(_verify(self.percent), "a long, b long, similar boolean"), "judged")
-        counts = {r[0]: r[1] for r in judged.groupBy("similar").count().collect()}
-        if counts.get(True):
-            found = judged.where("similar").select("a", "b")
-            self.links = found if self.links is None else self.links.union(found)
-            found = components(self.links)
-            self.labels = stored(
-                self.nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels"
-            )
-        return counts.get(False, 0)
-
-
-def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(documents with size and node, labels of nodes): see ``join_components``."""
-    chunks, total = ex.ordered_chunks(docs, id_col, text_col)
+        edges = dealt.withColumn("task", task).groupBy("task").applyInArrow(_search(self.percent, every_pair), "a long, b long")
+        return stored(edges.distinct(), "edges")
+
+    def elements(self, edges: DataFrame) -> DataFrame:
+        """The sets of the nodes on edges, from another scan of the texts."""
+        needed = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+        wanted = self.texts.sparkSession.sparkContext.broadcast(bit_table(needed))
+        made = self.texts.select("text").mapInArrow(_sets_of(self.width, wanted), "node long, elements binary")
+        return stored(made.join(needed, "node", "left_semi").dropDuplicates(["node"]), "elements")
+
+    def verified(self, edges: DataFrame, elements: DataFrame) -> DataFrame:
+        left = edges.join(elements.toDF("b", "right"), "b")
+        both = left.join(elements.toDF("a", "left"), "a").select("a", "b", "left", "right")
+        return stored(both.mapInArrow(_verify(self.percent), "a long, b long, similar boolean"), "judged")
+
+    def labels(self) -> DataFrame:
+        """(node, component) of every node that is linked with another one."""
+        edges = self.search(None, first_only=True)
+        edges = edges.union(self.search(components(edges)))
+        elements = self.elements(edges)
+        judged = self.verified(edges, elements)
+        found = components(judged.where("similar").select("a", "b"))
+        if judged.where("NOT similar").limit(1).count():
+            # A refuted edge may have hidden others.  Every node that may have a link was on
+            # some edge, so its set is at hand.
+            more = self.verified(self.search(found, every_pair=True), elements)
+            judged = judged.union(more)
+            found = components(judged.where("similar").select("a", "b"))
+        return found
+
+
+def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """(id, key, n_shingles, component) per document.
+
+    ``key`` is a fingerprint of the text; ``component`` is null for sets without words, and the
+    node itself where nothing is linked with it.
+    """
+    total, _ = text_bytes(docs, text_col)
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
     buckets = ex.bucket_count(total / BYTES_PER_SIGNATURE)
-    by_chunk = chunks.withColumn("key", F.xxhash64("text")).groupBy("chunk")
-    replies = ex.ask(by_chunk.applyInArrow(_emit(percent, width, buckets), ex.ENTRY_SCHEMA), "repeated")
-    sets = stored(by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(_sets(percent, width, buckets), SET_SCHEMA), "sets")
-    # Equal sets become one node; any of its rows stands for it.
-    nodes = stored(sets.where("node IS NOT NULL").dropDuplicates(["node"]).drop("id", "key"), "nodes")
-    links = _Links(nodes, percent)
-    refuted = links.round(first_only=True, every_pair=False)
-    refuted = links.round(first_only=False, every_pair=False)
-    if refuted:
-        links.round(first_only=False, every_pair=True)
-    return sets.select("id", "key", "n_shingles", "node"), links.labels
+    sets = stored(texts.mapInArrow(_docs(width), DOC_SCHEMA), "sets")
+    packed = texts.select("text").mapInArrow(_packed(percent, width, buckets), "bucket int, signatures binary, owners binary, nodes binary")
+    entries = stored(packed.groupBy("bucket").applyInArrow(_entries_of_bucket, "sig long, node long"), "entries")
+    labels = _Links(texts, sets, entries, width, percent).labels().withColumnRenamed("node", "n")
+    return sets.join(labels, F.col("node") == F.col("n"), "left").select(
+        "id", "key", "n_shingles", F.coalesce("component", "node").alias("component")
+    )
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -401,12 +495,11 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The component is that of the graph whose links are all pairs with Jaccard similarity of
     at least ``percent``; its id is the least document id in it.
     """
-    sets, labels = linked_sets(docs, id_col, text_col, width, percent)
-    alone = sets.where("node IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))
-    grouped = sets.where("node IS NOT NULL").join(labels, "node")
-    least = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
-    found = grouped.join(least, "component").select("id", "n_shingles", "component_id")
-    return alone.union(found).select(F.col("id").alias(id_col), "n_shingles", "component_id")
+    found = linked_sets(docs, id_col, text_col, width, percent)
+    least = found.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("component_id"))
+    joined = found.join(least.withColumnRenamed("component", "c"), F.col("component") == F.col("c"), "left")
+    own = F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return joined.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -414,19 +507,30 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     Rows that repeat an id and its text become one row.  Of equal least ids the least
     fingerprint of the text stays; a component without any id keeps one text likewise.  Texts
-    without words are near to nothing and stay.
+    without words are near to nothing and stay, repeated or not.
     """
-    sets, labels = linked_sets(docs, id_col, text_col, width, percent)
-    linked = sets.where("node IS NOT NULL").join(labels, "node")
+    linked = stored(linked_sets(docs, id_col, text_col, width, percent).where("component IS NOT NULL").select("id", "key", "component"), "linked")
     order = F.struct(F.col("id").isNull(), "id", "key")  # rows with an id first
-    best = linked.groupBy("component").agg(F.min(order).alias("best"))
-    gone = linked.join(best, "component").where(~F.col("best.id").eqNullSafe(F.col("id")) | (F.col("best.key") != F.col("key")))
-    gone = gone.select(F.col("id").alias("i"), F.col("key").alias("k")).distinct()
+    best = linked.groupBy("component").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    kept = F.col("best.id").eqNullSafe(F.col("id")) & (F.col("best.key") == F.col("key"))
+    grouped = linked.join(best, "component").select("id", "key", kept.alias("kept"))
+    # Whether a row of a group with others stays: one verdict per id and text.
+    verdicts = stored(grouped.groupBy("id", "key").agg(F.max("kept").alias("kept")), "verdicts")
     row = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row")
     keyed = docs.select(row, F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_of(text_col)).alias("key"))
-    left = keyed.join(gone, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left_anti")
-    again = F.row_number().over(Window.partitionBy("id", "key").orderBy("key"))
-    return left.withColumn("again", again).where("again = 1").select("row.*")
+    # Rows that a bit table of fixed size rules out of all groups are passed on without a shuffle.
+    place = F.pmod("key", F.lit(1 << FILTER_BITS)) + 1
+    bits = _bit_parts(verdicts.select(F.col("key").alias("node"))).withColumnRenamed("bucket", "part")
+    marked = keyed.withColumn("place", place).join(F.broadcast(bits), F.bitmap_bucket_number("place") == F.col("part"), "left")
+    at = F.bitmap_bit_position("place").cast("int")
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))
+    marked = marked.select("row", "id", "key", hit.alias("hit"))
+    names = verdicts.toDF("i", "k", "kept")
+    tested = marked.where("hit").join(names, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left")
+    once = tested.where("kept").groupBy("id", "key").agg(F.first("row").alias("row"))
+    passed = marked.where("NOT hit").select("row").union(tested.where("kept IS NULL").select("row")).union(once.select("row"))
+    return passed.select("row.*")
 
 
 def oracle(width: int, percent: int) -> str:
