@@ -20,8 +20,9 @@ a bucket discards signatures that one set alone has, and the rest become entries
 node), a node being all documents with an equal set.  The entries are then searched with parity
 bitmaps, whose distance never exceeds the true one: first a sample of signatures, then all whose
 members lie in different components, cut into blocks where a group is large.  Edges found are
-verified exactly on the whole sets; where one is refuted, the signatures that still join
-components are searched again, pair by pair.  Only edges that join components are emitted, never
+verified exactly on the whole sets.  Where one is refuted, it may have hidden others: the nodes
+that edges join, true or not, then meet block against block, and their intersections are counted
+exactly, as products of membership matrices.  Only edges that join components are emitted, never
 all pairs of a group.  The sets of the nodes on edges are made in another scan, which sends only
 sets whose node is in a bit table of fixed size (a false hit costs its bytes, nothing else).
 
@@ -57,6 +58,8 @@ BITMAP_BITS = 1024
 FIRST_SHARE = 16
 TASK_ENTRIES = 50_000
 BLOCK_MEMBERS = 4096
+#: Members per block where whole sets meet.
+CROSS_MEMBERS = 512
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -328,11 +331,11 @@ def _allowed(a: int, b: np.ndarray, percent: int) -> np.ndarray:
     return np.where(100 * np.minimum(a, b) >= percent * np.maximum(a, b), most, -1)
 
 
-def _search(percent: int, every_pair: bool):
+def _search(percent: int):
     """Edges between members of a group that lie in different components and may be similar.
 
-    Without ``every_pair`` a found edge counts as a link at once: breadth first, so a dense
-    group costs about as many comparisons as members.
+    A found edge counts as a link at once: breadth first, so a dense group costs about as many
+    comparisons as members.
     """
 
     def search(table: pa.Table) -> pa.Table:
@@ -356,14 +359,14 @@ def _search(percent: int, every_pair: bool):
                 continue
             seen.add(key)
             at = first + low
-            _search_group(nodes, size[at], component[at], bitmap[at], percent, every_pair, out)
+            _search_group(nodes, size[at], component[at], bitmap[at], percent, out)
         a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return search
 
 
-def _search_group(nodes, size, component, bitmap, percent, every_pair, out) -> None:
+def _search_group(nodes, size, component, bitmap, percent, out) -> None:
     def near(k: int, others: np.ndarray) -> np.ndarray:
         differing = np.bitwise_count(bitmap[k] ^ bitmap[others]).sum(axis=1)
         return others[differing <= _allowed(int(size[k]), size[others].astype(np.int64), percent)]
@@ -372,12 +375,6 @@ def _search_group(nodes, size, component, bitmap, percent, every_pair, out) -> N
         x, y = int(nodes[k]), int(nodes[j])
         out.add((x, y) if x < y else (y, x))
 
-    if every_pair:
-        for k in range(len(nodes) - 1):
-            others = np.arange(k + 1, len(nodes))
-            for j in near(k, others[component[others] != component[k]]).tolist():
-                add(k, j)
-        return
     _, label = np.unique(component, return_inverse=True)
     waiting = np.ones(len(nodes), dtype=bool)
     while waiting.any():
@@ -395,6 +392,34 @@ def _search_group(nodes, size, component, bitmap, percent, every_pair, out) -> N
                     queue += joined.tolist()
 
 
+def _cross(percent: int):
+    """One link for every two components of a group that some similar pair joins."""
+
+    def cross(table: pa.Table) -> pa.Table:
+        sets = [fp.unpack(x) for x in table.column("elements").to_pylist()]
+        node, component = table.column("n").to_numpy(), table.column("component").to_numpy()
+        size = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets)), size)
+        _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(count > 1)  # other elements are in no intersection
+        column = np.full(len(count), -1)
+        column[shared] = np.arange(len(shared))
+        column = column[place]
+        both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+        width = max(1, (8 << 20) // max(1, len(sets)))
+        for low in range(0, len(shared), width):
+            chosen = (column >= low) & (column < low + width)
+            held = np.zeros((len(sets), min(width, len(shared) - low)), dtype=np.float32)
+            held[owner[chosen], column[chosen] - low] = 1
+            both += held @ held.T
+        similar = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        a, b = np.nonzero(similar & (component[:, None] < component[None, :]))
+        _, first = np.unique(np.stack([component[a], component[b]], axis=1), axis=0, return_index=True)
+        return pa.table({"a": pa.array(node[a[first]], pa.int64()), "b": pa.array(node[b[first]], pa.int64())})
+
+    return cross
+
+
 def _verify(percent: int):
     def verify(batches):
         for batch in batches:
@@ -418,7 +443,7 @@ class _Links:
         self.attributes = stored(nodes.join(entries.select("node").distinct(), "node", "left_semi"), "nodes")
         self.tasks = max(1, math.ceil(entries.count() / TASK_ENTRIES))
 
-    def search(self, components_so_far: DataFrame | None, first_only: bool = False, every_pair: bool = False) -> DataFrame:
+    def search(self, components_so_far: DataFrame | None, first_only: bool = False) -> DataFrame:
         """Edges that may be links and join components."""
         entries = self.entries.where(F.pmod("sig", F.lit(FIRST_SHARE)) == 0) if first_only else self.entries
         if components_so_far is None:
@@ -440,7 +465,7 @@ class _Links:
         gid = F.when(F.col("blocks") == 1, F.array("sig")).otherwise(pairs)
         dealt = chosen.select("node", "component", F.explode(gid).alias("gid")).join(self.attributes, "node")
         task = F.pmod(F.xxhash64("gid"), F.lit(self.tasks)).cast("int")
-        edges = dealt.withColumn("task", task).groupBy("task").applyInArrow(_search(self.percent, every_pair), "a long, b long")
+        edges = dealt.withColumn("task", task).groupBy("task").applyInArrow(_search(self.percent), "a long, b long")
         return stored(edges.distinct(), "edges")
 
     def elements(self, edges: DataFrame) -> DataFrame:
@@ -455,19 +480,31 @@ class _Links:
         both = left.join(elements.toDF("a", "left"), "a").select("a", "b", "left", "right")
         return stored(both.mapInArrow(_verify(self.percent), "a long, b long, similar boolean"), "judged")
 
+    def crossing(self, edges: DataFrame, found: DataFrame, elements: DataFrame) -> DataFrame:
+        """Links between components that edges, true or not, join: every pair is counted exactly."""
+        near = components(edges).select(F.col("node").alias("n"), F.col("component").alias("near"))
+        own = found.select(F.col("node").alias("m"), "component")
+        nodes = near.join(own, F.col("n") == F.col("m"), "left").select("n", "near", F.coalesce("component", "n").alias("component"))
+        mixed = nodes.groupBy("near").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
+        mixed = mixed.where("low < high").select(F.col("near").alias("k"), F.ceil(F.col("members") / CROSS_MEMBERS).cast("int").alias("blocks"))
+        place = F.pmod(F.xxhash64("n"), F.col("blocks")).cast("int")
+        pairs = F.transform(
+            F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.xxhash64(F.col("near"), F.least(place, k), F.greatest(place, k))
+        )
+        dealt = nodes.join(mixed, F.col("near") == F.col("k")).select("n", "component", F.explode(pairs).alias("gid"))
+        return dealt.join(elements, F.col("n") == F.col("node")).groupBy("gid").applyInArrow(_cross(self.percent), "a long, b long")
+
     def labels(self) -> DataFrame:
         """(node, component) of every node that is linked with another one."""
         edges = self.search(None, first_only=True)
         edges = edges.union(self.search(components(edges)))
         elements = self.elements(edges)
         judged = self.verified(edges, elements)
-        found = components(judged.where("similar").select("a", "b"))
+        links = judged.where("similar").select("a", "b")
+        found = components(links)
         if judged.where("NOT similar").limit(1).count():
-            # A refuted edge may have hidden others.  Every node that may have a link was on
-            # some edge, so its set is at hand.
-            more = self.verified(self.search(found, every_pair=True), elements)
-            judged = judged.union(more)
-            found = components(judged.where("similar").select("a", "b"))
+            # Every node that may have a link is on some edge, and edges join whatever may be linked.
+            found = components(links.union(self.crossing(edges, found, elements)))
         return found
 
 
