@@ -77,17 +77,17 @@ def _allocate(percent: int, largest: int, least: int) -> tuple[int, int]:
     if not differing:
         return 1, 0
     best = None
-    for slack in range(differing + 64):
+    for slack in range(2 * differing + 64):
         count = differing + 1 + slack
         empty = count * (1 - 1 / count) ** least
         tail, term = 1.0, math.exp(-empty)
         for k in range(slack + 1):
             tail -= term
             term *= empty / (k + 1)
-        cost = slack + max(tail, 0.0) * (least + 1e5)
+        cost = slack + max(tail, 0.0) * (least + 1e4)
         if best is None or cost < best[0]:
             best = (cost, count, slack)
-        elif slack > best[2] + 8:
+        elif tail < 0.5 and slack > best[2] + 8:
             break
     return best[1], best[2]
 
@@ -248,6 +248,8 @@ def _by_bucket(signatures: np.ndarray, owner: np.ndarray, names: np.ndarray, buc
     order = np.argsort(signatures)
     signatures, owner = signatures[order], owner[order]
     bucket = ((signatures >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    # Inside a bucket 40 bits are left: signatures that look alike by chance cost a check.
+    signatures = signatures >> np.uint64(max(0, 24 - buckets.bit_length()))
     edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
     out = {"bucket": [], "signatures": [], "owners": [], "nodes": []}
     for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
