@@ -250,10 +250,6 @@ def counter(value: Value) -> Column:
     return F.when(value.exists, value.number).otherwise(F.lit(0.0))
 
 
-def counter_can_overflow(value: Value) -> bool:
-    return not value.is_absent
-
-
 def not_integral(number: Column) -> Column:
     """True when a number breaks the INTEGER rule: not whole, or outside +-(2^53-1)."""
     wide = number.cast("double")

@@ -18,8 +18,6 @@ from .folds import latest_rows
 
 C = F.col
 CHUNK_POSITIONS = 1 << 20
-# Order of change kinds within one program run.
-OP_RANK = {"insert": 0, "upsert": 1, "delete": 2}
 
 
 def change_order(op: str = "op", position: str = "position", ordinal: str = "ordinal", step: str = "step") -> Column:
@@ -100,11 +98,6 @@ def insert_conflicts(changes: DataFrame, keys: Sequence[str], prior: DataFrame |
     )
 
 
-def unique_violations(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Values of a UNIQUE column set held by more than one row."""
-    return rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-
-
 def lookup(events: DataFrame, rows: DataFrame, on: Sequence[str], prefix: str = "read_") -> DataFrame:
     """OPTIONAL ONE read of a keyed table or view: its columns, NULL when there is no row."""
     renamed = rows.select(*on, F.lit(True).alias(f"{prefix}found"), *[C(n).alias(prefix + n) for n in rows.columns if n not in on])
@@ -120,12 +113,6 @@ def lookup_one(events: DataFrame, rows: DataFrame, on: Sequence[str], prefix: st
     )
 
 
-def count_before(events: DataFrame, keys: Sequence[str], limit: int, position: str = "position") -> DataFrame:
-    """Rows a MANY read with this limit returns, where every earlier event of the key left one row."""
-    sums = running_total(events.withColumn("_one", F.lit(1).cast("bigint")), keys, "_one", position)
-    return sums.select(*keys, position, F.least(C("_running") - 1, F.lit(limit)).alias("rows_seen"))
-
-
 def many_read(
     events: DataFrame,
     history: DataFrame,

@@ -49,10 +49,19 @@ class App:
         return effective_events(self.normalize(records))
 
     def tables(self, records: DataFrame, only: str | None = None) -> Tables:
-        """Tables of a batch that starts from nothing; ``only`` plans a single one."""
+        """Tables of a batch that starts from nothing; ``only`` plans a single one.
+
+        Records that the normalizer refuses are left out and the rest is folded; ``refused``
+        returns them.  A stream stops before the first of them instead (``Runner``), so the two
+        agree where nothing is refused.
+        """
         plans = self.fold(self.events(records), {})
         return {name: plan() for name, plan in plans.items() if only is None or name == only}
 
+    def refused(self, records: DataFrame) -> DataFrame:
+        """(position, reason) of the records that cannot be applied."""
+        return self.normalize(records).where(F.col("error_reason").isNotNull()).select("position", F.col("error_reason").alias("reason"))
+
     def validate(self, records: DataFrame) -> dict[str, str]:
         """Check keys against analysed schemas; returns the contract digest of every export."""
         tables = self.tables(records.limit(0))

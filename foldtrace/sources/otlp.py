@@ -289,6 +289,18 @@ def _canonical(decoded: str, signal: str) -> str:
 
 STRING_TABLE = r'"(keyStrindex|stringValueStrindex)":[1-9]'
 NON_FINITE = r'"doubleValue":"-?(NaN|Infinity|inf)"'
+# What compact JSON text shows of values that would otherwise decode to nothing.  A quote inside
+# a text is escaped there, so these marks only match the structure.
+_NUMBER = r"-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?"
+WRONG_SHAPES = (
+    (r'"(resource(Logs|Spans|Metrics)|scope(Logs|Spans|Metrics)|logRecords|spans|metrics|dataPoints|attributes|values)":(?!\[|null)', "a list is expected"),
+    (r'"(resource|scope|arrayValue|kvlistValue)":(?!\{|null)', "an object is expected"),
+    (r'"key":(?!"|null)|"(stringValue|bytesValue)":(?!"|null)', "a text is expected"),
+    (r'"intValue":(?!("-?\d{1,19}"|-?\d{1,19})[,}]|null)', "an integer is expected"),
+    (rf'"doubleValue":(?!("{_NUMBER}"|{_NUMBER})[,}}]|null)', "a number is expected"),
+    (r'"boolValue":(?!true|false|null)', "a boolean is expected"),
+    (r'"key":(""|null)', "attribute key is empty"),
+)
 
 
 def canonicalize(requests: DataFrame, signals: tuple[str, ...] = tuple(GROUPS)) -> DataFrame:
@@ -326,7 +338,11 @@ def canonicalize(requests: DataFrame, signals: tuple[str, ...] = tuple(GROUPS))
         .when(C("_text").rlike(STRING_TABLE), "string-table attributes are unsupported")
         .when(C("_text").rlike(NON_FINITE), "non-finite double")
         .when(C("_pointless"), "metric has no supported data points")
-        .otherwise(
+    )
+    for pattern, said in WRONG_SHAPES:
+        reason = reason.when(C("_text").rlike(pattern), said)
+    reason = (
+        reason.otherwise(
             F.coalesce(
                 F.expr("get(transform(filter(records, r -> r.value.problem IS NOT NULL), r -> r.value.problem), 0)"),
                 F.expr(

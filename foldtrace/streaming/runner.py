@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import threading
 from collections.abc import Sequence
+from urllib.parse import quote
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.apps import App
 from ..session import tune
 from ..sources import otlp
-from .lifecycle import Frontier, advance, ineffective_sample, intake, same_shape
+from .lifecycle import REASON_CHARS, Frontier, advance, ineffective_sample, intake, same_shape
 from .store import Store
 
 
@@ -20,28 +24,27 @@ class Runner:
 
     def __init__(self, spark: SparkSession, root: str, apps: Sequence[App]) -> None:
         self.spark, self.store, self.apps = tune(spark), Store(spark, root), list(apps)
+        self._publishing = threading.Lock()
 
     def install(self, app: App, continue_tables: bool = False) -> None:
         """Start an app at the current head; ``continue_tables`` keeps tables of the same shape."""
         state = self.store.read()
         entry = state["apps"].get(app.name)
         if entry is None or not continue_tables:
-            state["apps"][app.name] = {
-                "frontier": Frontier(boundary=state["head"], position=state["head"]).as_dict(),
-                "tables": {},
-                "schemas": {},
-                "revision": app.revision,
-                "sample": [],
-            }
+            state["apps"][app.name] = self._entry(app, state["head"])
         else:
             entry["revision"] = app.revision
         state["version"] += 1
         self.store.publish(state)
 
-    def process_records(self, records: DataFrame, batch: int) -> None:
-        """Apply a batch of positioned records once; a repeated batch changes nothing."""
+    def process_records(self, records: DataFrame, batch: int, stream: str = "records") -> None:
+        """Apply a batch of positioned records once; a repeated batch changes nothing.
+
+        Batches are numbered per ``stream``: several streams feed one store, and each one's
+        last batch is kept.  Their records share one sequence of positions.
+        """
         state = self.store.read()
-        if batch <= state["batch"]:
+        if batch <= state["batches"].get(stream, -1):
             return
         version = state["version"] + 1
         records = records.persist(StorageLevel.MEMORY_AND_DISK)
@@ -54,19 +57,42 @@ class Runner:
             if not self.apps:
                 state["unrouted"] += sum(row.records for row in arrived)
             for app in self.apps:
-                self._apply(app, records, state, version)
+                self._apply_alone(app, records, state, version)
             head = records.agg(F.max("position")).first()[0]
             state["head"] = max(state["head"], head or 0)
-            state["version"], state["batch"] = version, batch
+            state["version"], state["batches"][stream] = version, batch
             self.store.publish(state)
         finally:
             records.unpersist()
 
+    def _apply_alone(self, app: App, records: DataFrame, state: dict, version: int) -> None:
+        """Apply one app; what it cannot take becomes its gap and does not stop the others.
+
+        Only errors of the app's own rules count (``ValueError``, unresolved columns); a failed
+        job still fails the batch, which is then repeated as a whole.
+        """
+        before = json.dumps(state["apps"].get(app.name))
+        try:
+            self._apply(app, records, state, version)
+        except (ValueError, AnalysisException) as error:
+            entry = json.loads(before) or self._entry(app)
+            frontier = Frontier.of(entry["frontier"])
+            if frontier.gap_position is None:
+                frontier.complete = False
+                frontier.gap_position = max(frontier.position, frontier.boundary) + 1
+                frontier.gap_reason = str(error)[:REASON_CHARS]
+            frontier.detached += records.where(F.col("position") > max(frontier.position, frontier.boundary)).count()
+            entry["frontier"] = frontier.as_dict()
+            state["apps"][app.name] = entry
+
+    @staticmethod
+    def _entry(app: App, boundary: int = 0) -> dict:
+        """State of an app that starts after a position."""
+        frontier = Frontier(boundary=boundary, position=boundary).as_dict()
+        return {"frontier": frontier, "tables": {}, "schemas": {}, "revision": app.revision, "sample": []}
+
     def _apply(self, app: App, records: DataFrame, state: dict, version: int) -> None:
-        entry = state["apps"].setdefault(
-            app.name,
-            {"frontier": Frontier().as_dict(), "tables": {}, "schemas": {}, "revision": app.revision, "sample": []},
-        )
+        entry = state["apps"].setdefault(app.name, self._entry(app))
         prior = self.store.tables(state, app.name)
         normalized = app.normalize(records).persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -88,22 +114,33 @@ class Runner:
         finally:
             normalized.unpersist()
 
-    def process_requests(self, requests: DataFrame, batch: int) -> None:
+    def process_requests(self, requests: DataFrame, batch: int, stream: str = "requests") -> None:
         """Canonicalise a batch of OTLP requests, position them after the head, and apply them."""
         state = self.store.read()
-        if batch <= state["batch"]:
+        if batch <= state["batches"].get(stream, -1):
             return
         canonical = otlp.canonicalize(otlp.numbered(requests)).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            otlp.rejected(canonical).write.mode("overwrite").parquet(f"{self.store.root}/rejects/batch={batch}")
-            self.process_records(otlp.positioned_records(canonical, state["head"]), batch)
+            otlp.rejected(canonical).write.mode("overwrite").parquet(f"{self.store.root}/rejects/stream={quote(stream, safe='')}/batch={batch}")
+            self.process_records(otlp.positioned_records(canonical, state["head"]), batch, stream)
         finally:
             canonical.unpersist()
 
-    def start(self, requests: DataFrame, checkpoint: str):
-        """Streaming query over a request stream (see ``otlp.stream_requests``)."""
+    def start(self, requests: DataFrame, checkpoint: str, stream: str | None = None):
+        """Streaming query over a request stream (see ``otlp.stream_requests``).
+
+        The stream's name is its checkpoint unless given: a fresh checkpoint numbers its batches
+        from 0 again and so is a stream of its own.  Batches of several queries in one driver
+        are published one after the other.
+        """
+        name = stream or checkpoint
+
+        def process(frame: DataFrame, batch: int) -> None:
+            with self._publishing:
+                self.process_requests(frame, batch, name)
+
         return (
-            requests.writeStream.foreachBatch(lambda frame, batch: self.process_requests(frame, batch))
+            requests.writeStream.foreachBatch(process)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start()
@@ -114,14 +151,7 @@ class Runner:
         state = self.store.read()
         version = state["version"] + 1
         state["apps"].pop(app.name, None)
-        entry = {
-            "frontier": Frontier(boundary=boundary, position=boundary).as_dict(),
-            "tables": {},
-            "schemas": {},
-            "revision": app.revision,
-            "sample": [],
-        }
-        state["apps"][app.name] = entry
+        state["apps"][app.name] = self._entry(app, boundary)
         self._apply(app, canonical_records.where(F.col("position") > boundary), state, version)
         state["version"] = version
         self.store.publish(state)

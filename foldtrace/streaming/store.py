@@ -11,7 +11,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-EMPTY: dict = {"version": 0, "batch": -1, "head": 0, "apps": {}, "intake": {}, "unrouted": 0}
+EMPTY: dict = {"version": 0, "batches": {}, "head": 0, "apps": {}, "intake": {}, "unrouted": 0}
 
 
 class Store:

@@ -81,18 +81,42 @@ def test_gap_stops_one_app_and_keeps_the_prefix(spark, tmp_path):
 
 def test_negative_total_is_a_gap_only_below_zero(spark, tmp_path):
     events = read_table(spark, SMALL, "events").where("event_id < 120")
-    # The first tool duration of a family bucket goes negative, then the total would follow.
-    negative = {"duration_ms": "CASE WHEN timed AND slot <> 1 THEN IF(event_id = 60, -1000000, floor(value * 20)) END"}
-    frame = events_as_records(events, negative)
     app = apps.activity_stats()
-    bad_event = frame.where("position = 61 AND attributes.duration_ms < 0 AND source <> 'demo-agent'").count()
+    plain = app.normalize(events_as_records(events)).where("effective AND duration_milliseconds IS NOT NULL")
+    # The first timed event of its bucket: whatever follows, its total is the first to fall below zero.
+    first = plain.agg(F.min("position")).first()[0]
+    for value, gap in ((-1, first), (0, None)):
+        changed = {name: f"CASE WHEN timed THEN IF(event_id + 1 = {first}, {value}, floor(value * 20)) END" for name in ("duration_ms", "latency_ms")}
+        runner = Runner(spark, str(tmp_path / f"store{value}"), [app])
+        runner.process_records(events_as_records(events, changed), 0)
+        status = runner.status().first()
+        assert status.gap_position == gap and ("CHECK" in status.gap_reason if gap else status.complete)
+
+
+def test_streams_have_ledgers_of_their_own(spark, records, tmp_path):
+    app = apps.signal_counts()
     runner = Runner(spark, str(tmp_path / "store"), [app])
-    runner.process_records(frame, 0)
-    status = runner.status().first()
-    if bad_event and app.normalize(frame).where("position = 61 AND effective").count():
-        assert status.gap_position == 61 and "CHECK" in status.gap_reason
-    else:
-        assert status.complete
+    parts = [records.where(F.col("position").between(low, low + 49)) for low in (1, 51, 101)]
+    runner.process_records(parts[0], 0, "logs")
+    runner.process_records(parts[1], 0, "spans")
+    runner.process_records(parts[1], 0, "spans")
+    runner.process_records(parts[2], 1, "logs")
+    state = runner.store.read()
+    assert state["batches"] == {"logs": 1, "spans": 0} and state["head"] == 150
+    expected = app.tables(records.where("position <= 150"))["signal_counts"]
+    assert rows(runner.store.table(state, app.name, "signal_counts")) == rows(expected)
+
+
+def test_an_app_that_cannot_start_does_not_stop_others(spark, records, tmp_path):
+    good, late = apps.signal_counts(), apps.session_cost()
+    runner = Runner(spark, str(tmp_path / "store"), [good])
+    runner.process_records(records.where("position <= 60"), 0)
+    runner.apps.append(late)  # never installed: its positions do not start at 1
+    runner.process_records(records.where("position BETWEEN 61 AND 90"), 1)
+    status = {row.app: row for row in runner.status().collect()}
+    assert status["signal-counts"].position == 90 and status["signal-counts"].complete
+    stopped = status["session-cost"]
+    assert stopped.gap_position == 1 and "do not continue" in stopped.gap_reason and stopped.detached == 30
 
 
 def test_boundary_install_and_rebuild(spark, records, tmp_path):

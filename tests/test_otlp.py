@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from foldtrace.plans import apps
 from foldtrace.sources import otlp
 
-from .fixtures.cross_harness import BASE, ONE_METRIC, ONE_SPAN, attribute, cross_harness, log, resource
+from .fixtures.cross_harness import BASE, DAY, MINUTE, ONE_METRIC, ONE_SPAN, attribute, log, resource, working_day
 
 SCHEMA = "request_block string, request_line long, signal string, body string"
 
@@ -15,30 +15,31 @@ def canonical(spark, *bodies):
     return otlp.canonicalize(spark.createDataFrame(rows, SCHEMA))
 
 
-def test_acceptance_of_the_demo_records(spark):
-    frame = canonical(spark, ("log", cross_harness()), ("span", ONE_SPAN), ("metric", ONE_METRIC))
+def test_a_working_day_through_the_apps(spark):
+    frame = canonical(spark, ("log", working_day()), ("span", ONE_SPAN), ("metric", ONE_METRIC))
     records = otlp.positioned_records(frame).cache()
     rows = records.select("position", "event_id", "source", "signal", "name").orderBy("position").collect()
-    assert [row.position for row in rows] == list(range(1, 22))
-    assert rows[-1].name == "agent.tokens" and rows[-2].name == "agent.run"
+    assert [row.position for row in rows] == list(range(1, len(DAY) + 3))
+    assert rows[-1].name == "plan.words" and rows[-2].name == "plan.step"
     guard = apps.agent_guard().tables(records)
-    denied = guard["policy_violations"].where("rule_id = 'denied-tool'").select("harness").collect()
-    assert sorted(row.harness for row in denied) == ["claude-code", "codex", "opencode"]
-    assert {row.session_id for row in guard["policy_gaps"].collect()} == {"unknown-claude", "unknown-codex", "unknown-opencode"}
+    denied = guard["policy_violations"].where("rule_id = 'denied-tool'").select("harness", "session_id").collect()
+    assert [tuple(row) for row in denied] == [("claude-code", "release")]
+    assert {row.session_id for row in guard["policy_gaps"].collect()} == {"chores"}
     loops = {(row.finding_kind, row.session_id) for row in guard["loop_findings"].collect()}
-    assert loops == {("repeated-failure", "loop-codex"), ("bounded-no-progress", "no-progress-opencode")}
+    assert loops == {("repeated-failure", "nightly-build"), ("bounded-no-progress", "triage")}
     cost = apps.session_cost().tables(records)["session_cost"]
+    assert {row.session_id: row.cost_microusd for row in cost.collect()} == {"release": 3300, "chores": 15, "idle": 0}
     joined = guard["session_progress"].join(cost, ["harness", "session_id"]).select("session_id").collect()
-    assert {row.session_id for row in joined} == {"shared-claude", "shared-codex", "shared-opencode"}
-    signals = apps.signal_counts().tables(records)["signal_counts"].where("source = 'demo-agent'").collect()
-    assert {(row.signal, row.event_name) for row in signals} == {("span", "agent.run"), ("metric", "agent.tokens")}
+    assert {row.session_id for row in joined} == {"release", "chores"}
+    signals = apps.signal_counts().tables(records)["signal_counts"].where("source = 'planner'").collect()
+    assert {(row.signal, row.event_name) for row in signals} == {("span", "plan.step"), ("metric", "plan.words")}
     records.unpersist()
 
 
 def test_span_and_metric_details(spark):
     rows = otlp.admitted(canonical(spark, ("span", ONE_SPAN), ("metric", ONE_METRIC))).collect()
     span, metric = rows
-    assert span.trace_id == "03" * 16 and span.span_id == "04" * 8 and span.time_unix_nano == str(BASE + 2000)
+    assert span.trace_id == "abcd1234" * 4 and span.span_id == "1234abcd" * 2 and span.time_unix_nano == str(BASE + 7 * MINUTE)
     frame = otlp.admitted(canonical(spark, ("span", ONE_SPAN), ("metric", ONE_METRIC)))
     span_record, metric_record = [json.loads(row.j) for row in frame.select(F.to_json("record").alias("j")).collect()]
     assert span_record["kind"] == "SPAN_KIND_CLIENT" and span_record["parent_span_id"] is None
@@ -46,9 +47,9 @@ def test_span_and_metric_details(spark):
         "aggregation_temporality": "AGGREGATION_TEMPORALITY_DELTA",
         "description": "",
         "is_monotonic": True,
-        "name": "agent.tokens",
+        "name": "plan.words",
         "point_type": "sum",
-        "unit": "token",
+        "unit": "word",
     }
 
 
@@ -88,11 +89,25 @@ def test_bad_requests_contribute_nothing(spark):
     cases = {
         "malformed request": '{"resourceLogs":',
         "record: attribute key is duplicated": with_attributes([attribute("k", 1), attribute("k", 2)]),
-        "record: attribute key is empty": with_attributes([attribute("", 1)]),
+        "attribute key is empty": with_attributes([attribute("", 1)]),
         "string-table attributes are unsupported": with_attributes([{"keyStrindex": 1, "key": "k", "value": {"intValue": "1"}}]),
         "canonical record exceeds the limit": with_attributes([attribute("k", "v" * (256 * 1024))]),
         "non-finite double": with_attributes([{"key": "k", "value": {"doubleValue": "NaN"}}]),
     }
+    nested = {"kvlistValue": {"values": [{"key": "", "value": {"intValue": "1"}}]}}
+    shapes = {
+        "an integer is expected": with_attributes([{"key": "k", "value": {"intValue": "abc"}}]),
+        "a number is expected": with_attributes([{"key": "k", "value": {"doubleValue": "1,5"}}]),
+        "a boolean is expected": with_attributes([{"key": "k", "value": {"boolValue": "yes"}}]),
+        "a text is expected": with_attributes([{"key": 7, "value": {"stringValue": "x"}}]),
+        "an object is expected": with_attributes([{"key": "k", "value": {"arrayValue": [1]}}]),
+        "a list is expected": with_attributes({"k": "v"}),
+        "attribute key is empty": json.dumps({"resourceLogs": [resource("svc", [{**log(1, "a"), "body": nested}])]}),
+    }
+    frame = canonical(spark, *[("log", body) for body in shapes.values()], ("log", json.dumps({"resourceLogs": {"a": 1}})))
+    assert [row.rejected for row in frame.orderBy("request_line").collect()] == [*shapes, "a list is expected"]
+    quoted = json.dumps({"resourceLogs": [resource("svc", [log(3, '"attributes":{ "key":"" "intValue":x')])]})
+    assert canonical(spark, ("log", quoted)).first().rejected is None
     frame = canonical(spark, *[("log", body) for body in cases.values()], ("log", json.dumps({"resourceLogs": [resource("svc", [log(3, "fine")])]})))
     assert [row.rejected for row in frame.orderBy("request_line").collect()] == [*cases, None]
     records = otlp.positioned_records(frame, base=10).collect()
