@@ -82,7 +82,8 @@ def test_gap_stops_one_app_and_keeps_the_prefix(spark, tmp_path):
 def test_negative_total_is_a_gap_only_below_zero(spark, tmp_path):
     events = read_table(spark, SMALL, "events").where("event_id < 120")
     app = apps.activity_stats()
-    plain = app.normalize(events_as_records(events)).where("effective AND duration_milliseconds IS NOT NULL")
+    timed = events_as_records(events).where("attributes.duration_ms > 0 OR attributes.latency_ms > 0").select("position")
+    plain = app.normalize(events_as_records(events)).where("effective").join(timed, "position")
     # The first timed event of its bucket: whatever follows, its total is the first to fall below zero.
     first = plain.agg(F.min("position")).first()[0]
     for value, gap in ((-1, first), (0, None)):
