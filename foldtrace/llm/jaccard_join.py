@@ -53,7 +53,7 @@ BYTES_PER_SIGNATURE = 16
 FILTER_BITS = 26
 #: Elements of sets are compared by so many bits of their fingerprints.
 ELEMENT_BITS = 48
-BITMAP_BITS = 1024
+BITMAP_BITS, MOST_BITMAP_BITS = 1024, 1 << 15
 #: One of so many signatures is in the first search; entries per search task, members per block.
 FIRST_SHARE = 16
 TASK_ENTRIES = 50_000
@@ -187,10 +187,23 @@ def shingle_sets(table: pa.Table, width: int):
 
 
 def _bitmap(elements: np.ndarray) -> bytes:
-    odd = np.bincount((elements >> np.uint64(20)).astype(np.int64) % BITMAP_BITS, minlength=BITMAP_BITS) & 1
+    """Parities of the elements by residue; a large set has a longer bitmap, so it says as much."""
+    bits = BITMAP_BITS
+    while 2 * bits < 3 * len(elements) and bits < MOST_BITMAP_BITS:
+        bits *= 2
+    odd = np.bincount((elements >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _folded(bitmaps: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps brought to ``width`` bytes, which divide theirs: parities add up."""
+    out = np.empty((len(bitmaps), width // 8), dtype=np.uint64)
+    for k, bitmap in enumerate(bitmaps):
+        whole = np.frombuffer(bitmap, dtype=np.uint64)
+        out[k] = whole if len(bitmap) == width else np.bitwise_xor.reduce(whole.reshape(-1, width // 8), axis=0)
+    return out
+
+
 def _node(elements: np.ndarray) -> int:
     """The fingerprint of a set, as a signed number."""
     return int(fp.mix(np.array([fp.mix(elements + _ODD).sum(dtype=np.uint64)])).view(np.int64)[0])
@@ -347,8 +360,7 @@ def _search(percent: int):
         group, node = group[order], node[order]
         size = table.column("size").to_numpy()[order]
         component = table.column("component").to_numpy()[order]
-        bitmap = np.frombuffer(b"".join(table.column("bitmap").take(pa.array(order)).to_pylist()), dtype=np.uint64)
-        bitmap = bitmap.reshape(-1, BITMAP_BITS // 64)
+        bitmap = table.column("bitmap").take(pa.array(order)).to_pylist()
         edges_at = np.flatnonzero(np.diff(group)) + 1
         limits = np.concatenate([[0], edges_at, [len(group)]])
         seen, out = set(), set()
@@ -361,7 +373,8 @@ def _search(percent: int):
                 continue
             seen.add(key)
             at = first + low
-            _search_group(nodes, size[at], component[at], bitmap[at], percent, out)
+            held = [bitmap[k] for k in at.tolist()]
+            _search_group(nodes, size[at], component[at], _folded(held, min(map(len, held))), percent, out)
         a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
