@@ -92,13 +92,16 @@ def window_hashes(word_hashes: np.ndarray, width: int, family: int = 0) -> np.nd
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Sorted distinct uint64 as differences in byte planes without empty high planes."""
+    """Sorted uint64 as differences in byte planes without empty high planes.
+
+    Two or more values have at least one plane, also where all are equal, so none is lost.
+    """
     if not len(values):
         return b""
     steps = np.diff(values)
     planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
-    used = 8
-    while used and not planes[used - 1].any():
+    used = 8 if len(steps) else 0
+    while used > 1 and not planes[used - 1].any():
         used -= 1
     return bytes([used]) + values[:1].tobytes() + planes[:used].tobytes()
 

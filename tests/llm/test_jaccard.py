@@ -87,6 +87,20 @@ def test_signatures_meet_for_every_similar_pair():
             assert counts[1] == 0 and len(np.intersect1d(found[: counts[0]], found[counts[0] :]))
 
 
+def test_near_copies_alone_in_a_bucket():
+    np = jaccard_join.np
+    dice = np.random.default_rng(7)
+    x = np.sort(dice.choice(2**62, 300, replace=False).astype(np.uint64))
+    some = [x, x[1:]]
+    found, counts = jaccard_join.Scheme(80).signatures(np.concatenate(some), np.array([300, 299]))
+    owner = np.repeat(np.arange(2, dtype=np.uint16), counts)
+    batch = jaccard_join._by_bucket(found, owner, np.array([11, 22]), 1 << 16)
+    table = jaccard_join.pa.Table.from_batches([batch])
+    got = [r for k in range(table.num_rows) for r in jaccard_join._entries_of_bucket(table.slice(k, 1)).to_pylist()]
+    shared = len(np.intersect1d(found[owner == 0], found[owner == 1]))
+    assert shared and sorted(r["node"] for r in got) == [11] * shared + [22] * shared
+
+
 def test_long_path_is_one_component(spark):
     edges = spark.range(40).selectExpr("(id * 17) % 40 AS a", "((id + 1) * 17) % 40 AS b").where("a <> 0 OR b <> 17")
     got = components(edges.union(spark.createDataFrame([(100, 101)], "a long, b long")))
