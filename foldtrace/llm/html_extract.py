@@ -14,11 +14,18 @@ of an otherwise varying article stays.  Blocks of low importance are removed whe
 of the host have the node.  Fixed priors decide what a single page tells: scripts, menus, forms
 and the like are noise, the article or main element is content; inside it only priors remove.
 
+A word in a class or id is weaker than a tag: it only lowers a block's importance, so a block
+that varies over the host stays; it does not reach into an article or main element from outside,
+nor does it count where the element holds most of the text it is judged in, as wrappers do.
+Words for what varies by nature (advertisements, comments, related pages) are firm where they
+are a whole class or id.
+
 The merged tree of a host is never in one place: pages send (node, style or text, count) per
 chunk to buckets of the node, as packed arrays, and get importances back.
 
 Defined cases: null or empty html gives an empty text; a null url is a host of its own; a page
-whose blocks would all fall by importance keeps those that no prior removed; unclosed and
+whose blocks would all fall by importance keeps those that no prior lowered, or else all that
+are not noise by tag or firm word; unclosed and
 misnested tags are closed as browsers do, roughly; white space is Unicode white space; repeated
 rows are pages of their own; an empty table gives an empty result; extra columns are ignored.
 """
@@ -45,6 +52,9 @@ BUCKET_ENTRIES = 500_000
 LEAST_PAGES = 4
 PRESENTATION_SHARE = 0.5
 LEAST_IMPORTANCE = 0.15
+#: What a class or id word takes from the importance, and the share of text that makes a wrapper.
+CLASS_PRIOR = 0.5
+WRAPPER_SHARE = 0.75
 
 # Elements by role.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"}
@@ -63,7 +73,15 @@ NOISE_WORDS = set(
     "modal overlay share sharing social related recommended recommendations newsletter subscribe subscription signup login search widget "
     "toolbar pagination pager skip disclaimer copyright legal tags tagcloud".split()
 )
+# Words for what varies from page to page; an article that is a comment or ad says so.
+FIRM_WORDS = set(
+    "ad ads advert adverts advertisement advertising sponsor sponsored comment comments disqus reply replies related recommended "
+    "recommendations".split()
+)
+OWN_WORDS = {"comment", "comments", "reply", "ad", "ads"}
 LANDMARKS = {"article", "main"}
+# How much noise an element or block is.
+CLEAR, WEAK, OUT = 0, 1, 2
 # Elements that stand in rows of any length; others are told apart by position.
 REPEATED = {"p", "li", "dt", "dd", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "option"}
 # A start tag of the key closes an open element of the values on top.
@@ -76,37 +94,61 @@ _MARK = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+class _Wrapper:
+    """An element with a noise word: the one around it, and the text inside."""
+
+    __slots__ = ("around", "chars")
+
+    def __init__(self, around: _Wrapper | None):
+        self.around, self.chars = around, 0
+
+
 class _Element:
-    __slots__ = ("tag", "path", "noise", "landmark", "style", "counts")
+    __slots__ = ("tag", "path", "noise", "wrapper", "landmark", "style", "counts")
+
+    def __init__(self, tag: str, path: str, noise: bool, wrapper: _Wrapper | None, landmark: bool):
+        self.tag, self.path, self.noise, self.wrapper, self.landmark, self.style, self.counts = tag, path, noise, wrapper, landmark, [], {}
+
 
-    def __init__(self, tag: str, path: str, noise: bool, landmark: bool):
-        self.tag, self.path, self.noise, self.landmark, self.style, self.counts = tag, path, noise, landmark, [], {}
+def _words(value: str) -> list[str]:
+    return re.split(r"[^a-z]+", value.lower())
 
 
-def _marks(attributes: str) -> tuple[str, bool, bool]:
-    """(class, noise by name, main by role) of a start tag."""
+def _marks(attributes: str) -> tuple[str, int, bool]:
+    """(class, noise, main by role) of a start tag."""
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return "", False, False
-    kind, noise, main = "", False, False
+        return "", CLEAR, False
+    kind, noise, main = "", CLEAR, False
     for name, value in _MARK.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             kind = value if name == "class" else kind
-            noise |= not NOISE_WORDS.isdisjoint(re.split(r"[^a-z]+", value.lower()))
+            if not FIRM_WORDS.isdisjoint(value.lower().split()):
+                noise = OUT
+            elif not NOISE_WORDS.isdisjoint(_words(value)):
+                noise = max(noise, WEAK)
         elif name == "role":
             main |= value == "main"
-            noise |= value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert")
+            if value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert"):
+                noise = OUT
         elif name == "style":
-            noise |= bool(_HIDDEN.search(value))
-        else:
-            noise |= name == "hidden" or value.lower() == "true"
+            noise = OUT if _HIDDEN.search(value) else noise
+        elif name == "hidden" or value.lower() == "true":
+            noise = OUT
     return kind, noise, main
 
 
+def _own_noise(kind: str) -> int:
+    """Noise of a landmark by its own class: a name that begins with a word, as comment-body."""
+    if OWN_WORDS.isdisjoint(_words(kind)):
+        return CLEAR
+    return WEAK if OWN_WORDS.isdisjoint(_words(name)[0] for name in kind.split()) else OUT
+
+
 def parse(page: str):
     """(elements, blocks): (path, style) of every element, (path, noise, landmark, text) of every
     block in page order."""
-    root = _Element("", "", False, False)
+    root = _Element("", "", False, None, False)
     stack, buffer, elements, blocks = [root], [], [], []
 
     def flush() -> None:
@@ -115,7 +157,7 @@ def parse(page: str):
             buffer.clear()
             if text:
                 top = stack[-1]
-                blocks.append((top.path, top.noise, top.landmark, text))
+                blocks.append((top.path, top.noise, top.wrapper, top.landmark, text))
 
     def close(depth: int) -> None:
         flush()
@@ -172,12 +214,35 @@ def parse(page: str):
             top.style.append(label)
         if tag in LANDMARKS or tag in ("html", "body"):
             # A class names an article's subject as often as its role; only comments are told.
-            noise = bool(kind) and not {"comment", "comments", "reply", "ad", "ads"}.isdisjoint(re.split(r"[^a-z]+", kind.lower()))
-        noise |= tag in NOISE_TAGS or (tag == "header" and not top.landmark)
-        stack.append(_Element(tag, f"{top.path}>{label}", top.noise or noise, top.landmark or main or tag in LANDMARKS))
+            noise = _own_noise(kind) if tag in LANDMARKS else CLEAR
+        if tag in NOISE_TAGS or (tag == "header" and not top.landmark):
+            noise = OUT
+        wrapper = None if main or tag in LANDMARKS else top.wrapper
+        if noise == WEAK:
+            wrapper = _Wrapper(wrapper)
+        stack.append(_Element(tag, f"{top.path}>{label}", top.noise or noise == OUT, wrapper, top.landmark or main or tag in LANDMARKS))
     close(1)
     flush()
-    return elements, blocks
+    return elements, _judged(blocks)
+
+
+def _judged(blocks: list) -> list:
+    """Blocks with their noise; a wrapper of most of the landmark text, or of the page's text
+    where it has no landmark, is none."""
+    chars = {True: 0, False: 0}
+    for _, out, wrapper, landmark, text in blocks:
+        if not out:
+            chars[landmark] += len(text)
+            while wrapper:
+                wrapper.chars += len(text)
+                wrapper = wrapper.around
+    most = {True: WRAPPER_SHARE * chars[True], False: math.inf if chars[True] else WRAPPER_SHARE * chars[False]}
+    judged = []
+    for path, out, wrapper, landmark, text in blocks:
+        while wrapper and wrapper.chars >= most[landmark]:
+            wrapper = wrapper.around
+        judged.append((path, OUT if out else WEAK if wrapper else CLEAR, landmark, text))
+    return judged
 
 
 def _h(*parts: str) -> int:
@@ -204,14 +269,14 @@ def _tree_entries(host: str, page: str):
         node = _h(host, path, "text")
         sub = (_h(text) & ~1) or 2
         parent = _h(host, path)
-        if not noise:
+        if noise != OUT:
             entries |= {(node, 0), (node, sub)}
         told.append((node, sub, parent, noise, landmark, text))
     return told, entries
 
 
 _PAGE = "chunk int, page long, url string, blocks binary, keys binary"
-_BLOCK = np.dtype([("node", "<u8"), ("sub", "<u8"), ("parent", "<u8"), ("noise", "?"), ("landmark", "?"), ("bytes", "<u4")])
+_BLOCK = np.dtype([("node", "<u8"), ("sub", "<u8"), ("parent", "<u8"), ("noise", "u1"), ("landmark", "?"), ("bytes", "<u4")])
 _ENTRY = np.dtype([("node", "<u8"), ("sub", "<u8"), ("count", "<u4")])
 
 
@@ -327,16 +392,18 @@ def _main_text(blob: bytes, level: dict) -> str:
     for node, sub, parent, noise, landmark, size in heads.tolist():
         blocks.append((node, sub, parent, noise, landmark, raw[at : at + size].decode("utf-8", "surrogatepass")))
         at += size
-    content = [b for b in blocks if not b[3]]
-    if any(b[4] for b in content):
-        return "\n\n".join(b[5] for b in content if b[4])
+    content = [b for b in blocks if b[3] != OUT]
+    if any(b[4] and b[3] == CLEAR for b in content):
+        content = [b for b in content if b[4]]
     important = []
-    for node, sub, parent, _, _, text in content:
+    for block in content:
+        node, sub, parent, noise, landmark, text = block
         told, shown = level[node, sub], level.get((parent, 0), 255)
         blend = told if shown == 255 else (1 - PRESENTATION_SHARE) * told + PRESENTATION_SHARE * shown
-        if told == 255 or blend >= 250 * LEAST_IMPORTANCE:
+        needed = LEAST_IMPORTANCE + (CLASS_PRIOR if noise == WEAK else 0)
+        if noise == CLEAR and (landmark or told == 255) or told != 255 and blend >= 250 * needed:
             important.append(text)
-    return "\n\n".join(important or [b[5] for b in content])
+    return "\n\n".join(important or [b[5] for b in content if b[3] == CLEAR] or [b[5] for b in content])
 
 
 def extract(pages: DataFrame, page_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

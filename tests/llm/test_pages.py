@@ -29,6 +29,23 @@ def test_article_and_priors(spark):
     assert html_extract.extract(spark.createDataFrame([], PAGE)).collect() == []
 
 
+def test_noise_words_of_wrappers_lose_no_text(spark):
+    wrapped = "<nav>Menu</nav><div class=ad>Buy</div><div class=search-box>Find</div><article><p>Main</p><div class=comments>Nice</div></article>"
+    rows = [page(1, f'<body class="no-comments"><div class="site has-sidebar">{wrapped}</div>', "one.example")]
+    rows += [page(2, f'<div id="page" class="header-fixed"><div class="page-with-comments">{wrapped}</div></div>', "two.example")]
+    long = "much more text than all else " * 3
+    rows += [page(3, f"<div class=site-header-fixed><div class=cookie-bar>We use cookies</div><p>{long}</p></div>", "three.example")]
+    rows += [page(4, "<div class=top-nav>Half of it</div><div class=with-sidebar>Other half</div>", "four.example")]
+    rows += [page(5, "<div class=related>Other</div><form>Mail</form><p>Plain</p>", "five.example")]
+    rows += [page(6, "<nav class=has-sidebar><article>Menu</article></nav><article class=comment-body>Nice</article><main>Main</main>", "six.example")]
+    for k in range(10, 30):  # the host tells: this word stands on what varies, that one on what does not
+        rows.append(page(k, f"<div class=top-banner>Same</div><div class=tags-page>Own {k}</div><p>Text {k}</p>", "many.example"))
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, PAGE)).collect()}
+    assert got[1] == got[2] == got[6] == "Main" and got[3] == long.strip() and got[5] == "Plain"
+    assert got[4] == "Half of it\n\nOther half"
+    assert all(got[k] == f"Own {k}\n\nText {k}" for k in range(10, 30))
+
+
 def test_style_tree_removes_what_the_host_repeats(spark, monkeypatch):
     monkeypatch.setattr(html_extract, "CHUNK_BYTES", 2000)
     monkeypatch.setattr(html_extract, "BUCKET_ENTRIES", 10)
