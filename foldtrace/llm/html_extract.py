@@ -11,8 +11,13 @@ its child elements with runs of equal ones merged, and leaf blocks carry text.
 
 A block's importance blends its content with its parent's presentation, so a repeated paragraph
 of an otherwise varying article stays.  Blocks of low importance are removed where enough pages
-of the host have the node.  Fixed priors decide what a single page tells: scripts, menus, forms
-and the like are noise, the article or main element is content; inside it only priors remove.
+of the host have the node.  Pages of a host with the same elements and texts (but for noise)
+count once, so copies of an article are no template.  Fixed priors decide what a single page
+tells: scripts, menus, forms and the like are noise, the article or main element is content.
+
+The article or main element is a prior too: inside it a block falls only if it stands on most
+pages of the host; outside it a block stays only if it varies over the host.  Elements that hold
+less text than the clear blocks around them (teasers, cards) are no such prior.
 
 A word in a class or id is weaker than a tag: it only lowers a block's importance, so a block
 that varies over the host stays; it does not reach into an article or main element from outside,
@@ -42,6 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import exchange as ex
 from .common import text_bytes, text_of
 
 CHUNK_BYTES = 4 << 20
@@ -54,6 +60,9 @@ PRESENTATION_SHARE = 0.5
 LEAST_IMPORTANCE = 0.15
 #: What a class or id word takes from the importance, and the share of text that makes a wrapper.
 CLASS_PRIOR = 0.5
+#: What standing in an article or main element adds, and what standing outside it takes.
+LANDMARK_PRIOR = 0.1
+OUTSIDE_PRIOR = 0.4
 WRAPPER_SHARE = 0.75
 
 # Elements by role.
@@ -275,7 +284,7 @@ def _tree_entries(host: str, page: str):
     return told, entries
 
 
-_PAGE = "chunk int, page long, url string, blocks binary, keys binary"
+_PAGE = "chunk long, page long, url string, blocks binary, keys binary"
 _BLOCK = np.dtype([("node", "<u8"), ("sub", "<u8"), ("parent", "<u8"), ("noise", "u1"), ("landmark", "?"), ("bytes", "<u4")])
 _ENTRY = np.dtype([("node", "<u8"), ("sub", "<u8"), ("count", "<u4")])
 
@@ -297,16 +306,28 @@ def _parsed(chunks: int):
                 out["blocks"].append(len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True))
                 out["keys"].append(np.array(sorted(entries), dtype=np.uint64).tobytes())
             yield pa.RecordBatch.from_pydict(
-                {"chunk": pa.array(out["chunk"], pa.int32()), "page": pa.array(out["page"], pa.int64()), "url": pa.array(out["url"], pa.string()),
+                {"chunk": pa.array(out["chunk"], pa.int64()), "page": pa.array(out["page"], pa.int64()), "url": pa.array(out["url"], pa.string()),
                  "blocks": pa.array(out["blocks"], pa.binary()), "keys": pa.array(out["keys"], pa.binary())}
             )
 
     return run
 
 
-def _chunk_entries(table: pa.Table) -> np.ndarray:
-    """Distinct (node, sub) of a chunk in order, with the number of its pages that have them."""
-    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), dtype=np.uint64).reshape(-1, 2)
+def _payloads(table: pa.Table, buckets: int) -> ex.Split:
+    """What the pages of a chunk hold: equal for pages with the same entries on the same host."""
+    return ex.Split(np.array([xxhash.xxh64_intdigest(k) for k in table.column("keys").to_pylist()], dtype=np.uint64), buckets)
+
+
+def _payload_entries(buckets: int):
+    return lambda table: _payloads(table, buckets).entries(ex.chunk_number(table))
+
+
+def _chunk_entries(table: pa.Table, counted: np.ndarray | None = None) -> np.ndarray:
+    """Distinct (node, sub) of a chunk in order, with the number of its counted pages that have them."""
+    lists = table.column("keys").to_pylist()
+    keys = np.frombuffer(b"".join(lists), dtype=np.uint64).reshape(-1, 2)
+    weight = np.ones(len(lists), dtype=np.int64) if counted is None else counted.astype(np.int64)
+    weight = np.repeat(weight, [len(k) // 16 for k in lists])
     order = np.lexsort((keys[:, 1], keys[:, 0]))
     keys = keys[order]
     new = np.ones(len(keys), dtype=bool)
@@ -314,7 +335,7 @@ def _chunk_entries(table: pa.Table) -> np.ndarray:
     at = np.flatnonzero(new)
     out = np.zeros(len(at), dtype=_ENTRY)
     out["node"], out["sub"] = keys[at, 0], keys[at, 1]
-    out["count"] = np.diff(np.append(at, len(keys)))
+    out["count"] = np.diff(np.append(0, np.cumsum(weight[order]))[np.append(at, len(keys))])
     return out
 
 
@@ -326,12 +347,15 @@ def _by_bucket(entries: np.ndarray, buckets: int):
         yield int(bucket[low]), entries[low:high]
 
 
-def _send(buckets: int):
-    def send(table: pa.Table) -> pa.Table:
-        parts = list(_by_bucket(_chunk_entries(table), buckets))
-        chunk = table.column("chunk")[0].as_py()
+def _send(payload_buckets: int, buckets: int):
+    def send(pages: pa.Table, replies: pa.Table) -> pa.Table:
+        parts, chunk = [], None
+        if pages.num_rows:
+            # A payload counts where the first chunk has it first.
+            told, first, _ = _payloads(pages, payload_buckets).apply(ex.replies_of(replies))
+            parts, chunk = list(_by_bucket(_chunk_entries(pages, told & first), buckets)), ex.chunk_number(pages)
         return pa.table(
-            {"chunk": pa.array([chunk] * len(parts), pa.int32()), "bucket": pa.array([b for b, _ in parts], pa.int32()),
+            {"chunk": pa.array([chunk] * len(parts), pa.int64()), "bucket": pa.array([b for b, _ in parts], pa.int32()),
              "entries": pa.array([e.tobytes() for _, e in parts], pa.binary())}
         )
 
@@ -393,26 +417,30 @@ def _main_text(blob: bytes, level: dict) -> str:
         blocks.append((node, sub, parent, noise, landmark, raw[at : at + size].decode("utf-8", "surrogatepass")))
         at += size
     content = [b for b in blocks if b[3] != OUT]
-    if any(b[4] and b[3] == CLEAR for b in content):
-        content = [b for b in content if b[4]]
-    important = []
+    inside, outside = (sum(len(b[5]) for b in content if b[3] == CLEAR and b[4] == landmark) for landmark in (True, False))
+    important, clear = [], []
     for block in content:
         node, sub, parent, noise, landmark, text = block
         told, shown = level[node, sub], level.get((parent, 0), 255)
         blend = told if shown == 255 else (1 - PRESENTATION_SHARE) * told + PRESENTATION_SHARE * shown
-        needed = LEAST_IMPORTANCE + (CLASS_PRIOR if noise == WEAK else 0)
-        if noise == CLEAR and (landmark or told == 255) or told != 255 and blend >= 250 * needed:
+        prior = LANDMARK_PRIOR if landmark else -OUTSIDE_PRIOR if inside and inside >= outside else 0.0
+        prior -= CLASS_PRIOR if noise == WEAK else 0
+        if prior >= 0:
+            clear.append(text)
+        if prior >= 0 if told == 255 else blend + 250 * prior >= 250 * LEAST_IMPORTANCE:
             important.append(text)
-    return "\n\n".join(important or [b[5] for b in content if b[3] == CLEAR] or [b[5] for b in content])
+    return "\n\n".join(important or clear or [b[5] for b in content])
 
 
 def extract(pages: DataFrame, page_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page id, url, text, n_chars) of every page."""
-    total, _ = text_bytes(pages, html_col)
+    total, rows = text_bytes(pages, html_col)
     chunks, buckets = max(1, math.ceil(total / CHUNK_BYTES)), max(1, math.ceil(total / BYTES_PER_ENTRY / BUCKET_ENTRIES))
     source = pages.select(F.col(page_col).cast("bigint").alias("page"), F.col(url_col).cast("string").alias("url"), text_of(html_col).alias("html"))
     by_chunk = source.mapInArrow(_parsed(chunks), _PAGE).groupBy("chunk")
-    sent = by_chunk.applyInArrow(_send(buckets), "chunk int, bucket int, entries binary")
-    replies = sent.groupBy("bucket").applyInArrow(_importances, "chunk int, bucket int, levels binary")
+    payload_buckets = ex.bucket_count(rows)
+    payloads = ex.ask(by_chunk.applyInArrow(_payload_entries(payload_buckets), ex.ENTRY_SCHEMA), "first")
+    sent = by_chunk.cogroup(payloads.groupBy("chunk")).applyInArrow(_send(payload_buckets, buckets), "chunk long, bucket int, entries binary")
+    replies = sent.groupBy("bucket").applyInArrow(_importances, "chunk long, bucket int, levels binary")
     found = by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(_texts(buckets), "page long, url string, text string, n_chars long")
     return found.select(F.col("page").alias(page_col), F.col("url").alias(url_col), "text", "n_chars")

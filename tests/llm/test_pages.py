@@ -64,6 +64,30 @@ def test_style_tree_removes_what_the_host_repeats(spark, monkeypatch):
     assert got[99] == ["Home", "alone"]  # one page tells nothing about its host
 
 
+def test_landmark_is_a_prior_of_the_tree(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "CHUNK_BYTES", 2000)
+    dice = random.Random(6)
+    prose = lambda: " ".join(dice.choice("abcdefgh") * 3 for _ in range(12))
+    rows, want = [], {}
+    for k in range(24):  # a notice in every article, a head line outside it
+        own = prose()
+        rows.append(page(k, f"<div>Home</div><article><div class=box>All rights</div><p>{own}</p></article><div class=x>{own[::-1]} {k}</div>"))
+        want[k] = f"{own}\n\n{own[::-1]} {k}"
+    for k in range(30, 50):  # articles that are cards, the main text outside
+        own = prose()
+        rows.append(page(k, f"<div class=text>{own}</div><article>Card {k % 2}</article>", "cards.example"))
+        want[k] = own
+    for k in range(60, 90):  # copies are one page
+        rows.append(page(k, "<div>Home</div><article><p>Same in all copies</p></article>", "copies.example"))
+        want[k] = "Same in all copies"
+    rows.append(page(99, "<div>Long text around it</div><article>Card</article>", "other.example"))
+    want[99] = "Long text around it\n\nCard"
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, PAGE)).collect()}
+    for k in range(30, 50):  # a card on half of the pages may stay
+        got[k] = got[k].split("\n\n")[0]
+    assert got == want
+
+
 def test_archives_round_trip(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "RECORDS_PER_FILE", 7)
     monkeypatch.setattr(warc, "CAPTURES_PER_RANGE", 9)
