@@ -25,8 +25,11 @@ nor does it count where the element holds most of the text it is judged in, as w
 Words for what varies by nature (advertisements, comments, related pages) are firm where they
 are a whole class or id.
 
-The merged tree of a host is never in one place: pages send (node, style or text, count) per
-chunk to buckets of the node, as packed arrays, and get importances back.
+The merged tree of a host is never in one place, nor is a node of it: a chunk of pages sends its
+styles and texts to buckets of (node, style or text) and its nodes to buckets of the node, as
+packed arrays.  The first kind of bucket answers with counts and sends one sum of styles per
+node to the second kind, which answers with pages and importance.  A node or text that a whole
+host shares costs an entry per chunk.
 
 Defined cases: null or empty html gives an empty text; a null url is a host of its own; a page
 whose blocks would all fall by importance keeps those that no prior lowered, or else all that
@@ -48,6 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as ex
+from . import fingerprints as fp
 from .common import text_bytes, text_of
 
 CHUNK_BYTES = 4 << 20
@@ -287,6 +291,9 @@ def _tree_entries(host: str, page: str):
 _PAGE = "chunk long, page long, url string, blocks binary, keys binary"
 _BLOCK = np.dtype([("node", "<u8"), ("sub", "<u8"), ("parent", "<u8"), ("noise", "u1"), ("landmark", "?"), ("bytes", "<u4")])
 _ENTRY = np.dtype([("node", "<u8"), ("sub", "<u8"), ("count", "<u4")])
+_STYLES = np.dtype([("node", "<u8"), ("styled", "<f8"), ("spread", "<f8")])
+_NODE = np.dtype([("pages", "<u4"), ("shown", "u1")])
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _parsed(chunks: int):
@@ -340,64 +347,115 @@ def _chunk_entries(table: pa.Table, counted: np.ndarray | None = None) -> np.nda
 
 
 def _by_bucket(entries: np.ndarray, buckets: int):
-    """(bucket, entries) in order of buckets, which is the order of nodes."""
-    bucket = ((entries["node"] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, dtype=np.int64)
-    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        yield int(bucket[low]), entries[low:high]
+    """(bucket, places of entries): even buckets by node for nodes, odd ones by node and sub for
+    the styles and texts."""
+    node, sub = entries["node"], entries["sub"]
+    high = np.where(sub == 0, node, fp.mix(node ^ sub * _ODD)) >> np.uint64(32)
+    bucket = ((high * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64) * 2 + (sub != 0)
+    order = np.argsort(bucket, kind="stable")
+    for places in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
+        yield int(bucket[places[0]]), places
+
+
+_ANSWER = "chunk long, bucket int, entries binary"
+
+
+def _rows(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    chunks, buckets, entries = zip(*rows) if rows else ((), (), ())
+    return pa.table({"chunk": pa.array(chunks, pa.int64()), "bucket": pa.array(buckets, pa.int32()), "entries": pa.array(entries, pa.binary())})
 
 
 def _send(payload_buckets: int, buckets: int):
     def send(pages: pa.Table, replies: pa.Table) -> pa.Table:
-        parts, chunk = [], None
-        if pages.num_rows:
-            # A payload counts where the first chunk has it first.
-            told, first, _ = _payloads(pages, payload_buckets).apply(ex.replies_of(replies))
-            parts, chunk = list(_by_bucket(_chunk_entries(pages, told & first), buckets)), ex.chunk_number(pages)
-        return pa.table(
-            {"chunk": pa.array([chunk] * len(parts), pa.int64()), "bucket": pa.array([b for b, _ in parts], pa.int32()),
-             "entries": pa.array([e.tobytes() for _, e in parts], pa.binary())}
-        )
+        if not pages.num_rows:
+            return _rows([])
+        # A payload counts where the first chunk has it first.
+        told, first, _ = _payloads(pages, payload_buckets).apply(ex.replies_of(replies))
+        entries, chunk = _chunk_entries(pages, told & first), ex.chunk_number(pages)
+        return _rows([(chunk, bucket, entries[places].tobytes()) for bucket, places in _by_bucket(entries, buckets)])
 
     return send
 
 
-def _importances(table: pa.Table) -> pa.Table:
-    """Importance (0 to 250, or 255 where too few pages tell) of every entry sent to a bucket."""
-    payloads = table.column("entries").to_pylist()
-    lists = [np.frombuffer(p, dtype=_ENTRY) for p in payloads]
-    entries = np.concatenate(lists)
-    order = np.lexsort((entries["sub"], entries["node"]))
-    ordered = entries[order]
-    new = np.ones(len(ordered), dtype=bool)
-    new[1:] = (ordered["node"][1:] != ordered["node"][:-1]) | (ordered["sub"][1:] != ordered["sub"][:-1])
-    group = np.cumsum(new) - 1
-    count = np.bincount(group, weights=ordered["count"])
-    node, sub = ordered["node"][new], ordered["sub"][new]
-    head = np.ones(len(node), dtype=bool)
-    head[1:] = node[1:] != node[:-1]
-    owner = np.cumsum(head) - 1
-    pages = count[head]  # sub 0 is the first of its node
-    base = np.log(np.maximum(pages, 2))
-    style = (sub % np.uint64(2) == 1) & (sub > 0)
-    styled = np.bincount(owner, weights=np.where(style, count, 0))
-    share = np.where(style, count / np.maximum(styled[owner], 1), 1.0)
-    entropy = np.bincount(owner, weights=np.where(style, -share * np.log(share), 0.0)) / base
-    value = np.where(sub == 0, entropy[owner], np.where(style, 0.0, 1 - np.log(count) / base[owner]))
-    level = np.where(pages[owner] < LEAST_PAGES, 255, np.round(np.clip(value, 0, 1) * 250)).astype(np.uint8)
-    answer = np.zeros(len(entries), dtype=np.uint8)
-    answer[order] = level[group]
-    cuts = np.cumsum([len(x) for x in lists])[:-1]
-    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "levels": pa.array([a.tobytes() for a in np.split(answer, cuts)], pa.binary())})
+def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the number of its group of equal keys, and the first row of every group."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    group = np.empty(len(order), dtype=np.int64)
+    group[order] = np.cumsum(new) - 1
+    return group, order[new]
+
+
+def _counts(buckets: int):
+    """Counts of every style and text sent to an odd bucket, and per node the sums of its styles
+    for the node's bucket, as chunk -1; even buckets are passed on."""
+
+    def counts(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() % 2 == 0:
+            return table
+        lists = [np.frombuffer(p, dtype=_ENTRY) for p in table.column("entries").to_pylist()]
+        entries = np.concatenate(lists)
+        group, first = _grouped(entries["node"], entries["sub"])
+        count = np.bincount(group, weights=entries["count"])
+        cuts = np.cumsum([len(x) for x in lists])[:-1]
+        told = np.split(count[group].astype(np.uint32), cuts)
+        out = [(c, b, x.tobytes()) for c, b, x in zip(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), told)]
+        style = entries["sub"][first] % np.uint64(2) == 1
+        node, count = entries["node"][first][style], count[style]
+        group, first = _grouped(node)
+        sums = np.zeros(len(first), dtype=_STYLES)
+        sums["node"] = node[first]
+        sums["styled"] = np.bincount(group, weights=count)
+        sums["spread"] = np.bincount(group, weights=count * np.log(np.maximum(count, 1)))
+        bucket = ((sums["node"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64) * 2
+        cuts = np.flatnonzero(np.diff(bucket)) + 1  # nodes rise, and their buckets with them
+        return _rows(out + [(-1, int(b[0]), x.tobytes()) for b, x in zip(np.split(bucket, cuts), np.split(sums, cuts)) if len(x)])
+
+    return counts
+
+
+def _nodes(table: pa.Table) -> pa.Table:
+    """Pages and presentation importance (0 to 250) of every node sent to an even bucket."""
+    rows = list(zip(*(table.column(k).to_pylist() for k in ("chunk", "bucket", "entries"))))
+    asked = [(c, b, np.frombuffer(p, dtype=_ENTRY)) for c, b, p in rows if c >= 0]
+    sums = np.concatenate([np.zeros(0, dtype=_STYLES), *(np.frombuffer(p, dtype=_STYLES) for c, _, p in rows if c < 0)])
+    sums = np.sort(sums, order=["node", "styled", "spread"])  # sums do not depend on the order of rows
+    entries = np.concatenate([np.zeros(0, dtype=_ENTRY), *(e for _, _, e in asked)])
+    group, first = _grouped(entries["node"])
+    node = entries["node"][first]
+    pages = np.bincount(group, weights=entries["count"])
+    at = np.searchsorted(node, sums["node"])
+    styled = np.maximum(np.bincount(at, weights=sums["styled"], minlength=len(node)), 1)
+    spread = np.bincount(at, weights=sums["spread"], minlength=len(node))
+    entropy = (np.log(styled) - spread / styled) / np.log(np.maximum(pages, 2))
+    answer = np.zeros(len(node), dtype=_NODE)
+    answer["pages"], answer["shown"] = pages, np.round(np.clip(entropy, 0, 1) * 250)
+    cuts = np.cumsum([len(e) for _, _, e in asked])[:-1]
+    return _rows([(c, b, x.tobytes()) for (c, b, _), x in zip(asked, np.split(answer[group], cuts))])
+
+
+def _levels(entries: np.ndarray, replies: dict[int, bytes], buckets: int) -> dict:
+    """Importance (0 to 250, or 255 where too few pages tell) of the nodes and texts of a chunk."""
+    count, told = np.ones(len(entries)), np.zeros(len(entries), dtype=_NODE)
+    for bucket, places in _by_bucket(entries, buckets):
+        if bucket % 2:
+            count[places] = np.frombuffer(replies[bucket], dtype=np.uint32)
+        else:
+            told[places] = np.frombuffer(replies[bucket], dtype=_NODE)
+    sub = entries["sub"]
+    told = told[sub == 0][np.cumsum(sub == 0) - 1]  # sub 0 is the first of its node
+    value = np.clip(1 - np.log(np.maximum(count, 1)) / np.log(np.maximum(told["pages"], 2)), 0, 1)
+    level = np.where(sub == 0, told["shown"], np.round(value * 250))
+    level = np.where(told["pages"] < LEAST_PAGES, 255, level).astype(np.uint8)
+    asked = sub % np.uint64(2) == 0
+    return dict(zip(zip(entries["node"][asked].tolist(), sub[asked].tolist()), level[asked].tolist()))
 
 
 def _texts(buckets: int):
     def texts(pages: pa.Table, replies: pa.Table) -> pa.Table:
-        levels = dict(zip(replies.column("bucket").to_pylist(), replies.column("levels").to_pylist()))
-        level = {}
-        if pages.num_rows:
-            for bucket, entries in _by_bucket(_chunk_entries(pages), buckets):
-                level.update(zip(zip(entries["node"].tolist(), entries["sub"].tolist()), levels[bucket]))
+        replies = dict(zip(replies.column("bucket").to_pylist(), replies.column("entries").to_pylist()))
+        level = _levels(_chunk_entries(pages), replies, buckets) if pages.num_rows else {}
         out = [_main_text(blob, level) for blob in pages.column("blocks").to_pylist()]
         return pa.table(
             {"page": pages.column("page"), "url": pages.column("url"), "text": pa.array(out, pa.string()),
@@ -440,7 +498,9 @@ def extract(pages: DataFrame, page_col: str = "page_id", url_col: str = "url", h
     by_chunk = source.mapInArrow(_parsed(chunks), _PAGE).groupBy("chunk")
     payload_buckets = ex.bucket_count(rows)
     payloads = ex.ask(by_chunk.applyInArrow(_payload_entries(payload_buckets), ex.ENTRY_SCHEMA), "first")
-    sent = by_chunk.cogroup(payloads.groupBy("chunk")).applyInArrow(_send(payload_buckets, buckets), "chunk long, bucket int, entries binary")
-    replies = sent.groupBy("bucket").applyInArrow(_importances, "chunk long, bucket int, levels binary")
+    sent = by_chunk.cogroup(payloads.groupBy("chunk")).applyInArrow(_send(payload_buckets, buckets), _ANSWER)
+    counted = sent.groupBy("bucket").applyInArrow(_counts(buckets), _ANSWER)
+    nodes = counted.where("bucket % 2 = 0").groupBy("bucket").applyInArrow(_nodes, _ANSWER)
+    replies = counted.where("bucket % 2 = 1").union(nodes)
     found = by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(_texts(buckets), "page long, url string, text string, n_chars long")
     return found.select(F.col("page").alias(page_col), F.col("url").alias(url_col), "text", "n_chars")

@@ -88,6 +88,34 @@ def test_landmark_is_a_prior_of_the_tree(spark, monkeypatch):
     assert got == want
 
 
+def test_no_bucket_gathers_a_host(spark):
+    np = html_extract.np
+    entries = sorted(e for k in range(400) for e in html_extract._tree_entries("one.example", f"<p>Text {k}</p><p>More {k}</p>")[1])
+    packed = np.zeros(len(set(entries)), dtype=html_extract._ENTRY)
+    packed["node"], packed["sub"] = zip(*sorted(set(entries)))
+    parts = [len(part) for _, part in html_extract._by_bucket(packed, 16)]
+    assert sum(parts) == len(packed) > 800 and max(parts) < len(packed) / 8
+    # The styles of a node are counted apart and summed up again.
+    styles = ["<div><p>a</p></div>", "<div><p>a</p><h2>b</h2></div>", "<div><h2>b</h2></div>", "<div><h2>b</h2><p>a</p></div>"]
+    seen = {0: 1, 1: 2, 2: 4, 3: 8}
+    rows, told = [], None
+    for k, count in seen.items():
+        told, keys = html_extract._tree_entries("one.example", styles[k])
+        own = np.zeros(len(keys), dtype=html_extract._ENTRY)
+        own["node"], own["sub"] = zip(*sorted(keys))
+        own["count"] = count
+        rows += [(k, bucket, own[places].tobytes()) for bucket, places in html_extract._by_bucket(own, 16)]
+    by_bucket = lambda rows: [html_extract._rows([r for r in rows if r[1] == b]) for b in sorted({r[1] for r in rows})]
+    counted = [tuple(r.values()) for t in by_bucket(rows) for r in html_extract._counts(16)(t).to_pylist()]
+    found = [tuple(r.values()) for t in by_bucket([r for r in counted if r[1] % 2 == 0]) for r in html_extract._nodes(t).to_pylist()]
+    replies = {b: x for c, b, x in found + [r for r in counted if r[1] % 2] if c == 3}
+    level = html_extract._levels(own, replies, 16)
+    shares = np.array(list(seen.values())) / 15
+    assert level[html_extract._h("one.example", ">div"), 0] == round(250 * -(shares * np.log(shares)).sum() / np.log(15))
+    b, a = ((node, sub) for node, sub, *_ in told)
+    assert level[a] == round(250 * (1 - np.log(11) / np.log(11))) and level[b] == round(250 * (1 - np.log(14) / np.log(14)))
+
+
 def test_archives_round_trip(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "RECORDS_PER_FILE", 7)
     monkeypatch.setattr(warc, "CAPTURES_PER_RANGE", 9)
