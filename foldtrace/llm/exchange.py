@@ -1,7 +1,9 @@
 """Exchange of packed fingerprints between chunks of documents and fingerprint buckets.
 
-Documents are dealt into chunks of bounded size, ordered by id: every id of a chunk is smaller
-than every id of the next.  A chunk sends each of its distinct fingerprints once, packed, to
+Documents are dealt into chunks of bounded size, ordered by id: no id of a chunk is larger than
+any id of the next.  Chunks are cut evenly between quantiles of the ids; where that leaves one
+with too many bytes, it is cut again at quantiles of its own, and rows of one id (or without id)
+by a hash of the text and, where the texts are equal too, by row.  A chunk sends each of its distinct fingerprints once, packed, to
 the bucket of that fingerprint; the bucket answers with one bit per fingerprint, in the order
 sent.  So a fingerprint that a third of all documents hold costs one entry per chunk, no key
 gathers documents, and the answer to "where is it first?" needs no positions: the first chunk
@@ -29,6 +31,9 @@ BUCKET_ENTRIES = 1_000_000
 BLOCK_BYTES = 512 << 10
 #: Id quantiles that guide the chunk limits; ids between two of them are cut evenly.
 QUANTILES = 32
+#: A chunk of more than so many times CHUNK_BYTES is cut again, into at most so many parts at once.
+MOST_FULL = 2
+MOST_PARTS = 256
 
 ENTRY_SCHEMA = "chunk long, bucket int, payload binary"
 REPLY_SCHEMA = "chunk long, bucket int, bits binary"
@@ -46,8 +51,9 @@ def _chunk_of(limits: list[int], per_part: int) -> Column:
 
 
 def ordered_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False,
-                   chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """(chunk, id, text[, row]) of all documents, and the bytes of all texts.
+                   chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int, int]:
+    """(chunk, id, text[, row]) of all documents, the bytes of all texts, and how many chunk
+    numbers belong together: chunks with the same quotient by it may share an id.
 
     ``carry`` keeps the whole input row in the struct ``row``.
     """
@@ -61,7 +67,57 @@ def ordered_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     limits = docs.agg(F.percentile_approx(F.col(id_col).cast("bigint"), shares, 10_000)).first()[0] or [0, 0]
     limits = sorted(set(limits)) if len(set(limits)) > 1 else [limits[0], limits[0] + 1]
     frame = docs.select(*columns)
-    return frame.select(_chunk_of(limits, math.ceil(count / (len(limits) - 1))).alias("chunk"), "*"), total
+    per_part = math.ceil(count / (len(limits) - 1))
+    frame = frame.select((_chunk_of(limits, per_part) + 1).alias("chunk"), "*")
+    frame, together = _cut_again(frame, per_part * (len(limits) - 1) + 1, chunk_bytes)
+    return frame, total, together
+
+
+def _cut_again(frame: DataFrame, most: int, chunk_bytes: int) -> tuple[DataFrame, int]:
+    """The frame with chunks (numbered up to ``most``) cut until none is too full."""
+    together, hashed = 1, F.xxhash64("text")
+    size = F.sum(F.octet_length("text")).alias("size")
+    for kind in ("id", "hash", "row"):
+        key = {"id": F.col("id"), "hash": hashed, "row": F.monotonically_increasing_id()}[kind]
+        while True:
+            full = frame.groupBy("chunk").agg(size, F.count(F.lit(1)).alias("rows")).where(F.col("size") > MOST_FULL * chunk_bytes)
+            numbers = [r.chunk for r in full.where("rows > 1").collect()]  # at most one per MOST_FULL * chunk_bytes
+            if not numbers:
+                return frame, together
+            sought = F.col("chunk").isin(numbers) if len(numbers) < 1000 else F.array_contains(F.lit(numbers), F.col("chunk"))
+            parts = [F.min("id").alias("low"), F.max("id").alias("high"), F.min(hashed).alias("first"), F.max(hashed).alias("last"), size]
+            if kind != "row":
+                shares = [k / MOST_PARTS for k in range(MOST_PARTS + 1)]
+                parts.append(F.percentile_approx(key, shares, 10_000).alias("at"))
+            cells = {}
+            for cell in frame.where(sought).groupBy("chunk").agg(*parts).collect():
+                wanted = math.ceil(cell.size / chunk_bytes)
+                wanted = wanted if kind == "row" else min(MOST_PARTS, wanted)
+                if kind == "row" and cell.low == cell.high and cell.first == cell.last:
+                    cells[cell.chunk] = list(range(1, wanted))
+                elif kind == "id" and cell.low != cell.high or kind == "hash" and cell.low == cell.high and cell.first != cell.last:
+                    low = cell.low if kind == "id" else cell.first
+                    at = [cell.at[k * MOST_PARTS // wanted] for k in range(wanted)]
+                    # Where the least key is frequent, it gets a chunk of its own.
+                    cells[cell.chunk] = sorted(set(at) - {low} | ({low + 1} if at.count(low) > 1 or len(set(at)) < 2 else set()))
+            step = max(map(len, cells.values()), default=0) + 1
+            if not cells or (most + 1) * step >= 1 << 62:
+                break
+            if kind == "row":
+                counts = F.element_at(F.lit([len(b) + 1 for b in cells.values()]), F.col("cell"))
+                part = F.pmod(key, counts)
+            else:
+                bounds = F.element_at(F.array(*[F.lit(b) for b in cells.values()]), F.col("cell"))
+                part = F.size(F.filter(bounds, lambda b: b <= key))
+            cell = F.array_position(F.lit(list(cells)), F.col("chunk")).cast("int").alias("cell")
+            part = F.when(F.col("cell") > 0, part.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+            others = [c for c in frame.columns if c != "chunk"]
+            frame = frame.select("*", cell).select((F.col("chunk") * step + part).alias("chunk"), *others)
+            most = (most + 1) * step
+            together *= 1 if kind == "id" else step
+            if kind == "row":
+                break
+    return frame, together
 
 
 def in_order(table: pa.Table) -> pa.Table:
@@ -155,7 +211,7 @@ class Split:
         return low
 
 
-def _answer(modes: tuple[str, ...]):
+def _answer(modes: tuple[str, ...], together: int):
     def answer(table: pa.Table) -> pa.Table:
         mode = modes[table.column("bucket")[0].as_py() % len(modes)]
         chunks = np.asarray(table.column("chunk").to_numpy())
@@ -172,9 +228,11 @@ def _answer(modes: tuple[str, ...]):
             marked = np.zeros(len(values), dtype=bool)
             marked[1:] |= same
             marked[:-1] |= same
-        else:  # "first": no chunk before has it
-            marked = np.ones(len(values), dtype=bool)
-            marked[1:] = ~same
+        else:  # "first": no chunk before has it, but for those that belong together
+            rank = np.repeat(chunks[order] // together, lengths)[by_value]
+            new = np.ones(len(values), dtype=bool)
+            new[1:] = ~same
+            marked = rank == rank[new][np.cumsum(new) - 1]
         bit[by_value] = marked
         ends = np.cumsum(lengths)
         bits = [np.packbits(bit[end - n : end]).tobytes() for end, n in zip(ends, lengths)]
@@ -185,9 +243,9 @@ def _answer(modes: tuple[str, ...]):
     return answer
 
 
-def ask(entries: DataFrame, *modes: str) -> DataFrame:
+def ask(entries: DataFrame, *modes: str, together: int = 1) -> DataFrame:
     """Replies (chunk, bucket, bits) to entries (chunk, bucket, payload), a mode per kind."""
-    return entries.groupBy("bucket").applyInArrow(_answer(modes), REPLY_SCHEMA)
+    return entries.groupBy("bucket").applyInArrow(_answer(modes, together), REPLY_SCHEMA)
 
 
 def bucket_count(expected_entries: float) -> int:

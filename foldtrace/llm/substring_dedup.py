@@ -170,12 +170,12 @@ def _kept_text(text: str, keep: np.ndarray) -> str:
 
 
 def _run(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
-    chunks, total = ex.ordered_chunks(docs, id_col, text_col, carry)
+    chunks, total, together = ex.ordered_chunks(docs, id_col, text_col, carry)
     buckets = ex.bucket_count(total / BYTES_PER_ANCHOR), ex.bucket_count(total / BYTES_PER_WINDOW)
     by_chunk = chunks.groupBy("chunk")
     anchors = ex.ask(by_chunk.applyInArrow(_anchor_entries(buckets[0]), ex.ENTRY_SCHEMA), "repeated")
     entries = by_chunk.cogroup(anchors.groupBy("chunk")).applyInArrow(_window_entries(buckets), ex.ENTRY_SCHEMA)
-    windows = ex.ask(entries, "first")
+    windows = ex.ask(entries, "first", together=together)  # rows of one id remove nothing from each other
     replies = anchors.withColumn("step", F.lit(1)).union(windows.withColumn("step", F.lit(2)))
     schema = "id long, n_words long, n_removed long, kept string"
     if carry:

@@ -24,8 +24,8 @@ chunk holding a prefix has its earliest start, and no entry carries a position.
 compared by 64-bit fingerprints plus the bits of an independent bucket fingerprint.
 
 Defined cases: a null text is empty; texts below ``LENGTH`` bytes keep all; rows with the same
-id are ordered by text and otherwise treated as documents one after the other; a null id counts
-as smallest; an empty table gives an empty result; extra columns are ignored.
+id are ordered by text (where they are more than a chunk, by a hash of it first) and otherwise
+treated as documents one after the other; a null id counts as smallest; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -202,7 +202,7 @@ def _finish(buckets: tuple[int, int], texts: bool):
 
 
 def _run(docs: DataFrame, id_col: str, text_col: str, texts: bool) -> DataFrame:
-    chunks, total = ex.ordered_chunks(docs, id_col, text_col)
+    chunks, total, _ = ex.ordered_chunks(docs, id_col, text_col)
     buckets = ex.bucket_count(total / BYTES_PER_SAMPLE), ex.bucket_count(total / BYTES_PER_TIE)
     by_chunk = chunks.groupBy("chunk")
     samples = ex.ask(by_chunk.applyInArrow(_sample_and_run_entries(buckets[0]), ex.ENTRY_SCHEMA), "repeated", "first")

@@ -90,6 +90,46 @@ def test_byte_strings_match_brute_force(spark, small):
     assert sum(r.n_spans for r in got) > 20
 
 
+@pytest.fixture(scope="module")
+def uneven():
+    """Ids with a gap, long documents in a row, many rows without id, of one id, and all equal."""
+    dice = random.Random(11)
+    word = lambda: "".join(dice.choice("abcdé") for _ in range(dice.randint(1, 6)))
+    passages = [" ".join(word() for _ in range(20)) for _ in range(4)]
+    text = lambda n: " ".join([*(word() for _ in range(n)), dice.choice(passages)])
+    rows = [(k, text(10)) for k in range(60)] + [(10**12 + k, text(10)) for k in range(60)] + [(10**6 + k, text(150)) for k in range(9)]
+    rows += [(None, text(10)) for _ in range(40)] + [(7, text(10)) for _ in range(40)] + [(10**12 + 70, passages[0])] * 40
+    return [(*r, "s", 0, "") for r in rows]
+
+
+def test_chunks_are_bounded(spark, small, uneven):
+    chunks, total, together = exchange.ordered_chunks(spark.createDataFrame(uneven, SCHEMA))
+    held = {}
+    for r in chunks.collect():
+        held.setdefault(r.chunk, []).append(r)
+    assert sum(map(len, held.values())) == len(uneven) and together > 1
+    assert all(len(rows) == 1 or sum(len(r.text.encode()) for r in rows) <= 3 * 700 for rows in held.values())
+    low = lambda r: -1 if r.id is None else r.id
+    order = [sorted(map(low, held[k])) for k in sorted(held)]
+    assert all(a[-1] <= b[0] for a, b in zip(order, order[1:]))
+    whose = {}
+    for k, rows in held.items():
+        for r in rows:
+            whose.setdefault(r.id, set()).add(k // together)
+    assert all(len(ranks) == 1 for ranks in whose.values())
+
+
+def test_uneven_words_match_brute_force(spark, small, uneven):
+    got = substring_dedup.dedup_words(spark.createDataFrame(uneven, SCHEMA)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(brute_words(uneven), key=repr)
+
+
+def test_uneven_bytes_keep_one(spark, small, uneven):
+    rows = [r for r in uneven if r[0] not in (None, 7)]  # the order of many rows of one id is by hash
+    got = suffix_dedup.dedup_bytes(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(brute_bytes(rows), key=repr)
+
+
 def test_kept_texts(spark, small):
     passage = " ".join(f"w{i}" for i in range(20))
     rows = [(1, f"a\n{passage}\nb", "s", 0, ""), (2, f"c  d\n{passage}\n\ne f", "s", 0, ""), (3, None, "s", 0, "")]
