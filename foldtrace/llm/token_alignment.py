@@ -30,7 +30,7 @@ import hashlib
 import json
 import os
 import re
-from dataclasses import dataclass, field
+from itertools import chain, islice
 from pathlib import Path
 
 import numpy as np
@@ -90,6 +90,7 @@ class Tokenizers:
         self.bytes_b = [
             bytes([int(name[3:5], 16)]) if self.b.is_byte(k) else name.replace("▁", " ").encode() for k, name in enumerate(names)
         ]
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in table], dtype=np.int64) for table in (self.bytes_a, self.bytes_b))
         shape = json.loads(byte_level)
         pre = shape.get("pre_tokenizer") or {}
         self.cuttable = (
@@ -105,66 +106,61 @@ class Tokenizers:
         return a, self.b.encode(units, num_threads=1)
 
 
-@dataclass
-class Aligned:
-    """One aligned unit; ``groups`` is None where a tokenizer does not give its bytes back."""
-
-    n_a: int = 0
-    n_b: int = 0
-    groups: list[tuple[list[int], list[int]]] | None = None
-    pairs: list[int] = field(default_factory=list)
-
-
-def align(ids_a: list[int], ids_b: list[int], parts_a: list[bytes], parts_b: list[bytes]) -> tuple[list, list[tuple[int, int]]]:
-    """Groups (ids of A, ids of B) between common ends, and the links of overlapping tokens."""
-    ends_a, ends_b = ({} for _ in range(2))
-    for ends, parts in ((ends_a, parts_a), (ends_b, parts_b)):
-        end = 0
-        for k, part in enumerate(parts):
-            end += len(part)
-            ends[end] = k + 1
-    groups, links = [], []
-    from_a = from_b = 0
-    for common in sorted(ends_a.keys() & ends_b.keys()):
-        to_a, to_b = ends_a[common], ends_b[common]
-        groups.append((ids_a[from_a:to_a], ids_b[from_b:to_b]))
-        # Both lists of a slice cover the same bytes: walk them side by side.
-        i, j = from_a, from_b
-        left_a, left_b = len(parts_a[i]), len(parts_b[j])
-        while True:
-            links.append((ids_a[i], ids_b[j]))
-            step = min(left_a, left_b)
-            left_a, left_b = left_a - step, left_b - step
-            if not left_a:
-                i += 1
-                left_a = len(parts_a[i]) if i < to_a else 0
-            if not left_b:
-                j += 1
-                left_b = len(parts_b[j]) if j < to_b else 0
-            if i == to_a or j == to_b:
-                break
+def sliced(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Common ends with how many tokens of A and of B end up to each; links as token numbers of
+    A and of B, in order of their bytes.
+
+    Between two neighbouring ends of either side lie bytes of one token of each, and two tokens
+    that overlap do so in one such stretch: a slice has as many links as ends.
+    """
+    index_a = dict(zip(ends_a.tolist(), range(1, len(ends_a) + 1)))
+    index_b = dict(zip(ends_b.tolist(), range(1, len(ends_b) + 1)))
+    common = sorted(index_a.keys() & index_b.keys())
+    upto_a = np.fromiter(map(index_a.__getitem__, common), np.int64, len(common))
+    upto_b = np.fromiter(map(index_b.__getitem__, common), np.int64, len(common))
+    ends = np.union1d(ends_a, ends_b)
+    return np.array(common, dtype=np.int64), upto_a, upto_b, np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+
+
+def align_units(tokenizers: Tokenizers, units: list[str]) -> list[tuple]:
+    """Per unit (given back by both tokenizers, tokens of A, of B, groups, links, groups as text,
+    id pairs of the links as bytes)."""
+    lost = (False, 0, 0, 0, 0, "", b"")
+    lists = tokenizers.encode(units)
+    wanted = [(" " + unit).encode() for unit in units]
+    good = []
+    for k, (want, ids_a, ids_b) in enumerate(zip(wanted, *lists)):
+        both = b"".join([tokenizers.bytes_a[i] for i in ids_a]) == want == b"".join([tokenizers.bytes_b[i] for i in ids_b])
+        if both:
+            good.append(k)
+    found = [lost] * len(units)
+    if not good:
+        return found
+    # The good units in a row, as one text: each starts where the one before ends, on both sides.
+    limits = np.cumsum([len(wanted[k]) for k in good])
+    ids, ends, counts = [], [], []
+    for side, sizes in zip(lists, (tokenizers.sizes_a, tokenizers.sizes_b)):
+        flat = np.fromiter(chain.from_iterable(side[k] for k in good), np.int64)
+        ids.append(flat)
+        ends.append(np.cumsum(sizes[flat]))
+        counts.append([len(side[k]) for k in good])
+    common, upto_a, upto_b, link_a, link_b = sliced(*ends)
+    names = [list(map(str, flat.tolist())) for flat in ids]
+    groups, from_a, from_b = [], 0, 0
+    for to_a, to_b in zip(upto_a.tolist(), upto_b.tolist()):
+        groups.append(f"{names[0][from_a] if to_a == from_a + 1 else ','.join(names[0][from_a:to_a])}|{','.join(names[1][from_b:to_b])}")
         from_a, from_b = to_a, to_b
-    return groups, links
-
-
-def align_units(tokenizers: Tokenizers, units: list[str]) -> list[Aligned]:
-    found = []
-    for unit, ids_a, ids_b in zip(units, *tokenizers.encode(units)):
-        parts_a = [tokenizers.bytes_a[k] for k in ids_a]
-        parts_b = [tokenizers.bytes_b[k] for k in ids_b]
-        want = (" " + unit).encode()
-        if b"".join(parts_a) != want or b"".join(parts_b) != want or not all(parts_a) or not all(parts_b):
-            found.append(Aligned())
-            continue
-        groups, links = align(ids_a, ids_b, parts_a, parts_b)
-        found.append(Aligned(len(ids_a), len(ids_b), groups, [a << PAIR_SHIFT | b for a, b in links]))
+    pairs = ids[0][link_a] << PAIR_SHIFT | ids[1][link_b]
+    group_at = [0, *np.searchsorted(common, limits, side="right").tolist()]
+    link_at = [0, *np.searchsorted(ends[0][link_a], limits, side="right").tolist()]
+    if any(link_at[1:]) and link_at[-1] != len(pairs):
+        raise AssertionError("links run over the end of a unit")
+    for n, (k, n_a, n_b) in enumerate(zip(good, *counts)):
+        g0, g1, l0, l1 = group_at[n], group_at[n + 1], link_at[n], link_at[n + 1]
+        found[k] = (True, n_a, n_b, g1 - g0, l1 - l0, ";".join(groups[g0:g1]), pairs[l0:l1].tobytes())
     return found
 
 
-def digest_of(groups: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
-
-
 _worker: dict = {}
 
 
@@ -173,20 +169,16 @@ class _Units:
 
     def __init__(self, tokenizers: Tokenizers, kept: dict[str, tuple], names: list[str]):
         missing = [u for u in names if u not in kept]
-        fresh = {}
-        for unit, x in zip(missing, align_units(tokenizers, missing)):
-            told = x.groups is not None
-            fresh[unit] = (told, x.n_a, x.n_b, len(x.groups or ()), len(x.pairs), digest_of(x.groups or []), x.pairs)
+        fresh = dict(zip(missing, align_units(tokenizers, missing)))
         rows = [kept.get(u) or fresh[u] for u in names]
         self.told = np.array([r[0] for r in rows], dtype=bool)
         self.counts = np.array([r[1:5] for r in rows], dtype=np.int64).reshape(-1, 4)
         self.texts = [r[5] for r in rows]
-        lengths = self.counts[:, 3]
-        self.at = np.concatenate([[0], np.cumsum(lengths)])
-        self.pairs = np.fromiter((p for r in rows for p in r[6]), dtype=np.int64, count=int(self.at[-1]))
+        self.at = np.concatenate([[0], np.cumsum(self.counts[:, 3])])
+        self.pairs = np.frombuffer(b"".join([r[6] for r in rows]), dtype=np.int64)
         if len(kept) + len(fresh) > KEPT_UNITS:
             kept.clear()
-        kept.update((u, r) for u, r in fresh.items() if len(u) <= KEPT_CHARS)
+        kept.update(islice(((u, r) for u, r in fresh.items() if len(u) <= KEPT_CHARS), KEPT_UNITS))
 
 
 def _stretches(texts: list[str | None]):
@@ -261,7 +253,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     frame = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")
     )
-    return stored(frame.mapInArrow(_encoder(shared), ENCODED), "alignment")
+    return stored(frame.mapInArrow(_encoder(shared), ENCODED), "alignment", compression="zstd")
 
 
 def link_counts(encoded: DataFrame) -> DataFrame:
@@ -279,19 +271,18 @@ def align_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     encoded = encode(docs, id_col, text_col, tokenizers, byte_level, pieces)
     counts = stored(link_counts(encoded), "alignment-counts")
     slices = max(1, -(-counts.count() // SLICE_PAIRS))
-    kept = ["row", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
     parts = None
     for k in range(slices):
         own = F.broadcast(counts.where(F.pmod(F.xxhash64("pair"), F.lit(slices)) == k))
-        held = encoded.select(*kept, F.inline_outer("pairs")).join(own, "pair", "left")
+        held = encoded.select("row", F.inline("pairs")).join(own, "pair")
         best = F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best")
-        sums = held.groupBy(*kept).agg(best, F.sum(F.coalesce(F.col("times") * F.col("count"), F.lit(0))).alias("count_sum"))
+        sums = held.groupBy("row").agg(best, F.sum(F.col("times") * F.col("count")).alias("count_sum"))
         parts = sums if parts is None else parts.unionByName(sums)
     if slices > 1:
-        parts = parts.groupBy(*kept).agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-    return parts.select(
-        F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", F.lit(0)).alias("n_best"), "count_sum", "groups_sha256"
-    )
+        parts = parts.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    sums = [F.coalesce(name, F.lit(0)).alias(name) for name in ("n_best", "count_sum")]
+    told = encoded.drop("pairs").join(parts, "row", "left")
+    return told.select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", *sums, "groups_sha256")
 
 
 def most_linked(docs: DataFrame, **options) -> DataFrame:
