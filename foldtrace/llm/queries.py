@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_extract, jaccard_join, mixing, periodic_runs, quality_rules, substring_dedup, suffix_dedup, token_alignment, url_filters, warc
+from . import chat, decontaminate, html_extract, jaccard_join, license_scan, mixing, periodic_runs, quality_rules, substring_dedup, suffix_dedup, token_alignment, url_filters, warc
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, directory: str) -> DataFrame:
     return jaccard_join.join_components(table(spark, directory, "documents"), width=4, percent=85)
 
 
+def op11_license_scan(spark: SparkSession, directory: str) -> DataFrame:
+    return license_scan.scan(table(spark, directory, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, directory: str) -> DataFrame:
     return periodic_runs.detect(table(spark, directory, "documents"), mark=periodic_runs.crc_mark)
 
@@ -65,7 +69,7 @@ def op13_token_alignment(spark: SparkSession, directory: str) -> DataFrame:
     return token_alignment.align_corpus(table(spark, directory, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_substring_dedup, op3_html_extraction, op4_source_mixing, op5_suffix_array_dedup, op6_warc, op7_benchmark_decontamination, op8_url_filters, op9_quality_rules, op10_ngram_jaccard_join, op12_periodic_runs, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_substring_dedup, op3_html_extraction, op4_source_mixing, op5_suffix_array_dedup, op6_warc, op7_benchmark_decontamination, op8_url_filters, op9_quality_rules, op10_ngram_jaccard_join, op11_license_scan, op12_periodic_runs, op13_token_alignment)}
 
 ORACLE = {
     "op1_chat_formatting": chat.oracle(),
@@ -76,5 +80,6 @@ ORACLE = {
     "op8_url_filters": url_filters.oracle(),
     "op9_quality_rules": quality_rules.oracle(),
     "op10_ngram_jaccard_join": jaccard_join.oracle(4, 85),
+    "op11_license_scan": license_scan.oracle(),
     "op12_periodic_runs": periodic_runs.oracle(),
 }
