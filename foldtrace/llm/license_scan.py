@@ -123,13 +123,14 @@ def matches(docs: DataFrame, templates: tuple[Template, ...], id_col: str, text_
     frame = frame.select("id", "key", "words", (F.col("place") - 1).alias("place"))
     word = lambda k: F.get("words", F.col("place") + k)
     tried = [F.struct(F.lit(w).alias("w"), _hash(w, [word(k) for k in range(w)]).alias("h")) for w in widths]
-    alone = F.array(F.struct(F.lit(0).alias("w"), F.lit(0).cast("bigint").alias("h")))
+    alone = F.array(F.struct(F.lit(0).alias("w"), F.lit(None).cast("bigint").alias("h")))
     tried = F.when(F.col("place") < 0, alone).otherwise(F.array(*tried)) if tried else alone
     frame = frame.select("id", "key", "words", "place", F.inline(tried))
+    # The words are compared after the join, for matches only: as part of the key they would be
+    # put together for every place.
     equal = F.array_join(F.slice("words", F.greatest(F.col("place") + 1, F.lit(1)), F.col("w")), " ") == F.col("gram")
-    known = F.col("w") == F.col("width")
-    held = frame.join(grams, (F.col("h") == F.col("hash")) & known & (F.col("place") >= 0) & equal, "left")
-    held = held.where("template IS NOT NULL OR place < 0")
+    held = frame.join(grams, F.col("h") == F.col("hash"), "left")
+    held = held.where((F.col("place") < 0) | F.col("template").isNotNull() & equal)
     return held.select("id", "key", F.size("words").cast("bigint").alias("n_words"), "place", "template", "label", "phrase", "grams", "width", "at")
 
 
