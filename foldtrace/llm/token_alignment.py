@@ -26,11 +26,12 @@ cut is one unit; an empty table gives an empty result; extra columns are ignored
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
 import re
-from itertools import chain, islice
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -46,11 +47,13 @@ PIECES = "piece_bpe_32k.model"
 MAX_VOCABULARY_BYTES = 64 << 20
 #: So many pairs are broadcast at a time (about 60 MB in the driver and in each executor).
 SLICE_PAIRS = 1_000_000
-#: Units that a Python worker keeps between batches, and the longest text it keeps.
-KEPT_UNITS = 200_000
-KEPT_CHARS = 200
-#: A batch is worked off in stretches of about so many characters.
-STRETCH_CHARS = 4 << 20
+#: Units that a Python worker keeps between batches, twice (about 300 bytes each), and the longest it keeps.
+KEPT_UNITS = 100_000
+KEPT_CHARS = 100
+#: A batch is worked off in stretches of about so many characters, of which so many units are
+#: encoded at once.
+STRETCH_CHARS = 2 << 20
+ALIGNED_UNITS = 20_000
 
 #: A pair of ids as one number; the id of B is the lower half.
 PAIR_SHIFT = 32
@@ -102,7 +105,7 @@ class Tokenizers:
         return _CUT.split(text) if self.cuttable else [text]
 
     def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [x.ids for x in self.a.encode_batch([" " + u for u in units], add_special_tokens=False)]
+        a = [x.ids for x in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
         return a, self.b.encode(units, num_threads=1)
 
 
@@ -127,58 +130,93 @@ def align_units(tokenizers: Tokenizers, units: list[str]) -> list[tuple]:
     id pairs of the links as bytes)."""
     lost = (False, 0, 0, 0, 0, "", b"")
     lists = tokenizers.encode(units)
+    tables = (tokenizers.bytes_a, tokenizers.bytes_b)
     wanted = [(" " + unit).encode() for unit in units]
-    good = []
-    for k, (want, ids_a, ids_b) in enumerate(zip(wanted, *lists)):
-        both = b"".join([tokenizers.bytes_a[i] for i in ids_a]) == want == b"".join([tokenizers.bytes_b[i] for i in ids_b])
-        if both:
-            good.append(k)
+    lengths = np.array([len(want) for want in wanted], dtype=np.int64)
+    good = list(range(len(units)))
+    flats = [list(chain.from_iterable(side)) for side in lists]
+    counts = [np.array(list(map(len, side)), dtype=np.int64) for side in lists]
+    whole = b"".join(wanted)
+    fits = all(
+        b"".join(map(table.__getitem__, flat)) == whole and np.array_equal(np.cumsum(sizes[flat])[np.cumsum(count) - 1], np.cumsum(lengths))
+        for flat, count, table, sizes in zip(flats, counts, tables, (tokenizers.sizes_a, tokenizers.sizes_b))
+        if flat or whole
+    )
+    if not fits:
+        good = [k for k in good if all(b"".join([table[i] for i in side[k]]) == wanted[k] for side, table in zip(lists, tables))]
+        flats = [list(chain.from_iterable(side[k] for k in good)) for side in lists]
+        counts = [count[good] for count in counts]
+        lengths = lengths[good]
     found = [lost] * len(units)
     if not good:
         return found
     # The good units in a row, as one text: each starts where the one before ends, on both sides.
-    limits = np.cumsum([len(wanted[k]) for k in good])
-    ids, ends, counts = [], [], []
-    for side, sizes in zip(lists, (tokenizers.sizes_a, tokenizers.sizes_b)):
-        flat = np.fromiter(chain.from_iterable(side[k] for k in good), np.int64)
-        ids.append(flat)
-        ends.append(np.cumsum(sizes[flat]))
-        counts.append([len(side[k]) for k in good])
+    limits = np.cumsum(lengths)
+    ids = [np.array(flat, dtype=np.int64) for flat in flats]
+    ends = [np.cumsum(sizes[flat]) for flat, sizes in zip(ids, (tokenizers.sizes_a, tokenizers.sizes_b))]
     common, upto_a, upto_b, link_a, link_b = sliced(*ends)
-    names = [list(map(str, flat.tolist())) for flat in ids]
+    names = [list(map(str, flat)) for flat in flats]
     groups, from_a, from_b = [], 0, 0
     for to_a, to_b in zip(upto_a.tolist(), upto_b.tolist()):
         groups.append(f"{names[0][from_a] if to_a == from_a + 1 else ','.join(names[0][from_a:to_a])}|{','.join(names[1][from_b:to_b])}")
         from_a, from_b = to_a, to_b
-    pairs = ids[0][link_a] << PAIR_SHIFT | ids[1][link_b]
+    pairs = (ids[0][link_a] << PAIR_SHIFT | ids[1][link_b]).tobytes()
     group_at = [0, *np.searchsorted(common, limits, side="right").tolist()]
     link_at = [0, *np.searchsorted(ends[0][link_a], limits, side="right").tolist()]
-    if any(link_at[1:]) and link_at[-1] != len(pairs):
-        raise AssertionError("links run over the end of a unit")
-    for n, (k, n_a, n_b) in enumerate(zip(good, *counts)):
+    for n, (k, n_a, n_b) in enumerate(zip(good, *(count.tolist() for count in counts))):
         g0, g1, l0, l1 = group_at[n], group_at[n + 1], link_at[n], link_at[n + 1]
-        found[k] = (True, n_a, n_b, g1 - g0, l1 - l0, ";".join(groups[g0:g1]), pairs[l0:l1].tobytes())
+        found[k] = (True, n_a, n_b, g1 - g0, l1 - l0, ";".join(groups[g0:g1]), pairs[8 * l0 : 8 * l1])
     return found
 
 
 _worker: dict = {}
 
 
+class Numbers(dict):
+    """Numbers of keys, in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+class Kept:
+    """Units of earlier stretches: the recent ones, and those before that were used again."""
+
+    def __init__(self):
+        self.young, self.old = {}, {}
+
+    def get(self, unit: str) -> tuple | None:
+        found = self.young.get(unit)
+        if found is None:
+            found = self.old.get(unit)
+            if found is not None:
+                self.young[unit] = found
+        return found
+
+    def put(self, unit: str, row: tuple) -> None:
+        if len(unit) <= KEPT_CHARS:
+            if len(self.young) >= KEPT_UNITS:
+                self.old, self.young = self.young, {}
+            self.young[unit] = row
+
+
 class _Units:
     """Aligned units of a stretch of texts as flat arrays, in the order of their numbers."""
 
-    def __init__(self, tokenizers: Tokenizers, kept: dict[str, tuple], names: list[str]):
-        missing = [u for u in names if u not in kept]
-        fresh = dict(zip(missing, align_units(tokenizers, missing)))
-        rows = [kept.get(u) or fresh[u] for u in names]
+    def __init__(self, tokenizers: Tokenizers, kept: Kept, names: list[str]):
+        rows = [kept.get(u) for u in names]
+        missing = [k for k, row in enumerate(rows) if row is None]
+        for at in range(0, len(missing), ALIGNED_UNITS):
+            part = missing[at : at + ALIGNED_UNITS]
+            for k, row in zip(part, align_units(tokenizers, [names[k] for k in part])):
+                rows[k] = row
+                kept.put(names[k], row)
         self.told = np.array([r[0] for r in rows], dtype=bool)
         self.counts = np.array([r[1:5] for r in rows], dtype=np.int64).reshape(-1, 4)
         self.texts = [r[5] for r in rows]
         self.at = np.concatenate([[0], np.cumsum(self.counts[:, 3])])
         self.pairs = np.frombuffer(b"".join([r[6] for r in rows]), dtype=np.int64)
-        if len(kept) + len(fresh) > KEPT_UNITS:
-            kept.clear()
-        kept.update(islice(((u, r) for u, r in fresh.items() if len(u) <= KEPT_CHARS), KEPT_UNITS))
 
 
 def _stretches(texts: list[str | None]):
@@ -192,17 +230,17 @@ def _stretches(texts: list[str | None]):
         yield first, len(texts)
 
 
-def _encode_texts(tokenizers: Tokenizers, kept: dict, texts: list[str | None]):
+def _encode_texts(tokenizers: Tokenizers, kept: Kept, texts: list[str | None]):
     """Counts, digest and distinct pairs of each text."""
-    numbers: dict[str, int] = {}
-    held = [[numbers.setdefault(u, len(numbers)) for u in tokenizers.units_of(t)] if t else [] for t in texts]
+    numbers = Numbers()
+    held = [np.fromiter(map(numbers.__getitem__, tokenizers.units_of(t)), np.int64) if t else () for t in texts]
     units = _Units(tokenizers, kept, list(numbers))
     for own in held:
-        if not own or not units.told[own].all():
+        if not len(own) or not units.told[own].all():
             yield (0, 0, 0, 0), "", np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
             continue
-        text = ";".join([units.texts[k] for k in own])
-        unit, times = np.unique(np.array(own), return_counts=True)
+        text = ";".join(map(units.texts.__getitem__, own.tolist()))
+        unit, times = np.unique(own, return_counts=True)
         sums = times @ units.counts[unit]
         lengths = units.counts[unit, 3]
         place = np.repeat(units.at[unit], lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -214,7 +252,17 @@ def _encode_texts(tokenizers: Tokenizers, kept: dict, texts: list[str | None]):
 def _encoder(shared):
     def encode(batches):
         if _worker.get("key") != shared.value[2]:
-            _worker.update(key=shared.value[2], tokenizers=Tokenizers(*shared.value[:2]), kept={})
+            _worker.update(key=shared.value[2], tokenizers=Tokenizers(*shared.value[:2]), kept=Kept())
+        # Nothing here makes reference cycles, and looking for them among all kept units takes long.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            yield from encode_batches(batches)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def encode_batches(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for first, last in _stretches(texts):
