@@ -16,7 +16,8 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 PER_REQUEST = 50
 
-# One request holds 50 events. Every 7th is cut off, every 11th repeats an attribute key.
+# One request holds 50 events.  Of damaged requests every 7th is cut off, and every 11th repeats
+# an attribute key.
 _VALUES = {
     "'session.id'": "named_struct('stringValue', concat('s', user_id))",
     "'event.name'": "named_struct('stringValue', event_type)",
@@ -26,11 +27,28 @@ _VALUES = {
     "'odd'": "named_struct('boolValue', event_id % 2 = 1)",
     "'pair'": "named_struct('arrayValue', named_struct('values', array(named_struct('intValue', CAST(user_id AS STRING)), "
     "named_struct('intValue', '7'))))",
-    "IF(event_id div 50 % 11 = 5 AND event_id % 50 = 9, 'k', 'bytes')": "named_struct('bytesValue', base64(CAST(event_type AS BINARY)))",
+    "'bytes'": "named_struct('bytesValue', base64(CAST(event_type AS BINARY)))",
 }
-ATTRIBUTES = (
-    "array(" + ", ".join(f"named_struct('key', {key}, 'value', to_variant_object({value}))" for key, value in _VALUES.items()) + ")"
-)
+
+
+def _listed(values: dict[str, str]) -> str:
+    return "array(" + ", ".join(f"named_struct('key', {key}, 'value', to_variant_object({value}))" for key, value in values.items()) + ")"
+
+
+ATTRIBUTES = _listed(_VALUES)
+TWICE = ATTRIBUTES.replace("'key', 'bytes'", "'key', IF(event_id div 50 % 11 = 5 AND event_id % 50 = 9, 'k', 'bytes')")
+
+
+def _nested(levels: int) -> str:
+    value = "named_struct('intValue', CAST(user_id AS STRING))"
+    for _ in range(levels):
+        value = f"named_struct('arrayValue', named_struct('values', array({value})))"
+        value = f"named_struct('kvlistValue', named_struct('values', array(named_struct('key', 'in', 'value', {value}))))"
+    return value
+
+
+# Six containers in each other.
+DEEP = _listed({"'deep'": _nested(3)})
 NANOS = "CAST(unix_micros(CAST(ts AS TIMESTAMP)) * 1000 AS STRING)"
 ITEMS = {
     "log": (
@@ -58,15 +76,26 @@ ITEMS = {
         f"named_struct('timeUnixNano', {NANOS}, 'asDouble', value, 'attributes', attributes), named_struct('timeUnixNano', '0', 'asDouble', 0.5D, 'attributes', slice(attributes, 1, 0)))))))",
     ),
 }
+_POINT = f"'timeUnixNano', {NANOS}, 'count', CAST(user_id AS STRING), 'sum', value, 'attributes', attributes"
+_BUCKETS = "named_struct('offset', 1, 'bucketCounts', array(CAST(user_id AS STRING)))"
+_KINDS = {
+    0: f"named_struct('name', event_type, 'histogram', named_struct('aggregationTemporality', 'AGGREGATION_TEMPORALITY_DELTA', 'dataPoints', "
+    f"array(named_struct({_POINT}, 'bucketCounts', array('0', CAST(user_id AS STRING)), 'explicitBounds', array(value)))))",
+    1: f"named_struct('name', event_type, 'exponentialHistogram', named_struct('aggregationTemporality', 2, 'dataPoints', array(named_struct({_POINT}, 'scale', -1, 'positive', {_BUCKETS}))))",
+    2: f"named_struct('name', event_type, 'summary', named_struct('dataPoints', array(named_struct({_POINT}, 'quantileValues', array(named_struct('quantile', 0.5D, 'value', value))))))",
+}
+DISTRIBUTIONS = "CASE event_id % 3 " + " ".join(f"WHEN {k} THEN to_json({item})" for k, item in _KINDS.items()) + " END"
 
 
-def event_requests(spark, directory: str, signal: str) -> DataFrame:
-    """OTLP request texts made of the events, 50 to a request."""
+def event_requests(
+    spark, directory: str, signal: str, attributes: str = ATTRIBUTES, item: str | None = None, line: str = "event_id div 50", damaged: bool = False
+) -> DataFrame:
+    """OTLP request texts made of the events."""
     tune(spark)
-    groups, scopes, items, item = ITEMS[signal]
-    text = item if signal == "metric" else f"to_json({item})"
-    events = read_table(spark, directory, "events").selectExpr("*", f"{ATTRIBUTES} AS attributes")
-    lines = events.selectExpr("event_id div 50 AS request_line", "event_id", f"{text} AS item")
+    groups, scopes, items, standard = ITEMS[signal]
+    text = item or (standard if signal == "metric" else f"to_json({standard})")
+    events = read_table(spark, directory, "events").selectExpr("*", f"{attributes} AS attributes")
+    lines = events.selectExpr(f"{line} AS request_line", "event_id", f"{text} AS item")
     bodies = lines.groupBy("request_line").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "item"))), lambda x: x["item"]), ",").alias("items")
     )
@@ -80,7 +109,7 @@ def event_requests(spark, directory: str, signal: str) -> DataFrame:
     body = F.concat(
         F.lit(f'{{"{groups}":[{{"resource":'), resource, F.lit(f',"{scopes}":[{{"scope":{{"name":"demo"}},"{items}":['), C("items"), F.lit("]}]}]}")
     )
-    cut = F.when(C("request_line") % 7 == 3, F.substring(body, 1, 40)).otherwise(body)
+    cut = F.when(C("request_line") % 7 == 3, F.substring(body, 1, 40)).otherwise(body) if damaged else body
     # Blocks of 64 requests stand for input splits.
     return bodies.select(
         F.lpad(F.expr("request_line div 64").cast("string"), 12, "0").alias("request_block"),
@@ -90,12 +119,16 @@ def event_requests(spark, directory: str, signal: str) -> DataFrame:
     )
 
 
-def canonical(spark, directory: str, signal: str = "log") -> DataFrame:
-    return otlp.canonicalize(event_requests(spark, directory, signal), (signal,))
+def canonical(spark, directory: str, signal: str = "log", **built) -> DataFrame:
+    return otlp.canonicalize(event_requests(spark, directory, signal, **built), (signal,))
+
 
+def damaged(spark, directory: str) -> DataFrame:
+    return canonical(spark, directory, attributes=TWICE, damaged=True)
 
-def positioned(spark, directory: str, signal: str = "log") -> DataFrame:
-    return otlp.positioned_records(canonical(spark, directory, signal))
+
+def positioned(spark, directory: str, signal: str = "log", **built) -> DataFrame:
+    return otlp.positioned_records(canonical(spark, directory, signal, **built))
 
 
 def attribute(key: str, kind: str = "string"):
@@ -104,7 +137,7 @@ def attribute(key: str, kind: str = "string"):
 
 GOOD = """good AS (
   SELECT *, event_id // 50 AS request, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(epoch_us(ts) * 1000 AS VARCHAR) AS nanos
-  FROM events WHERE event_id // 50 % 7 <> 3 AND event_id // 50 % 11 <> 5)"""
+  FROM events)"""
 SOURCE = "CASE WHEN request % 4 = 3 THEN 'unknown' ELSE 'svc' || (request % 3) END"
 
 
@@ -166,9 +199,25 @@ register(
     f"WITH {GOOD} SELECT row_number() OVER (ORDER BY event_id) AS position, k, value, event_id % 2 = 1 AS odd, CAST(event_id * 3000000000000 AS VARCHAR) AS big, "
     "'[' || user_id || ',7]' AS pair, to_base64(encode(event_type)) AS bytes FROM good",
 )
+register(
+    "s03_distribution_points",
+    lambda s, d: otlp.admitted(canonical(s, d, "metric", item=DISTRIBUTIONS)).select(
+        "request_line", "name", "time_unix_nano",
+        *[F.try_variant_get("record", f"$.metric.{key}", "string").alias(key) for key in ("point_type", "aggregation_temporality")],
+        F.try_variant_get("record", "$.otel.count", "bigint").alias("count"), F.try_variant_get("record", "$.otel.sum", "double").alias("sum"),
+    ),
+    f"WITH {GOOD} SELECT request AS request_line, event_type AS name, nanos AS time_unix_nano, ['histogram', 'exponential_histogram', 'summary'][event_id % 3 + 1] AS point_type, "
+    "['AGGREGATION_TEMPORALITY_DELTA', 'AGGREGATION_TEMPORALITY_CUMULATIVE', NULL][event_id % 3 + 1] AS aggregation_temporality, nullif(user_id, 0) AS count, "
+    "CASE WHEN event_id % 3 = 2 THEN nullif(value, 0) ELSE value END AS sum FROM good",
+)
+register(
+    "s04_deep_values",
+    lambda s, d: positioned(s, d, attributes=DEEP).select("position", F.to_json(F.try_variant_get("attributes", "$.deep", "variant")).alias("deep")),
+    """SELECT row_number() OVER (ORDER BY event_id) AS position, '{"in":[{"in":[{"in":[' || user_id || ']}]}]}' AS deep FROM events""",
+)
 register(
     "s05_rejected_attributes",
-    lambda s, d: otlp.rejected(canonical(s, d)).where("rejected LIKE 'record:%'").select("request_line", "rejected"),
+    lambda s, d: otlp.rejected(damaged(s, d)).where("rejected LIKE 'record:%'").select("request_line", "rejected"),
     "SELECT DISTINCT event_id // 50 AS request_line, 'record: attribute key is duplicated' AS rejected FROM events "
     "WHERE event_id // 50 % 11 = 5 AND event_id // 50 % 7 <> 3",
 )
@@ -198,23 +247,50 @@ register(
     lambda s, d: positioned(s, d).agg(F.count("time_unix_nano").alias("timed"), F.count("observed_unix_nano").alias("observed"), F.count("trace_id").alias("traced")),
     f"WITH {GOOD} SELECT count(*) FILTER (event_id % 5 <> 0) AS timed, count(*) AS observed, 0 AS traced FROM good",
 )
-register("s10_content_digest", lambda s, d: positioned(s, d).select("position", "content_digest", "canonical_bytes"))
+_SEVERITY = (
+    "'SEVERITY_NUMBER_' || ['TRACE', 'DEBUG', 'INFO', 'WARN', 'ERROR', 'FATAL'][CAST((event_id % 25 - 1) // 4 + 1 AS INT)] || "
+    "['', '2', '3', '4'][CAST((event_id % 25 - 1) % 4 + 1 AS INT)]"
+)
+_BIG = "CASE WHEN event_id * 3000000000000 > 9007199254740991 THEN '{\"integer_decimal\":\"' || event_id * 3000000000000 || '\"}' ELSE (event_id * 3000000000000)::VARCHAR END"
+register(
+    "s10_content_digest",
+    lambda s, d: positioned(s, d).select("position", "content_digest", "canonical_bytes"),
+    f"""WITH {GOOD}, part AS (SELECT *, to_base64(encode(event_type)) AS b64, CASE WHEN event_id % 2 = 1 THEN 'true' ELSE 'false' END AS odd, to_json(props)::VARCHAR AS body,
+        CASE WHEN event_id % 25 > 0 THEN {_SEVERITY} END AS severity FROM good),
+    texts AS (SELECT event_id, '{{"attributes":{{"big":' || {_BIG} || ',"bytes":{{"bytes_base64":"' || b64 || '"}},"event.name":"' || event_type || '","k":' || k ||
+        ',"odd":' || odd || ',"pair":[' || user_id || ',7],"session.id":"s' || user_id || '","value":' || value || '}},"body":' || body ||
+        ',"dropped_attributes_count":0,"flags":0,"otel":{{"attributes":[' ||
+        '{{"key":"session.id","value":{{"string_value":"s' || user_id || '"}}}},{{"key":"event.name","value":{{"string_value":"' || event_type || '"}}}},' ||
+        '{{"key":"k","value":{{"int_value":"' || k || '"}}}},{{"key":"big","value":{{"int_value":"' || event_id * 3000000000000 || '"}}}},' ||
+        '{{"key":"value","value":{{"double_value":' || value || '}}}},{{"key":"odd","value":{{"bool_value":' || odd || '}}}},' ||
+        '{{"key":"pair","value":{{"array_value":{{"values":[{{"int_value":"' || user_id || '"}},{{"int_value":"7"}}]}}}}}},' ||
+        '{{"key":"bytes","value":{{"bytes_value":"' || b64 || '"}}}}],"body":{{"string_value":' || body || '}}' ||
+        CASE WHEN event_id % 3 = 0 THEN ',"event_name":"log.' || event_type || '"' ELSE '' END || ',"observed_time_unix_nano":"' || nanos || '"' ||
+        coalesce(',"severity_number":"' || severity || '"', '') || CASE WHEN event_id % 5 <> 0 THEN ',"time_unix_nano":"' || nanos || '"' ELSE '' END ||
+        '}},"resource":{{"attributes":' || CASE WHEN request % 4 = 3 THEN '{{}}' ELSE '{{"service.name":"svc' || (request % 3) || '"}}' END ||
+        ',"dropped_attributes_count":0,"schema_url":""}},"scope":{{"attributes":{{}},"dropped_attributes_count":0,"name":"demo","schema_url":"","version":""}},' ||
+        '"severity_number":"' || coalesce(severity, 'SEVERITY_NUMBER_UNSPECIFIED') || '","severity_text":""}}' AS j FROM part)
+    SELECT row_number() OVER (ORDER BY event_id) AS position, 'sha256:' || sha256(j) AS content_digest, strlen(j)::BIGINT AS canonical_bytes FROM texts""",
+)
+# A request per user: some hold more records than this bound, some do not.
+FEW = 60
 register(
     "s11_record_bounds",
-    lambda s, d: canonical(s, d)
-    .select("request_line", F.coalesce(F.size("records"), F.lit(0)).cast("bigint").alias("records"), (F.octet_length("body") <= otlp.MAX_REQUEST_BYTES).alias("in_bounds"))
-    .where("records > 0"),
-    "SELECT event_id // 50 AS request_line, count(*) AS records, TRUE AS in_bounds FROM events WHERE event_id // 50 % 7 <> 3 GROUP BY 1",
+    lambda s, d: otlp.canonicalize(event_requests(s, d, "log", line="user_id"), ("log",), otlp.Limits(request_records=FEW)).select(
+        "request_line", F.coalesce(F.size("records"), F.lit(0)).cast("bigint").alias("records"), "rejected"
+    ),
+    f"SELECT user_id AS request_line, CASE WHEN count(*) > {FEW} THEN 0 ELSE count(*) END AS records, "
+    f"CASE WHEN count(*) > {FEW} THEN 'request exceeds the record limit' END AS rejected FROM events GROUP BY 1",
 )
 register(
     "s12_atomic_admission",
-    lambda s, d: canonical(s, d).groupBy("rejected").agg(F.count(F.lit(1)).alias("requests")),
+    lambda s, d: damaged(s, d).groupBy("rejected").agg(F.count(F.lit(1)).alias("requests")),
     "SELECT CASE WHEN r % 7 = 3 THEN 'malformed request' WHEN r % 11 = 5 THEN 'record: attribute key is duplicated' END AS rejected, count(*) AS requests "
     "FROM (SELECT DISTINCT event_id // 50 AS r FROM events) GROUP BY 1",
 )
 register(
     "s13_positions",
-    lambda s, d: otlp.assign_positions(canonical(s, d), base=1000).select("request_line", "first_position"),
+    lambda s, d: otlp.assign_positions(damaged(s, d), base=1000).select("request_line", "first_position"),
     "WITH n AS (SELECT event_id // 50 AS request_line, CASE WHEN event_id // 50 % 7 = 3 OR event_id // 50 % 11 = 5 THEN 0 ELSE count(*) END AS c FROM events GROUP BY 1) "
     "SELECT request_line, CAST(1001 + COALESCE(sum(c) OVER (ORDER BY request_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_position FROM n",
 )

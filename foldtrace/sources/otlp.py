@@ -1,47 +1,26 @@
 """OTLP/JSON requests as canonical records.
 
-A request stays one row until it is admitted: its records are built as an array, any
-problem in any of them rejects the row, and only then is the array expanded.  Atomic
-admission therefore needs no shuffle.
+A request stays one row until it is admitted: ``otlp_json`` walks it once and gives either the
+reason why it is refused or its canonical records, and only then is the row expanded.  Atomic
+admission therefore needs no shuffle.  Names, sources, times, positions and digests of records
+are columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.values import MAX_EXACT_INTEGER
+from .otlp_json import REQUESTS, Limits, canonical_texts
 
 C = F.col
 
-# Admission limits and enumeration names of the protocol.
-MAX_RECORD_BYTES = 256 * 1024
-MAX_REQUEST_RECORDS = 10_000
-MAX_REQUEST_BYTES = 16 * 1024 * 1024
-MAX_COMPRESSED_BYTES = 4 * 1024 * 1024
-SEVERITIES = ["SEVERITY_NUMBER_UNSPECIFIED"] + [
-    f"SEVERITY_NUMBER_{level}{step}"
-    for level in ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL")
-    for step in ("", "2", "3", "4")
-]
-SPAN_KINDS = [
-    f"SPAN_KIND_{kind}" for kind in ("UNSPECIFIED", "INTERNAL", "SERVER", "CLIENT", "PRODUCER", "CONSUMER")
-]
-TEMPORALITIES = [f"AGGREGATION_TEMPORALITY_{kind}" for kind in ("UNSPECIFIED", "DELTA", "CUMULATIVE")]
+MAX_REQUEST_BYTES = Limits().request_bytes
+# Resource attributes that name the source, in order.
 SOURCE_KEYS = ("service.name", "gen_ai.agent.name", "telemetry.sdk.name")
-POINT_TYPES = {
-    "gauge": "gauge",
-    "sum": "sum",
-    "histogram": "histogram",
-    "exponentialHistogram": "exponential_histogram",
-    "summary": "summary",
-}
-GROUPS = {
-    "log": ("resourceLogs", "scopeLogs", "logRecords"),
-    "span": ("resourceSpans", "scopeSpans", "spans"),
-    "metric": ("resourceMetrics", "scopeMetrics", "metrics"),
-}
-KEY_VALUES = "array<struct<key: string, value: variant>>"
 
 
 def stream_requests(spark: SparkSession, path: str, signal: str) -> DataFrame:
@@ -75,317 +54,94 @@ def read_requests(spark: SparkSession, path: str, signal: str) -> DataFrame:
     )
 
 
-# The rest of this module builds SQL text: the nested lambdas over a request's arrays are
-# a single expression to parse instead of thousands of column calls.
+def _decoder(layout: pa.Schema, limits: Limits):
+    def decode(batches):
+        for batch in batches:
+            done = [canonical_texts(s, b, limits) for s, b in zip(batch.column("signal").to_pylist(), batch.column("body").to_pylist())]
+            # A request can give many times its bytes, so results leave in small pieces.
+            start, held = 0, 0
+            for k, (_, texts) in enumerate(done):
+                held += sum(map(len, texts or ()))
+                if held > PIECE_CHARS or k + 1 == len(done):
+                    piece = done[start : k + 1]
+                    columns = [batch.column(name)[start : k + 1] for name in layout.names[:-2]]
+                    columns += [pa.array([d[1] for d in piece], layout.field("records").type), pa.array([d[0] for d in piece], pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, schema=layout)
+                    start, held = k + 1, 0
 
+    return decode
 
-def _get(value: str, path: str, kind: str = "string") -> str:
-    return f"try_variant_get({value}, '{path}', '{kind}')"
 
+PIECE_CHARS = 8 << 20
 
-def _or_empty(array: str, kind: str = "array<variant>") -> str:
-    return f"coalesce({array}, CAST(array() AS {kind}))"
 
+def canonicalize(requests: DataFrame, signals: tuple[str, ...] = tuple(REQUESTS), limits: Limits = Limits()) -> DataFrame:
+    """Requests with their canonical ``records`` (JSON texts with sorted keys) and the reason they
+    are refused, if any.
 
-def any_value(value: str, depth: int = 2) -> str:
-    """Decoded value as VARIANT; containers nested deeper than ``depth`` stay as sent."""
-    integer = _get(value, "$.intValue", "bigint")
-    scalars = f"""
-      WHEN {_get(value, "$.stringValue")} IS NOT NULL THEN CAST({_get(value, "$.stringValue")} AS VARIANT)
-      WHEN {_get(value, "$.boolValue", "boolean")} IS NOT NULL THEN CAST({_get(value, "$.boolValue", "boolean")} AS VARIANT)
-      WHEN abs({integer}) <= {MAX_EXACT_INTEGER} THEN CAST({integer} AS VARIANT)
-      WHEN {integer} IS NOT NULL THEN to_variant_object(named_struct('integer_decimal', CAST({integer} AS STRING)))
-      WHEN {_get(value, "$.doubleValue", "double")} IS NOT NULL THEN CAST({_get(value, "$.doubleValue", "double")} AS VARIANT)
-      WHEN {_get(value, "$.bytesValue")} IS NOT NULL THEN to_variant_object(named_struct('bytes_base64', {_get(value, "$.bytesValue")}))
+    Requests of other signals than ``signals`` are refused as malformed.  A request is refused
+    whole: unknown or repeated fields, values of a wrong type or out of range, empty or repeated
+    attribute keys at any depth, string-table references, non-finite attribute values, metrics
+    without points, and more than ``limits`` allows.
     """
-    array, keyed = _get(value, "$.arrayValue", "variant"), _get(value, "$.kvlistValue", "variant")
-    if depth == 0:
-        nested = f"WHEN {array} IS NOT NULL OR {keyed} IS NOT NULL THEN {value}"
-    else:
-        items = _or_empty(_get(value, "$.arrayValue.values", "array<variant>"))
-        pairs = _or_empty(_get(value, "$.kvlistValue.values", KEY_VALUES), KEY_VALUES)
-        inner = f"a{depth}"
-        nested = f"""
-          WHEN {array} IS NOT NULL THEN to_variant_object(transform({items}, {inner} -> {any_value(inner, depth - 1)}))
-          WHEN {keyed} IS NOT NULL THEN {attribute_object(pairs, depth - 1, f"k{depth}")}"""
-    return f"coalesce(CASE {scalars} {nested} END, parse_json('null'))"
-
-
-def attribute_object(pairs: str, depth: int = 2, name: str = "p") -> str:
-    """Attribute list as a VARIANT object; a list with repeated keys has none."""
-    entry = f"named_struct('key', {name}.key, 'value', {any_value(f'{name}.value', depth)})"
-    return (
-        f"CASE WHEN NOT {_duplicated(pairs, name)} THEN "
-        f"to_variant_object(map_from_entries(transform({pairs}, {name} -> {entry}))) END"
-    )
-
-
-def _duplicated(pairs: str, name: str = "d") -> str:
-    keys = f"transform({pairs}, {name}d -> {name}d.key)"
-    return f"(size(array_distinct({keys})) <> size({pairs}))"
-
-
-def _pairs_of(value: str, path: str) -> str:
-    return _or_empty(_get(value, path, KEY_VALUES), KEY_VALUES)
-
-
-def _pairs_problem(pairs: str, label: str) -> str:
-    inner = _or_empty(_get("q.value", "$.kvlistValue.values", KEY_VALUES), KEY_VALUES)
-    return f"""CASE WHEN exists({pairs}, q -> coalesce(q.key, '') = '') THEN '{label}: attribute key is empty'
-      WHEN {_duplicated(pairs)} OR exists({pairs}, q -> {_duplicated(inner)}) THEN '{label}: attribute key is duplicated' END"""
+    schema = T.StructType([*requests.schema.fields, T.StructField("records", T.ArrayType(T.StringType())), T.StructField("rejected", T.StringType())])
+    taken = requests.withColumn("signal", F.when(C("signal").isin(*signals), C("signal")).otherwise(F.concat(F.lit("other: "), "signal")))
+    decoded = taken.mapInArrow(_decoder(to_arrow_schema(schema), limits), schema)
+    return decoded.withColumn("signal", F.regexp_replace("signal", "^other: ", ""))
 
 
-def _enum(value: str, names: list[str]) -> str:
-    """Enumeration by number or by name; unset is the first name."""
-    listed = "array(" + ", ".join(f"'{name}'" for name in names) + ")"
-    return (
-        f"coalesce(try_element_at({listed}, try_cast({value} AS INT) + 1), "
-        f"CAST(try_cast({value} AS INT) AS STRING), {value}, '{names[0]}')"
-    )
-
-
-def _nanos(value: str) -> str:
-    return f"nullif({value}, '0')"
+def _member(path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get("record", path, kind)
 
 
-def _hex(value: str) -> str:
-    return f"nullif(lower(hex(try_to_binary({value}, 'base64'))), '')"
+def _text_of(attributes: str, key: str) -> Column:
+    """A key's value when it is a text that is not empty."""
+    item = F.try_variant_get(attributes, f'$["{key}"]', "variant")
+    return F.when(F.schema_of_variant(item) == "STRING", F.nullif(item.cast("string"), F.lit("")))
 
 
-def _text_of(attributes: str, key: str) -> str:
-    """A key's value when it is a string."""
-    item = f"""try_variant_get({attributes}, '$["{key}"]', 'variant')"""
-    return f"CASE WHEN schema_of_variant({item}) = 'STRING' THEN nullif(CAST({item} AS STRING), '') END"
-
-
-def source_name(resource_attributes: str) -> str:
+def source_name(attributes: str = "resource_attributes") -> Column:
     """First non-empty text among the naming attributes."""
-    return "coalesce(" + ", ".join(_text_of(resource_attributes, key) for key in SOURCE_KEYS) + ", 'unknown')"
-
-
-def _object(fields: dict[str, str]) -> str:
-    packed = ", ".join(f"'{name}', {value}" for name, value in sorted(fields.items()))
-    return f"to_variant_object(named_struct({packed}))"
+    return F.coalesce(*[_text_of(attributes, key) for key in SOURCE_KEYS], F.lit("unknown"))
 
 
-def _entries(request: str, signal: str) -> str:
-    """All items of a request with their resource and scope, in order."""
-    groups, scopes, items = GROUPS[signal]
-    return f"""flatten(transform({_or_empty(_get(request, f"$.{groups}", "array<variant>"))}, g ->
-      flatten(transform({_or_empty(_get("g", f"$.{scopes}", "array<variant>"))}, s ->
-        transform({_or_empty(_get("s", f"$.{items}", "array<variant>"))}, i ->
-          named_struct('group', g, 'scoped', s, 'item', i))))))"""
-
-
-def _points(entries: str) -> str:
-    """Metrics expanded to one entry per data point."""
-    cases = ""
-    for path, kind in POINT_TYPES.items():
-        points = _or_empty(_get("m.item", f"$.{path}.dataPoints", "array<variant>"))
-        cases += f""" WHEN {_get("m.item", f"$.{path}", "variant")} IS NOT NULL THEN transform({points}, o ->
-          named_struct('group', m.group, 'scoped', m.scoped, 'item', o, 'metric', m.item, 'point_type', '{kind}'))"""
-    return f"flatten(transform({entries}, m -> CASE {cases} ELSE CAST(array() AS {_POINT_ENTRY}) END))"
-
-
-_POINT_ENTRY = "array<struct<group: variant, scoped: variant, item: variant, metric: variant, point_type: string>>"
-
-
-def _metric_identity() -> str:
-    base = {name: f"coalesce({_get('r.metric', f'$.{name}')}, '')" for name in ("name", "description", "unit")}
-    base["point_type"] = "r.point_type"
-    temporality = ", ".join(
-        _get("r.metric", f"$.{path}.aggregationTemporality") for path in ("sum", "histogram", "exponentialHistogram")
-    )
-    timed = {**base, "aggregation_temporality": _enum(f"coalesce({temporality})", TEMPORALITIES)}
-    whole = {**timed, "is_monotonic": f"coalesce({_get('r.metric', '$.sum.isMonotonic', 'boolean')}, false)"}
-    return f"""CASE WHEN r.point_type = 'sum' THEN {_object(whole)}
-      WHEN r.point_type IN ('histogram', 'exponential_histogram') THEN {_object(timed)} ELSE {_object(base)} END"""
-
-
-def _decoded(entries: str, signal: str) -> str:
-    """Entries with their attribute lists decoded once."""
-    listed = {
-        "record": _pairs_of("e.item", "$.attributes"),
-        "resource": _pairs_of("e.group", "$.resource.attributes"),
-        "scope": _pairs_of("e.scoped", "$.scope.attributes"),
-    }
-    problem = "coalesce(" + ", ".join(_pairs_problem(pairs, label) for label, pairs in listed.items()) + ")"
-    body = any_value(_get("e.item", "$.body", "variant")) if signal == "log" else "CAST(NULL AS VARIANT)"
-    metric = "'metric', e.metric, 'point_type', e.point_type, " if signal == "metric" else ""
-    return f"""transform({entries}, e -> named_struct('group', e.group, 'scoped', e.scoped, 'item', e.item, {metric}
-      'attributes', {attribute_object(listed["record"])}, 'resource_attributes', {attribute_object(listed["resource"])},
-      'scope_attributes', {attribute_object(listed["scope"])}, 'body', {body}, 'problem', {problem}))"""
-
-
-def _canonical(decoded: str, signal: str) -> str:
-    """Canonical record structs of decoded entries."""
-
-    def text(value: str, path: str) -> str:
-        return f"coalesce({_get(value, path)}, '')"
-
-    def number(value: str, path: str) -> str:
-        return f"coalesce({_get(value, path, 'bigint')}, 0)"
-
-    observed = "CAST(NULL AS STRING)"
-    fields = {
-        "attributes": "r.attributes",
-        "otel": "r.item",
-        "resource": _object(
-            {
-                "attributes": "r.resource_attributes",
-                "dropped_attributes_count": number("r.group", "$.resource.droppedAttributesCount"),
-                "schema_url": text("r.group", "$.schemaUrl"),
-            }
-        ),
-        "scope": _object(
-            {
-                "name": text("r.scoped", "$.scope.name"),
-                "version": text("r.scoped", "$.scope.version"),
-                "attributes": "r.scope_attributes",
-                "dropped_attributes_count": number("r.scoped", "$.scope.droppedAttributesCount"),
-                "schema_url": text("r.scoped", "$.schemaUrl"),
-            }
-        ),
-    }
-    if signal == "log":
-        name = f"coalesce(nullif({_get('r.item', '$.eventName')}, ''), {_text_of('r.attributes', 'event.name')}, '')"
-        time = _nanos(_get("r.item", "$.timeUnixNano"))
-        observed = _nanos(_get("r.item", "$.observedTimeUnixNano"))
-        fields |= {
-            "body": "r.body",
-            "severity_number": _enum(_get("r.item", "$.severityNumber"), SEVERITIES),
-            "severity_text": text("r.item", "$.severityText"),
-            "flags": number("r.item", "$.flags"),
-            "dropped_attributes_count": number("r.item", "$.droppedAttributesCount"),
-        }
-    elif signal == "span":
-        name = text("r.item", "$.name")
-        time = _nanos(_get("r.item", "$.startTimeUnixNano"))
-        fields |= {
-            "kind": _enum(_get("r.item", "$.kind"), SPAN_KINDS),
-            "parent_span_id": _hex(_get("r.item", "$.parentSpanId")),
-            "start_time_unix_nano": time,
-            "end_time_unix_nano": _nanos(_get("r.item", "$.endTimeUnixNano")),
-            "trace_state": text("r.item", "$.traceState"),
-            "flags": number("r.item", "$.flags"),
-        }
-    else:
-        name = text("r.metric", "$.name")
-        time = _nanos(_get("r.item", "$.timeUnixNano"))
-        fields |= {
-            "metric": _metric_identity(),
-            "start_time_unix_nano": _nanos(_get("r.item", "$.startTimeUnixNano")),
-            "time_unix_nano": time,
-        }
-    ids = {
-        key: "CAST(NULL AS STRING)" if signal == "metric" else _hex(_get("r.item", f"$.{path}"))
-        for key, path in (("trace_id", "traceId"), ("span_id", "spanId"))
-    }
-    return f"""transform({decoded}, r -> named_struct('signal', '{signal}', 'name', {name},
-      'source', {source_name("r.resource_attributes")}, 'time_unix_nano', {time}, 'observed_unix_nano', {observed},
-      'trace_id', {ids["trace_id"]}, 'span_id', {ids["span_id"]}, 'body', r.body, 'attributes', r.attributes,
-      'resource_attributes', r.resource_attributes, 'record', {_object(fields)}, 'problem', r.problem))"""
-
-
-STRING_TABLE = r'"(keyStrindex|stringValueStrindex)":[1-9]'
-NON_FINITE = r'"doubleValue":"-?(NaN|Infinity|inf)"'
-# What compact JSON text shows of values that would otherwise decode to nothing.  A quote inside
-# a text is escaped there, so these marks only match the structure.
-_NUMBER = r"-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?"
-WRONG_SHAPES = (
-    (r'"(resource(Logs|Spans|Metrics)|scope(Logs|Spans|Metrics)|logRecords|spans|metrics|dataPoints|attributes|values)":(?!\[|null)', "a list is expected"),
-    (r'"(resource|scope|arrayValue|kvlistValue)":(?!\{|null)', "an object is expected"),
-    (r'"key":(?!"|null)|"(stringValue|bytesValue)":(?!"|null)', "a text is expected"),
-    (r'"intValue":(?!("-?\d{1,19}"|-?\d{1,19})[,}]|null)', "an integer is expected"),
-    (rf'"doubleValue":(?!("{_NUMBER}"|{_NUMBER})[,}}]|null)', "a number is expected"),
-    (r'"boolValue":(?!true|false|null)', "a boolean is expected"),
-    (r'"key":(""|null)', "attribute key is empty"),
-)
-
-
-def canonicalize(requests: DataFrame, signals: tuple[str, ...] = tuple(GROUPS)) -> DataFrame:
-    """Requests with their canonical ``records`` array and the reason they are refused, if any.
-
-    ``signals`` names the signals the input can hold; fewer make a smaller plan.
-    """
-    parsed = requests.withColumn("_request", F.when(F.octet_length("body") <= MAX_REQUEST_BYTES, F.try_parse_json("body")))
-    cases, pointless = "", "false"
-    for signal in signals:
-        entries = _entries("_request", signal)
-        if signal == "metric":
-            present = " OR ".join(f'{_get("x.item", f"$.{path}", "variant")} IS NOT NULL' for path in POINT_TYPES)
-            pointless = f"signal = 'metric' AND exists({entries}, x -> NOT ({present}))"
-            entries = _points(entries)
-        cases += f" WHEN signal = '{signal}' THEN {_canonical(_decoded(entries, signal), signal)}"
-    built = parsed.selectExpr(
-        *[f"`{name}`" for name in requests.columns],
-        "_request IS NULL AS _malformed",
-        "to_json(_request) AS _text",
-        f"{pointless} AS _pointless",
-        f"CASE {cases} END AS _built",
-    )
-    sized = built.selectExpr(
-        *[f"`{name}`" for name in requests.columns],
-        "_malformed",
-        "_text",
-        "_pointless",
-        "transform(_built, r -> named_struct('value', r, 'json', to_json(r.record))) AS records",
-    )
-    reason = (
-        F.when(F.octet_length("body") > MAX_REQUEST_BYTES, "request exceeds the byte limit")
-        .when(C("_malformed"), "malformed request")
-        .when(F.size("records") > MAX_REQUEST_RECORDS, "request exceeds the record limit")
-        .when(C("_text").rlike(STRING_TABLE), "string-table attributes are unsupported")
-        .when(C("_text").rlike(NON_FINITE), "non-finite double")
-        .when(C("_pointless"), "metric has no supported data points")
-    )
-    for pattern, said in WRONG_SHAPES:
-        reason = reason.when(C("_text").rlike(pattern), said)
-    reason = (
-        reason.otherwise(
-            F.coalesce(
-                F.expr("get(transform(filter(records, r -> r.value.problem IS NOT NULL), r -> r.value.problem), 0)"),
-                F.expr(
-                    f"CASE WHEN exists(records, r -> octet_length(r.json) > {MAX_RECORD_BYTES}) "
-                    "THEN 'canonical record exceeds the limit' END"
-                ),
-            )
-        )
-    )
-    return sized.select(*requests.columns, "records", reason.alias("rejected"))
+def _id(field: str) -> Column:
+    return F.nullif(F.lower(F.hex(F.unbase64(_member(f"$.otel.{field}", "string")))), F.lit(""))
 
 
 def admitted(canonical: DataFrame, order: tuple[str, ...] = ("request_block", "request_line")) -> DataFrame:
     """Records of the accepted requests, in request order with their ordinal."""
-    accepted = F.when(C("rejected").isNull(), C("records"))
-    return canonical.select(*order, F.posexplode(accepted).alias("ordinal", "_r")).select(
+    texts = canonical.where(C("rejected").isNull()).select(*order, "signal", F.posexplode("records").alias("ordinal", "_json"))
+    records = texts.select(*order, "ordinal", "signal", "_json", F.parse_json("_json").alias("record"))
+    records = records.withColumns({"attributes": _member("$.attributes"), "resource_attributes": _member("$.resource.attributes")})
+    by_signal = lambda **of: F.coalesce(*[F.when(C("signal") == name, column) for name, column in of.items()])
+    log_name = F.coalesce(_member("$.otel.event_name", "string"), _text_of("attributes", "event.name"))
+    name = by_signal(log=log_name, span=_member("$.otel.name", "string"), metric=_member("$.metric.name", "string"))
+    time = by_signal(
+        log=_member("$.otel.time_unix_nano", "string"), span=_member("$.start_time_unix_nano", "string"), metric=_member("$.time_unix_nano", "string")
+    )
+    return records.select(
         *order,
         "ordinal",
-        *[
-            C(f"_r.value.{name}").alias(name)
-            for name in (
-                "signal",
-                "name",
-                "source",
-                "time_unix_nano",
-                "observed_unix_nano",
-                "trace_id",
-                "span_id",
-                "body",
-                "attributes",
-                "resource_attributes",
-                "record",
-            )
-        ],
-        F.concat(F.lit("sha256:"), F.sha2(C("_r.json"), 256)).alias("content_digest"),
-        F.octet_length("_r.json").cast("bigint").alias("canonical_bytes"),
+        "signal",
+        F.coalesce(name, F.lit("")).alias("name"),
+        source_name().alias("source"),
+        time.alias("time_unix_nano"),
+        by_signal(log=_member("$.otel.observed_time_unix_nano", "string")).alias("observed_unix_nano"),
+        by_signal(log=_id("trace_id"), span=_id("trace_id")).alias("trace_id"),
+        by_signal(log=_id("span_id"), span=_id("span_id")).alias("span_id"),
+        _member("$.body").alias("body"),
+        "attributes",
+        "resource_attributes",
+        "record",
+        F.concat(F.lit("sha256:"), F.sha2("_json", 256)).alias("content_digest"),
+        F.octet_length("_json").cast("bigint").alias("canonical_bytes"),
     )
 
 
 def rejected(canonical: DataFrame) -> DataFrame:
-    return canonical.where(C("rejected").isNotNull()).select(
-        *[name for name in canonical.columns if name not in ("records", "body")]
-    )
+    """The refused requests, whole, with the reason."""
+    return canonical.where(C("rejected").isNotNull()).drop("records")
 
 
 def assign_positions(
