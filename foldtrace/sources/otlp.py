@@ -150,20 +150,17 @@ def assign_positions(
     """First position of every request: contiguous, in (block, line) order, after ``base``.
 
     Counts run inside a block and over the block totals, so no task ever orders more
-    than one block of requests or the list of blocks.
+    than one block of requests or the list of blocks.  The totals are the last running counts,
+    so that both come from one exchange.
     """
-    counted = canonical.select(
-        block, line, F.when(C("rejected").isNull(), F.size("records")).otherwise(0).cast("bigint").alias("_n")
-    )
-    totals = counted.groupBy(block).agg(F.sum("_n").alias("_total"))
+    size = F.when(C("rejected").isNull(), F.size("records")).otherwise(0).cast("bigint")
+    inside = Window.partitionBy(block).orderBy(line).rowsBetween(Window.unboundedPreceding, 0)
+    counted = canonical.select(block, line, size.alias("_n")).withColumn("_upto", F.sum("_n").over(inside))
     over_blocks = Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    totals = counted.groupBy(block).agg(F.max("_upto").alias("_total"))
     starts = totals.select(block, (F.coalesce(F.sum("_total").over(over_blocks), F.lit(0)) + base).alias("_start"))
-    inside = Window.partitionBy(block).orderBy(line).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        counted.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-        .join(starts, block)
-        .select(block, line, (C("_start") + C("_before") + 1).alias("first_position"))
-    )
+    first = (C("_start") + C("_upto") - C("_n") + 1).alias("first_position")
+    return counted.join(starts, block).select(block, line, first)
 
 
 def positioned_records(

@@ -119,11 +119,11 @@ FIELDS = {name: _fields_of(name) for name in SHAPES}
 
 def _integer(value, kind: str) -> int:
     if isinstance(value, str):
-        if not _NUMBER.fullmatch(value):
+        if not (value.isdecimal() and value.isascii() and (value[0] != "0" or len(value) == 1)) and not _NUMBER.fullmatch(value):
             raise Refused("an integer is expected")
         if len(value) > 40:
             raise Refused("an integer is out of range")
-        value = float(value) if re.search("[.eE]", value) else int(value)
+        value = int(value) if value.lstrip("-").isdecimal() else float(value)
     if isinstance(value, float) and value.is_integer():
         value = int(value)
     low, high = RANGES[kind]
@@ -177,7 +177,7 @@ def _scalar(kind: str, value):
     if kind == "string":
         if not isinstance(value, str):
             raise Refused("a text is expected")
-        if any("\ud800" <= c <= "\udfff" for c in value) if not value.isascii() else False:
+        if not value.isascii() and any("\ud800" <= c <= "\udfff" for c in value):
             raise Refused("a text is not valid Unicode")
         return value
     if kind == "bool":
@@ -208,6 +208,11 @@ def message(name: str, value, depth: int) -> dict:
     if depth <= 0:
         raise Refused("values nest too deep")
     fields, found, chosen = FIELDS[name], {}, None
+    if name == "AnyValue" and len(value) == 1:  # most values are one scalar
+        key, raw = value[0]
+        entry = fields.get(key)
+        if entry is not None and raw is not None and entry[1] not in FIELDS:
+            return {entry[0]: _scalar(entry[1], raw)}
     for key, raw in value:
         entry = fields.get(key)
         if entry is None:
@@ -224,8 +229,7 @@ def message(name: str, value, depth: int) -> dict:
         if many:
             if type(raw) is not list:
                 raise Refused("a list is expected")
-            read = (lambda x: message(kind, x, depth - 1)) if kind in FIELDS else (lambda x: _scalar(kind, x))  # noqa: B023
-            found[target] = [read(x) for x in raw]
+            found[target] = [message(kind, x, depth - 1) for x in raw] if kind in FIELDS else [_scalar(kind, x) for x in raw]
         elif kind in FIELDS:
             found[target] = message(kind, raw, depth - 1)
         else:
