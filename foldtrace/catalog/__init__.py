@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("folded", "normalized", "relational", "ingest", "stateful")
+GROUPS = ("folded", "normalized", "relational", "ingest", "stateful", "programs")
 
 
 def all_queries() -> dict:

@@ -84,33 +84,37 @@ def apply_changes(changes: DataFrame, keys: Sequence[str], prior: DataFrame | No
     return latest_rows(rows, keys, C("_at"), older).where("_kept").select(*values)
 
 
-def insert_conflicts(changes: DataFrame, keys: Sequence[str], prior: DataFrame | None = None, chunk: int = CHUNK_POSITIONS) -> DataFrame:
+def insert_conflicts(
+    changes: DataFrame, keys: Sequence[str], prior: DataFrame | None = None, chunk: int = CHUNK_POSITIONS, at: bool = False
+) -> DataFrame:
     """Inserts of a key that exists at that point: each is an error of its record."""
     rows = previous_value(changes, keys, change_order(), C("op"), chunk=chunk)
     if prior is None:
         stored = F.lit(False)
     else:
-        rows = rows.join(prior.select(*keys).withColumn("_stored", F.lit(True)), list(keys), "left")
+        rows = _same_keys(rows, prior.select(*keys).withColumn("_stored", F.lit(True)), keys, "left")
         stored = F.coalesce("_stored", F.lit(False))
     present = F.when(C("_previous").isNull(), stored).otherwise(C("_previous") != "delete")
     return rows.where((C("op") == "insert") & present).select(
-        "position", *keys, F.lit("insert: UNIQUE constraint failed").alias("reason")
+        "position", *([change_order().alias("at")] if at else []), *keys, F.lit("insert: UNIQUE constraint failed").alias("reason")
     )
 
 
 def lookup(events: DataFrame, rows: DataFrame, on: Sequence[str], prefix: str = "read_") -> DataFrame:
     """OPTIONAL ONE read of a keyed table or view: its columns, NULL when there is no row."""
     renamed = rows.select(*on, F.lit(True).alias(f"{prefix}found"), *[C(n).alias(prefix + n) for n in rows.columns if n not in on])
-    return events.join(renamed, list(on), "left").withColumn(f"{prefix}found", F.coalesce(f"{prefix}found", F.lit(False)))
+    found = _same_keys(events, renamed, on, "left")
+    return found.withColumn(f"{prefix}found", F.coalesce(f"{prefix}found", F.lit(False)))
 
 
 def lookup_one(events: DataFrame, rows: DataFrame, on: Sequence[str], prefix: str = "read_") -> DataFrame:
-    """ONE read: as ``lookup``, with an error where there is not exactly one row."""
-    counted = rows.groupBy(*on).agg(F.count(F.lit(1)).alias(f"{prefix}rows"))
-    found = events.join(counted, list(on), "left")
-    return found.withColumn(
-        "error_reason", F.when(F.coalesce(f"{prefix}rows", F.lit(0)) != 1, F.lit("read ONE: expected exactly one row"))
-    )
+    """ONE read: the columns of the row, with an error where there is not exactly one."""
+    others = [name for name in rows.columns if name not in on]
+    counted = rows.groupBy(*on).agg(F.count(F.lit(1)).alias(f"{prefix}rows"), *[F.any_value(name).alias(prefix + name) for name in others])
+    found = _same_keys(events, counted, on, "left")
+    one = F.coalesce(f"{prefix}rows", F.lit(0)) == 1
+    found = found.withColumns({prefix + name: F.when(one, C(prefix + name)) for name in others})
+    return found.withColumn("error_reason", F.when(~one, F.lit("read ONE: expected exactly one row")))
 
 
 def many_read(

@@ -186,6 +186,38 @@ def finish(
     )
 
 
+MAX_EVENTS = 256
+
+
+def finish_many(frame: DataFrame, events: Column, problems: Sequence[Problem] = (), kept: Mapping[str, Column] | None = None) -> DataFrame:
+    """Decision of a normalizer that gives an array of event structs per record.
+
+    A record without events is ineffective, one with more than ``MAX_EVENTS`` an error.
+    ``kept`` are further columns for tables of the normalizer.
+    """
+    staged = frame.select(
+        "position", "event_id", "signal", "name", "source", first_problem(problems).alias("_early"), events.alias("events"),
+        *[column.alias(name) for name, column in (kept or {}).items()],
+    )
+    size = F.coalesce(F.size("events"), F.lit(0))
+    too_many = F.when(size > MAX_EVENTS, F.lit(f"more than {MAX_EVENTS} events"))
+    return staged.select(
+        "position", "event_id", "signal", "name", "source", (size > 0).alias("effective"), F.coalesce("_early", too_many).alias("error_reason"),
+        "events", *(kept or {}),
+    )
+
+
+def event_count(normalized: DataFrame) -> Column:
+    """How many events a record gives."""
+    if "events" in normalized.columns:
+        return F.coalesce(F.size("events"), F.lit(0))
+    return F.col("effective").cast("int")
+
+
+def accepted_records(normalized: DataFrame) -> DataFrame:
+    return normalized.where(F.col("error_reason").isNull())
+
+
 def effective_events(normalized: DataFrame) -> DataFrame:
     """Events of the records that were accepted without error.
 
@@ -195,6 +227,10 @@ def effective_events(normalized: DataFrame) -> DataFrame:
     inside the predicate.
     """
     accepted = F.col("effective") & F.col("error_reason").isNull()
+    if "events" in normalized.columns:
+        listed = normalized.select("position", "event_id", "signal", "name", "source", F.posexplode(F.when(accepted, F.col("events"))).alias("ordinal", "_event"))
+        numbered = F.concat_ws("#", "event_id", F.col("ordinal").cast("string")).alias("event_id")
+        return listed.select("position", numbered, "signal", "name", "source", "ordinal", "_event.*")
     columns = [name for name in normalized.columns if name not in ("effective", "error_reason")]
     staged = normalized.select(accepted.alias("_accepted"), F.struct(*columns).alias("_event"))
     return staged.select(F.inline(F.when(F.col("_accepted"), F.array(F.col("_event")))))

@@ -44,6 +44,14 @@ class App:
     revision: str = "1"
     # Totals that must never be negative: table -> ((total column, event column), ...).
     non_negative: Mapping[str, tuple[tuple[str, str], ...]] = field(default_factory=dict)
+    # Instead of ``fold``, from normalized records; and what these break: (position, at, reason).
+    apply: Callable[[DataFrame, Mapping[str, DataFrame]], Plans] | None = None
+    violations: Callable[[DataFrame, Mapping[str, DataFrame]], DataFrame | None] | None = None
+
+    def plans(self, normalized: DataFrame, prior: Mapping[str, DataFrame]) -> Plans:
+        if self.apply is not None:
+            return self.apply(normalized, prior)
+        return self.fold(effective_events(normalized), prior)
 
     def events(self, records: DataFrame) -> DataFrame:
         return effective_events(self.normalize(records))
@@ -55,7 +63,7 @@ class App:
         returns them.  A stream stops before the first of them instead (``Runner``), so the two
         agree where nothing is refused.
         """
-        plans = self.fold(self.events(records), {})
+        plans = self.plans(self.normalize(records), {})
         return {name: plan() for name, plan in plans.items() if only is None or name == only}
 
     def refused(self, records: DataFrame) -> DataFrame:

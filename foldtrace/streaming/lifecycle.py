@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.changes import running_total
-from ..operators.record_view import effective_events
+from ..operators.record_view import effective_events, event_count
 from ..plans.apps import App
 
 C = F.col
@@ -71,14 +71,29 @@ def check_violations(app: App, events: DataFrame, prior: Mapping[str, DataFrame]
     return found
 
 
-def first_gap(app: App, normalized: DataFrame, prior: Mapping[str, DataFrame]) -> tuple[int, str] | None:
-    """Earliest record that cannot be applied."""
+def gap_frame(app: App, normalized: DataFrame, prior: Mapping[str, DataFrame]) -> DataFrame:
+    """One row: the earliest record that cannot be applied, and why (NULLs when there is none).
+
+    Inside a record, what the normalizer refuses comes first, then changes in their order.
+    """
     problems = normalized.where(C("error_reason").isNotNull()).select("position", C("error_reason").alias("reason"))
-    checks = check_violations(app, effective_events(normalized), prior)
+    checks = check_violations(app, effective_events(normalized), prior) if app.non_negative else None
     if checks is not None:
         problems = problems.unionByName(checks)
-    row = problems.agg(F.min("position").alias("position"), F.min_by("reason", "position").alias("reason")).first()
-    return None if row.position is None else (row.position, row.reason[:REASON_CHARS])
+    broken = app.violations(normalized, prior) if app.violations is not None else None
+    if broken is not None:
+        kind = broken.schema["at"].dataType
+        problems = problems.withColumn("at", F.lit(None).cast(kind)).unionByName(broken)
+    else:
+        problems = problems.withColumn("at", F.lit(None).cast("int"))
+    first = F.min_by("reason", F.struct("position", "at", "reason"))
+    return problems.agg(F.min("position").alias("position"), F.substring(first, 1, REASON_CHARS).alias("reason"))
+
+
+def first_gap(app: App, normalized: DataFrame, prior: Mapping[str, DataFrame]) -> tuple[int, str] | None:
+    """Earliest record that cannot be applied."""
+    row = gap_frame(app, normalized, prior).first()
+    return None if row.position is None else (row.position, row.reason)
 
 
 def advance(
@@ -101,16 +116,16 @@ def advance(
     gap = first_gap(app, fresh, prior)
     applied = fresh if gap is None else fresh.where(C("position") < gap[0])
     counts = applied.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(~C("effective")).alias("ineffective"), F.count_if("effective").alias("emitted")
+        F.count(F.lit(1)).alias("n"), F.count_if(~C("effective")).alias("ineffective"), F.sum(event_count(applied)).alias("emitted")
     ).first()
     frontier.consumed += counts.n
     frontier.ineffective += counts.ineffective
-    frontier.emitted += counts.emitted
+    frontier.emitted += counts.emitted or 0
     frontier.position = span.high if gap is None else gap[0] - 1
     if gap is not None:
         frontier.complete, (frontier.gap_position, frontier.gap_reason) = False, gap
         frontier.detached += span.n - counts.n
-    plans = app.fold(effective_events(applied), prior)
+    plans = app.plans(applied, prior)
     return {name: plan() for name, plan in plans.items()}, frontier
 
 
