@@ -152,23 +152,21 @@ class Value:
         return self if self.kind == "variant" else Value(self.col.cast("variant"), "variant")
 
 
-def _variant_truthy(col: Column, depth: int = 1) -> Column:
+# JSON text of an array that holds nothing but empty texts, zeros, false, null, {} and such arrays.
+_EMPTY_MEMBERS = r"^(\[|\]|,|null|false|-?0(\.0+)?([eE][+-]?[0-9]+)?|\"\"|\{\})*$"
+
+
+def _variant_truthy(col: Column) -> Column:
     kind = F.schema_of_variant(col)
     text = F.try_variant_get(col, "$", "string")
-    test = (
+    return (
         F.when(kind == "STRING", text != "")
         .when(kind == "VOID", F.lit(False))
         .when(kind == "BOOLEAN", F.try_variant_get(col, "$", "boolean"))
         .when(kind.startswith("OBJECT"), text != "{}")
+        .when(kind.startswith("ARRAY"), ~F.to_json(col).rlike(_EMPTY_MEMBERS))
+        .otherwise(F.coalesce(F.try_variant_get(col, "$", "double") != 0, F.lit(False)))
     )
-    if depth:
-        members = F.try_variant_get(col, "$", "array<variant>")
-        test = test.when(
-            kind.startswith("ARRAY"), F.exists(members, lambda item: _variant_truthy(item, depth - 1))
-        )
-    else:
-        test = test.when(kind.startswith("ARRAY"), text != "[]")
-    return test.otherwise(F.coalesce(F.try_variant_get(col, "$", "double") != 0, F.lit(False)))
 
 
 def _same_kind(values: list[Value]) -> list[Value]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.addresses import is_local, is_single_label, plain_host
+
 C = F.col
 NANOS_PER_DAY = 86_400_000_000_000
 MICROUSD_PER_USD = 1_000_000.0
@@ -176,58 +178,34 @@ def _suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
-PRIVATE_IPV4 = r"^(127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|0\.)[0-9.]+$"
-PRIVATE_IPV6 = r"^\[(::1|::|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*)(%25.*)?\]$"
-
-
 def builtin_excluded(host: Column) -> dict[str, Column]:
     """Rules whose pattern is a word for a class of hosts rather than a host."""
-    return {
-        "loopback-or-private-ip-literal": host.rlike(PRIVATE_IPV4) | host.rlike(PRIVATE_IPV6),
-        "single-label-host": ~host.contains(".") & ~host.startswith("["),
-    }
+    return {"loopback-or-private-ip-literal": is_local(host), "single-label-host": is_single_label(host)}
 
 
 def enforce_exclusions(due: DataFrame, exclusions: DataFrame) -> DataFrame:
     """Due URLs that no enabled exclusion covers.
 
-    Host rules become equi-joins: a host expands to its handful of suffixes and each is
-    matched by key, so neither side has to be small.  URL-prefix rules match on the
-    prefix lengths in use: a URL is cut at each length and matched by key as well.
+    A URL has the tokens a rule could name: its host, the classes of its host, every suffix of
+    the host in whole labels, and the URL cut at each length that a prefix rule has.  Tokens meet
+    rules by key, so neither side has to be small, and each URL is read once.
     """
-    active = exclusions.where(C("enabled") == 1).select("kind", "pattern")
-    exact = active.where(C("kind") == "host-exact").select(C("pattern").alias("_key")).distinct()
+    active = exclusions.where(C("enabled") == 1)
+    bare = F.regexp_replace(plain_host(C("pattern")), r"^\.+", "")
     # A suffix covers whole labels, written with or without the leading dot.
-    suffix = active.where(C("kind") == "host-suffix").select(F.ltrim(F.lit("."), C("pattern")).alias("_key")).where("_key <> ''").distinct()
-    prefix = active.where(C("kind") == "url-prefix").select(C("pattern").alias("_key")).distinct()
-    classes = builtin_excluded(C("host"))
-    named = F.array(*[F.when(test, name) for name, test in classes.items()])
-    tokens = due.select(
-        "observed_full",
-        F.array_distinct(
-            F.concat(
-                F.transform(
-                    F.array_compact(F.concat(F.array("host"), named)),
-                    lambda key: F.struct(F.lit("host-exact").alias("kind"), key.alias("key")),
-                ),
-                F.transform(
-                    _suffixes(C("host")), lambda key: F.struct(F.lit("host-suffix").alias("kind"), key.alias("key"))
-                ),
-            )
-        ).alias("_tokens"),
-    ).select("observed_full", F.inline("_tokens"))
-    hosts = exact.withColumn("kind", F.lit("host-exact")).unionByName(suffix.withColumn("kind", F.lit("host-suffix")))
-    by_host = tokens.join(hosts, (tokens["kind"] == hosts["kind"]) & (tokens["key"] == hosts["_key"]), "left_semi")
-    lengths = prefix.agg(F.collect_set(F.length("_key")).alias("_lengths"))
-    cut = due.crossJoin(F.broadcast(lengths)).select(
-        "observed_full",
-        F.explode(
-            F.transform(
-                F.filter("_lengths", lambda n: n <= F.length("observed_full")),
-                lambda n: F.substring("observed_full", F.lit(1), n),
-            )
-        ).alias("_key"),
+    key = F.when(C("kind") == "host-suffix", bare).when(C("kind") == "host-exact", plain_host(C("pattern"))).otherwise(C("pattern"))
+    rules = active.select(C("kind").alias("_kind"), key.alias("_key")).where("_key <> ''").distinct()
+    lengths = rules.where(C("_kind") == "url-prefix").agg(F.collect_set(F.length("_key")).alias("_lengths"))  # one row
+    token = lambda kind: lambda key: F.struct(F.lit(kind).alias("_kind"), key.alias("_key"))
+    host = F.coalesce(plain_host(C("host")), F.lit(""))
+    named = F.array(host, *[F.when(test, name) for name, test in builtin_excluded(C("host")).items()])
+    cuts = F.transform(F.filter("_lengths", lambda n: n <= F.length("observed_full")), lambda n: F.substring("observed_full", F.lit(1), n))
+    tokens = F.concat(
+        F.transform(F.array_compact(named), token("host-exact")), F.transform(_suffixes(host), token("host-suffix")), F.transform(cuts, token("url-prefix"))
     )
-    by_prefix = cut.join(prefix, "_key", "left_semi")
-    blocked = by_host.select("observed_full").unionByName(by_prefix.select("observed_full"))
-    return due.join(blocked, "observed_full", "left_anti")
+    columns = due.columns
+    # The token without a key keeps URLs that have no other.
+    listed = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("_kind"), F.lit(None).cast("string").alias("_key"))), tokens)
+    held = due.crossJoin(F.broadcast(lengths)).select(*columns, F.inline(F.array_distinct(listed)))
+    met = held.join(rules.withColumn("_met", F.lit(True)), ["_kind", "_key"], "left")
+    return met.groupBy(*columns).agg(F.bool_or(F.coalesce("_met", F.lit(False))).alias("_blocked")).where(~C("_blocked")).select(*columns)
