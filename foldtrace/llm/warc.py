@@ -45,6 +45,8 @@ LEAST_REVISIT_BYTES = 0
 CAPTURES_PER_RANGE = 50_000
 SPLIT_SAMPLE = 10_000
 FIRST_CAPTURE = 1704067200  # capture times of pages that state none: this second plus the page id
+# The seconds a date of four-digit years can tell; times outside count as the nearest of them.
+FIRST_SECOND, LAST_SECOND = -62135596800, 253402300799
 
 
 def base32_sha1(text: Column) -> Column:
@@ -66,11 +68,23 @@ def url_key(url: Column) -> Column:
     return F.coalesce(F.when(rest != "", key), F.lit(""))
 
 
+def _second_of(page: Column) -> Column:
+    """Capture second of a page that states none, rising with the id as far as dates go."""
+    return F.lit(FIRST_CAPTURE) + F.greatest(F.lit(0), F.least(F.coalesce(page, F.lit(0)), F.lit(LAST_SECOND - FIRST_CAPTURE)))
+
+
+def _utc_text(second: Column) -> Column:
+    """A second as date and time of UTC, whatever the zone of the session."""
+    kept = F.greatest(F.lit(FIRST_SECOND), F.least(second, F.lit(LAST_SECOND)))
+    since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), kept.cast("decimal(18,6)"))
+    return (F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + since).cast("string")
+
+
 def planned(pages: DataFrame, page_col: str = "page_id", url_col: str = "url", html_col: str = "html",
             time_col: str | None = None, least_bytes: int = LEAST_REVISIT_BYTES) -> DataFrame:
     """Pages with digest, key, capture second and the page that their payload was first seen on."""
     page = F.col(page_col).cast("bigint")
-    second = F.coalesce(page, F.lit(0)) + FIRST_CAPTURE if time_col is None else F.col(time_col).cast("bigint")
+    second = _second_of(page) if time_col is None else F.col(time_col).cast("bigint")
     rows = pages.select(
         page.alias("page"),
         F.col(url_col).cast("string").alias("url"),
@@ -91,7 +105,7 @@ def _record(line: str = "\r\n") -> Column:
     )
     body = F.when(F.col("refers").isNull(), F.col("html")).otherwise("")
     target = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
-    day = F.date_format(F.timestamp_seconds("second"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    day = F.concat(F.translate(_utc_text(F.col("second")), " ", "T"), F.lit("Z"))
     head = F.concat_ws(
         line,
         F.lit("WARC/1.1"),
@@ -289,7 +303,7 @@ def split_keys(pages: DataFrame, page_col: str = "page_id", url_col: str = "url"
     if ranges == 1:
         return []
     page = F.col(page_col).cast("bigint")
-    stamp = F.date_format(F.timestamp_seconds(F.coalesce(page, F.lit(0)) + FIRST_CAPTURE), "yyyyMMddHHmmss")
+    stamp = F.regexp_replace(_utc_text(_second_of(page)), r"\D", "")
     every = max(1, rows // (SPLIT_SAMPLE // 2))
     chosen = pages.select(F.col(url_col).cast("string").alias("url"), page.alias("page"), stamp.alias("stamp"))
     chosen = chosen.where(F.pmod(F.xxhash64("page", "url"), F.lit(every)) == 0).limit(SPLIT_SAMPLE)

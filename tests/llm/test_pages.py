@@ -185,3 +185,15 @@ def test_leaks_match_brute_force(spark, monkeypatch, bound):
     assert {r.doc_id for r in decontaminate.keep_clean(frame, bench).collect()} == clean
     assert not any(r.contaminated for r in decontaminate.judge(frame, bench.limit(0)).collect())
     assert decontaminate.judge(frame.limit(0), bench).collect() == []
+
+
+def test_warc_dates_of_any_id_and_zone(spark, tmp_path):
+    ids = [2**63 - 1, 10**15, 3 * 10**11, 2, 1, 0, -5, -(2**63)]
+    pages = spark.createDataFrame([(k, "http://a.b/", f"<p>{k % 3}</p>") for k in ids], "page_id long, url string, html string")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        got = warc.archive_and_index(pages, f"{tmp_path}/warc").orderBy("part", "position").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert [r.page for r in got] == sorted(ids)
+    assert {r.page: r.stamp for r in got}[0] == "20240101000000" and {len(r.stamp) for r in got} == {14}
