@@ -6,8 +6,9 @@ its child elements with runs of equal ones merged, and leaf blocks carry text.
 
 * presentation importance of a node: the entropy of its styles, base the number of pages that
   have the node; a menu that looks the same everywhere has 0;
-* content importance of a block: 1 - log(pages with this text there) / log(pages with the
-  node); a text that stands on every page has 0.
+* content importance of a block: the entropy of its node's texts, same base, times 1 - log(pages
+  with this text there) / log(pages with the node); a text that stands on every page has 0, and
+  so has one of a few notices that take turns.  A text of one page only has 1.
 
 A block's importance blends its content with its parent's presentation, so a repeated paragraph
 of an otherwise varying article stays.  Blocks of low importance are removed where enough pages
@@ -23,7 +24,9 @@ A word in a class or id is weaker than a tag: it only lowers a block's importanc
 that varies over the host stays; it does not reach into an article or main element from outside,
 nor does it count where the element holds most of the text it is judged in, as wrappers do.
 Words for what varies by nature (advertisements, comments, related pages) are firm where they
-are a whole class or id.
+are a whole class or id, and so is a form, landmarks inside included.  But a form around an article or
+main element, or around most of the page's paragraphs, is the page's frame, and so is a firm
+class around nearly all text of a page that has no other article.
 
 The merged tree of a host is never in one place, nor is a node of it: a chunk of pages sends its
 styles and texts to buckets of (node, style or text) and its nodes to buckets of the node, as
@@ -68,6 +71,7 @@ CLASS_PRIOR = 0.5
 LANDMARK_PRIOR = 0.1
 OUTSIDE_PRIOR = 0.4
 WRAPPER_SHARE = 0.75
+FIRM_SHARE = 0.9
 
 # Elements by role.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"}
@@ -77,7 +81,7 @@ INLINE = {
     "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
 }
 NOISE_TAGS = {
-    "head", "nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "object", "applet", "svg", "canvas", "audio",
+    "head", "nav", "footer", "aside", "button", "select", "option", "dialog", "menu", "object", "applet", "svg", "canvas", "audio",
     "video", "map", "fieldset", "datalist",
 }
 NOISE_WORDS = set(
@@ -93,8 +97,10 @@ FIRM_WORDS = set(
 )
 OWN_WORDS = {"comment", "comments", "reply", "ad", "ads"}
 LANDMARKS = {"article", "main"}
-# How much noise an element or block is.
-CLEAR, WEAK, OUT = 0, 1, 2
+# Elements of prose; a form without any is a form and no frame of a page.
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
+# How much noise an element or block is; FORM and FIRM hold unless they frame the page.
+CLEAR, WEAK, FORM, FIRM, OUT = 0, 1, 2, 3, 4
 # Elements that stand in rows of any length; others are told apart by position.
 REPEATED = {"p", "li", "dt", "dd", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "option"}
 # A start tag of the key closes an open element of the values on top.
@@ -104,23 +110,25 @@ _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"]*"|'[^']*')*+)>|<[!?/a-zA-Z][^>]*>""", re.S
 )
 _MARK = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_VALUE_SLASH = re.compile(r"""=\s*[^\s"'][^\s"']*/\Z""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Wrapper:
-    """An element with a noise word: the one around it, and the text inside."""
+    """A form or an element with a noise word: its noise, the text inside, and whether prose and
+    landmarks stand inside."""
 
-    __slots__ = ("around", "chars")
+    __slots__ = ("noise", "chars", "prose", "landmark")
 
-    def __init__(self, around: _Wrapper | None):
-        self.around, self.chars = around, 0
+    def __init__(self, noise: int):
+        self.noise, self.chars, self.prose, self.landmark = noise, 0, False, False
 
 
 class _Element:
-    __slots__ = ("tag", "path", "noise", "wrapper", "landmark", "style", "counts")
+    __slots__ = ("tag", "path", "noise", "wrappers", "landmark", "style", "counts")
 
-    def __init__(self, tag: str, path: str, noise: bool, wrapper: _Wrapper | None, landmark: bool):
-        self.tag, self.path, self.noise, self.wrapper, self.landmark, self.style, self.counts = tag, path, noise, wrapper, landmark, [], {}
+    def __init__(self, tag: str, path: str, noise: bool, wrappers: tuple[_Wrapper, ...], landmark: bool):
+        self.tag, self.path, self.noise, self.wrappers, self.landmark, self.style, self.counts = tag, path, noise, wrappers, landmark, [], {}
 
 
 def _words(value: str) -> list[str]:
@@ -137,13 +145,14 @@ def _marks(attributes: str) -> tuple[str, int, bool]:
         if name in ("class", "id"):
             kind = value if name == "class" else kind
             if not FIRM_WORDS.isdisjoint(value.lower().split()):
-                noise = OUT
+                noise = max(noise, FIRM)
             elif not NOISE_WORDS.isdisjoint(_words(value)):
                 noise = max(noise, WEAK)
         elif name == "role":
             main |= value == "main"
-            if value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert"):
+            if value in ("navigation", "banner", "contentinfo", "complementary", "search", "alert"):
                 noise = OUT
+            noise = max(noise, FORM if value == "form" else CLEAR)
         elif name == "style":
             noise = OUT if _HIDDEN.search(value) else noise
         elif name == "hidden" or value.lower() == "true":
@@ -161,7 +170,7 @@ def _own_noise(kind: str) -> int:
 def parse(page: str):
     """(elements, blocks): (path, style) of every element, (path, noise, landmark, text) of every
     block in page order."""
-    root = _Element("", "", False, None, False)
+    root = _Element("", "", False, (), False)
     stack, buffer, elements, blocks = [root], [], [], []
 
     def flush() -> None:
@@ -170,7 +179,7 @@ def parse(page: str):
             buffer.clear()
             if text:
                 top = stack[-1]
-                blocks.append((top.path, top.noise, top.wrapper, top.landmark, text))
+                blocks.append((top.path, top.noise, top.wrappers, top.landmark, text))
 
     def close(depth: int) -> None:
         flush()
@@ -212,7 +221,7 @@ def parse(page: str):
             if tag == "hr":
                 flush()
             continue
-        if token[3].endswith("/") and tag not in INLINE and tag not in ("p", "div"):
+        if token[3].endswith("/") and tag not in INLINE and tag not in ("p", "div") and not _VALUE_SLASH.search(token[3]):
             continue
         flush()
         if tag not in INLINE:
@@ -230,32 +239,55 @@ def parse(page: str):
             noise = _own_noise(kind) if tag in LANDMARKS else CLEAR
         if tag in NOISE_TAGS or (tag == "header" and not top.landmark):
             noise = OUT
-        wrapper = None if main or tag in LANDMARKS else top.wrapper
-        if noise == WEAK:
-            wrapper = _Wrapper(wrapper)
-        stack.append(_Element(tag, f"{top.path}>{label}", top.noise or noise == OUT, wrapper, top.landmark or main or tag in LANDMARKS))
+        elif tag == "form":
+            noise = max(noise, FORM)
+        wrappers, landmark = top.wrappers, main or tag in LANDMARKS
+        if landmark or tag in PROSE:
+            for wrapper in wrappers:
+                wrapper.prose, wrapper.landmark = True, wrapper.landmark or landmark
+        if landmark:
+            wrappers = tuple(w for w in wrappers if w.noise != WEAK)
+        if noise in (WEAK, FORM, FIRM):
+            wrappers = (*wrappers, _Wrapper(noise))
+        stack.append(_Element(tag, f"{top.path}>{label}", top.noise or noise == OUT, wrappers, top.landmark or landmark))
     close(1)
     flush()
     return elements, _judged(blocks)
 
 
+def _frames(blocks: list) -> set[_Wrapper]:
+    """Forms and firm wrappers that hold the page itself and so are no noise."""
+    total, own_landmark, firm = 0, False, set()
+    for _, out, wrappers, landmark, text in blocks:
+        if not out:
+            total += len(text)
+            strict = [w for w in wrappers if w.noise != WEAK]
+            own_landmark |= landmark and all(w.noise == FORM for w in strict)
+            firm.update(strict)
+            for wrapper in strict:
+                wrapper.chars += len(text)
+    frames = {w for w in firm if w.noise == FORM and w.prose and (w.landmark or w.chars >= WRAPPER_SHARE * total)}
+    return frames | {w for w in firm if w.noise == FIRM and w.prose and not own_landmark and w.chars >= FIRM_SHARE * total}
+
+
 def _judged(blocks: list) -> list:
     """Blocks with their noise; a wrapper of most of the landmark text, or of the page's text
     where it has no landmark, is none."""
-    chars = {True: 0, False: 0}
-    for _, out, wrapper, landmark, text in blocks:
+    frames = _frames(blocks)
+    told, chars = [], {True: 0, False: 0}
+    for path, out, wrappers, landmark, text in blocks:
+        out = out or any(w.noise != WEAK and w not in frames for w in wrappers)
+        weak = [w for w in wrappers if w.noise == WEAK]
+        told.append((path, out, weak, landmark, text))
         if not out:
             chars[landmark] += len(text)
-            while wrapper:
+            for wrapper in weak:
                 wrapper.chars += len(text)
-                wrapper = wrapper.around
     most = {True: WRAPPER_SHARE * chars[True], False: math.inf if chars[True] else WRAPPER_SHARE * chars[False]}
-    judged = []
-    for path, out, wrapper, landmark, text in blocks:
-        while wrapper and wrapper.chars >= most[landmark]:
-            wrapper = wrapper.around
-        judged.append((path, OUT if out else WEAK if wrapper else CLEAR, landmark, text))
-    return judged
+    return [
+        (path, OUT if out else WEAK if any(w.chars < most[landmark] for w in weak) else CLEAR, landmark, text)
+        for path, out, weak, landmark, text in told
+    ]
 
 
 def _h(*parts: str) -> int:
@@ -388,8 +420,8 @@ def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counts(buckets: int):
-    """Counts of every style and text sent to an odd bucket, and per node the sums of its styles
-    for the node's bucket, as chunk -1; even buckets are passed on."""
+    """Counts of every style and text sent to an odd bucket, and per node the sums of its styles or
+    texts for the node's bucket, as chunk -1; even buckets are passed on."""
 
     def counts(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() % 2 == 0:
@@ -401,8 +433,7 @@ def _counts(buckets: int):
         cuts = np.cumsum([len(x) for x in lists])[:-1]
         told = np.split(count[group].astype(np.uint32), cuts)
         out = [(c, b, x.tobytes()) for c, b, x in zip(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), told)]
-        style = entries["sub"][first] % np.uint64(2) == 1
-        node, count = entries["node"][first][style], count[style]
+        node = entries["node"][first]
         group, first = _grouped(node)
         sums = np.zeros(len(first), dtype=_STYLES)
         sums["node"] = node[first]
@@ -416,7 +447,7 @@ def _counts(buckets: int):
 
 
 def _nodes(table: pa.Table) -> pa.Table:
-    """Pages and presentation importance (0 to 250) of every node sent to an even bucket."""
+    """Pages and entropy of styles or texts (0 to 250) of every node sent to an even bucket."""
     rows = list(zip(*(table.column(k).to_pylist() for k in ("chunk", "bucket", "entries"))))
     asked = [(c, b, np.frombuffer(p, dtype=_ENTRY)) for c, b, p in rows if c >= 0]
     sums = np.concatenate([np.zeros(0, dtype=_STYLES), *(np.frombuffer(p, dtype=_STYLES) for c, _, p in rows if c < 0)])
@@ -446,6 +477,7 @@ def _levels(entries: np.ndarray, replies: dict[int, bytes], buckets: int) -> dic
     sub = entries["sub"]
     told = told[sub == 0][np.cumsum(sub == 0) - 1]  # sub 0 is the first of its node
     value = np.clip(1 - np.log(np.maximum(count, 1)) / np.log(np.maximum(told["pages"], 2)), 0, 1)
+    value = np.where(count > 1, value * told["shown"] / 250, value)
     level = np.where(sub == 0, told["shown"], np.round(value * 250))
     level = np.where(told["pages"] < LEAST_PAGES, 255, level).astype(np.uint8)
     asked = sub % np.uint64(2) == 0

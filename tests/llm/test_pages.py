@@ -1,8 +1,11 @@
 """Page extraction, archives with their index, and decontamination on small cases."""
 
 import hashlib
+import math
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from foldtrace.llm import decontaminate, html_extract, warc
@@ -46,6 +49,76 @@ def test_noise_words_of_wrappers_lose_no_text(spark):
     assert all(got[k] == f"Own {k}\n\nText {k}" for k in range(10, 30))
 
 
+def test_frames_of_a_page_lose_no_article(spark):
+    long = "much more text than all else " * 3
+    cases = [
+        ("<form id=aspnetForm><nav>Menu</nav><article><h1>Head</h1><p>Main<form>Mail <p>Send</p></form></article></form>", "Head\n\nMain"),
+        (f"<form id=f action=/x><div>{long}<p>More</p></div><input></form><footer>End</footer>", f"{long.strip()}\n\nMore"),
+        (f"<div class=related><p>{long}</p></div>", long.strip()),
+        (f"<div class=related><article><p>{long}</p></article></div><footer>End</footer>", long.strip()),
+        (f"<main><p>Short</p></main><div class=comments><p>{long}</p></div>", "Short"),
+        ("<main><p>Main</p></main><div class=related><article><p>Other</p></article></div>", "Main"),
+        ("<nav>Menu</nav><article data-url=https://x.com/a/><p>Main</p></article>", "Main"),
+        ('<nav>Menu</nav><section data-x="a=b"/><article><p>Main</p></article>', "Main"),
+        ("<form><label>Name</label><input><button>Send</button></form>", ""),
+        ("<div class=ad>Buy</div>", ""),
+        (f"<nav><form><article><p>{long}</p></article></form></nav><p>Main</p>", "Main"),
+        (f"<form role=form><main><p>{long}</p></main></form>", long.strip()),
+    ]
+    rows = [page(k, body, f"h{k}.example") for k, (body, _) in enumerate(cases)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, PAGE)).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(cases)}
+
+
+def _tree_by_hand(pages: dict[int, list[tuple[str, str]]]) -> dict[int, list[str]]:
+    """Content importance of one host's pages of (slot, text), written down from its definition;
+    slots hold no elements, so they have no styles."""
+    n, kept = len(pages), {}
+    seen: dict[str, Counter] = {}
+    for blocks in pages.values():
+        for slot, text in blocks:
+            seen.setdefault(slot, Counter())[text] += 1
+    for k, blocks in pages.items():
+        kept[k] = []
+        for slot, text in blocks:
+            count = seen[slot][text]
+            importance = 1 - math.log(count) / math.log(n)
+            if count > 1:
+                importance *= -sum(c / n * math.log(c / n) for c in seen[slot].values()) / math.log(n)
+            if importance >= html_extract.LEAST_IMPORTANCE:
+                kept[k].append(text)
+    return kept
+
+
+def test_the_tree_alone_finds_the_text(spark, monkeypatch):
+    """No landmark, tag or class tells anything here; templates, notices and menus go by the tree."""
+    monkeypatch.setattr(html_extract, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(html_extract, "BUCKET_ENTRIES", 50)
+    dice = random.Random(11)
+    prose = lambda n: " ".join("".join(dice.choice("abcdefghij") for _ in range(dice.randint(2, 8))) for _ in range(n))
+    rows, own, noise, by_hand = [], {}, {}, {}
+    for host in range(3):
+        menu, notices, rights = [prose(2) for _ in range(5)], [prose(8) for _ in range(3)], prose(6)
+        pages = {}
+        for k in range(host * 100, host * 100 + 40):
+            blocks = [("1", menu[0]), ("2", menu[1]), ("3", menu[2]), ("4", notices[dice.choice([0, 0, 0, 0, 0, 0, 1, 2])])]
+            text = [("5", prose(20)), ("6", prose(30))]
+            pages[k] = blocks + text + [("7", rights)]
+            rows.append(page(k, "<body>" + "".join(f"<div class=q{slot}>{words}</div>" for slot, words in pages[k]) + "</body>", f"h{host}.example"))
+            own[k], noise[k] = {w for _, w in text}, {w for _, w in blocks} | {rights}
+        by_hand |= _tree_by_hand(pages)
+    frame = spark.createDataFrame(rows, PAGE)
+    got = {r.page_id: r.text.split("\n\n") for r in html_extract.extract(frame).collect()}
+    assert got == by_hand
+    right = sum(len(own[k] & set(got[k])) for k in got)
+    assert right / sum(map(len, own.values())) >= 0.9 and right / sum(map(len, got.values())) >= 0.9
+    batch = pa.RecordBatch.from_pydict({name: pa.array(column) for name, column in zip(("page", "url", "html"), list(zip(*rows))[:3])})
+    (parsed,) = html_extract._parsed(1)([batch])
+    for k, blob, keys in zip(*(parsed.column(name).to_pylist() for name in ("page", "blocks", "keys"))):  # without the tree
+        nothing = {tuple(key): 255 for key in html_extract.np.frombuffer(keys, dtype="u8").reshape(-1, 2).tolist()}
+        assert set(html_extract._main_text(blob, nothing).split("\n\n")) == own[k] | noise[k]
+
+
 def test_style_tree_removes_what_the_host_repeats(spark, monkeypatch):
     monkeypatch.setattr(html_extract, "CHUNK_BYTES", 2000)
     monkeypatch.setattr(html_extract, "BUCKET_ENTRIES", 10)
