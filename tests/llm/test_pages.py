@@ -270,3 +270,24 @@ def test_warc_dates_of_any_id_and_zone(spark, tmp_path):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert [r.page for r in got] == sorted(ids)
     assert {r.page: r.stamp for r in got}[0] == "20240101000000" and {len(r.stamp) for r in got} == {14}
+
+
+def test_broadcast_windows_stay_within_their_bound(spark, monkeypatch):
+    dice = random.Random(3)
+    texts = [" ".join(str(dice.randrange(10**6)) for _ in range(dice.choice([1, 3, 9, 10, 40, 900]))) for _ in range(300)]
+    texts += texts[:50] + ["", "- !"]
+    frame = spark.createDataFrame([(str(k), text) for k, text in enumerate(texts)], "item string, text string")
+    seen = []
+    monkeypatch.setattr(decontaminate, "_scan_by_shuffle", lambda *_: seen.append("shuffle"))
+    windows = decontaminate.WindowSet([str(k) for k in range(len(texts))], texts)
+    words = [len(text.split()) for text in texts[:-1]]
+    stated = sum((max(n - 9, min(n, 1))) * decontaminate.WINDOW_BYTES + len(t) + 68 for n, t in zip(words, texts))
+    assert windows.size() <= stated + 10 * 1024
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_BYTES", windows.size() // 4)
+    decontaminate._scan(frame.selectExpr("1L AS id", "text"), frame, False, 10)
+    assert seen == ["shuffle"]
+    # Windows of one fingerprint are told apart by their words.
+    monkeypatch.setattr(decontaminate.fp, "window_hashes", lambda hashes, width: decontaminate.np.full(max(len(hashes) - width + 1, 0), 7, "u8"))
+    told = decontaminate.WindowSet(["a", "b", "c"], ["x y", "y z", "x y"])
+    (_, block), = decontaminate._blocks(pa.table({"text": ["q x y z", ]}))
+    assert sorted(told.hits(block)) == [(2, 1, ["a", "c"]), (2, 2, ["b"])]
