@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import guard_folds
+from ..operators import app_folds, guard_folds
 from ..plans import recipes
 from . import oracle_base as O
 from .inputs import conversation_records, event_records, events_of, tables_of
@@ -453,6 +453,36 @@ register(
         "request_performance",
     ),
 )
+RANK_ERROR = 0.02
+
+
+def _percentiles_hold(spark, directory):
+    """Whether the percentiles of sketches merged from two batches stand within their error of the true rank."""
+    events = events_of(spark, directory, "activity-stats")
+    fold = app_folds.request_latency()
+    odd = C("source_position") % 2 == 1
+    found = recipes.latency_percentiles(fold.apply(events.where(odd), fold.apply(events.where(~odd))))
+    times = events.where(C("performance_event") & (C("duration_coverage") == "observed"))
+    counted = times.groupBy("harness", "event_family", "duration_milliseconds").agg(F.count(F.lit(1)).alias("n"))
+    ranks = [
+        F.coalesce(F.sum(F.when(C("duration_milliseconds") < C(name), C("n"))) / F.sum("n") - RANK_ERROR <= share, F.lit(True))
+        & (F.sum(F.when(C("duration_milliseconds") <= C(name), C("n"))) / F.sum("n") + RANK_ERROR >= share)
+        for name, share in recipes.PERCENTILES.items()
+    ]
+    names = [f"{name}_holds" for name in recipes.PERCENTILES]
+    held = counted.join(found, ["harness", "event_family"]).groupBy("harness", "event_family", "observed")
+    return held.agg(*[rank.alias(name) for rank, name in zip(ranks, names)])
+
+
+register(
+    "c14_latency_percentiles",
+    _percentiles_hold,
+    oracle(
+        "SELECT harness, event_family, CAST(sum(duration_observed_count) AS BIGINT) AS observed, true AS p50_ms_holds, true AS p95_ms_holds, "
+        "true AS p99_ms_holds FROM request_performance GROUP BY harness, event_family HAVING sum(duration_observed_count) > 0",
+        "request_performance",
+    ),
+)
 register(
     "c15_exclusion_enforcement",
     lambda spark, directory: recipes.enforce_exclusions(

@@ -13,6 +13,7 @@ from .folds import (
     LastNanos,
     LastPosition,
     LastWhere,
+    Quantiles,
     Sum,
 )
 
@@ -171,6 +172,21 @@ def request_performance() -> Fold:
     )
 
 
+def request_latency() -> Fold:
+    """Observed durations per family as a sketch, for percentiles between the fixed bounds."""
+    observed = C("duration_coverage") == "observed"
+    return Fold(
+        "request_latency",
+        ("harness", "event_family"),
+        (
+            CountIf("duration_observed_count", observed),
+            Quantiles("duration_sketch", F.when(observed, C("duration_milliseconds"))),
+            _position(),
+        ),
+        where=C("performance_event"),
+    )
+
+
 def daily_review() -> Fold:
     return Fold(
         "daily_review",

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..functions.values import pack_nanos, unpack_nanos
 
 EPOCH = "_epoch"  # 0 for the stored state, 1 for the newer batch
+#: Size of a quantile sketch: some 10 KB, with a rank error of about 0.5 percent at 99 percent confidence.
+SKETCH_SIZE = 1024
 
 
 @dataclass(frozen=True)
@@ -103,6 +105,21 @@ class LastPosition(Last):
         return [F.max(self.name).alias(self.name)]
 
 
+class Quantiles(Measure):
+    """Mergeable (KLL) sketch of whole numbers, stored as bytes; NULL values are left out."""
+
+    def state(self, order: Column) -> list[Column]:
+        return [F.kll_sketch_agg_bigint(self.value, SKETCH_SIZE).alias(self.name)]
+
+    def merged(self) -> list[Column]:
+        return [F.kll_merge_agg_bigint(self.name, SKETCH_SIZE).alias(self.name)]
+
+
+def quantile(sketch: Column, share: float) -> Column:
+    """The value at a share of a ``Quantiles`` column, NULL where it holds no values."""
+    return F.when(F.kll_sketch_get_n_bigint(sketch) > 0, F.kll_sketch_get_quantile_bigint(sketch, F.lit(float(share))))
+
+
 class KeyText(Measure):
     """A column computed from the key alone; it needs no aggregation."""
 

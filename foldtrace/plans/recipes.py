@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.addresses import is_local, is_single_label, plain_host
+from ..operators.folds import quantile
 
 C = F.col
 NANOS_PER_DAY = 86_400_000_000_000
 MICROUSD_PER_USD = 1_000_000.0
+PERCENTILES = {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
 
 
 def dollars(microusd: Column) -> Column:
@@ -172,6 +176,12 @@ def latency_summary(performance: DataFrame) -> DataFrame:
     )
 
 
+def latency_percentiles(latency: DataFrame, shares: Mapping[str, float] = PERCENTILES) -> DataFrame:
+    """Percentiles of observed durations from the sketches of ``request_latency``."""
+    found = {name: quantile(C("duration_sketch"), share) for name, share in shares.items()}
+    return latency.select("harness", "event_family", C("duration_observed_count").alias("observed"), *[c.alias(n) for n, c in found.items()])
+
+
 def _suffixes(host: Column) -> Column:
     """The host and everything of it after a label dot."""
     labels = F.split(host, r"\.")

@@ -1,11 +1,12 @@
 """Sequential models of the ordered folds, compared on random histories and split batches."""
 
+import bisect
 import random
 
 from pyspark.sql import functions as F
 
 from foldtrace.functions.values import pack_nanos, unpack_nanos
-from foldtrace.operators import changes, custom, guard_folds, url_folds
+from foldtrace.operators import changes, custom, folds, guard_folds, url_folds
 from foldtrace.operators.app_folds import session_cost_detail
 
 SCHEMA = (
@@ -181,3 +182,19 @@ def test_running_total_keeps_null_keys(spark):
     frame = spark.createDataFrame([(None, 1, 2), (None, 2, 3), ("a", 3, 4)], "key string, position long, n long")
     found = changes.running_total(frame, ["key"], "n", "position").collect()
     assert {(row.key, row.position): row["_running"] for row in found} == {(None, 1): 2, (None, 2): 5, ("a", 3): 4}
+
+
+def test_sketches_merge_batch_by_batch(spark):
+    fold = folds.Fold("t", ("key",), (folds.Quantiles("sketch", F.col("n")), folds.LastPosition("at", F.col("at"))), order="at")
+    rows = spark.range(20_000).selectExpr("IF(id % 3 = 0, 'a', 'b') AS key", "IF(id % 3 = 0, id, id * id) AS n", "id AS at")
+    rows = rows.unionByName(spark.createDataFrame([("none", None, 1), (None, 5, 2)], "key string, n long, at long"))
+    parts = [rows.where(f"at % 4 = {k}") for k in range(4)]
+    stored = None
+    for part in parts:
+        stored = fold.apply(part, stored)
+    got = {r.key: r for r in stored.select("key", *[folds.quantile(F.col("sketch"), s).alias(f"q{k}") for k, s in enumerate((0.05, 0.5, 0.95))]).collect()}
+    values = {key: sorted(r.n for r in rows.where(f"key = '{key}'").collect()) for key in "ab"}
+    for key, known in values.items():
+        for k, share in enumerate((0.05, 0.5, 0.95)):
+            assert abs(bisect.bisect_left(known, got[key][f"q{k}"]) / len(known) - share) < 0.02
+    assert (got["none"].q1, got[None].q1) == (None, 5)
