@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import changes, constraints
 from ..operators.constraints import Rules
+from ..operators.envelope import Envelope, Field
 from ..operators.record_view import effective_events, event_count, finish_many
 from ..plans.programs import program_app
 from ..session import tune
@@ -154,3 +155,33 @@ register(
     ).select("event_id", "read_label", "error_reason"),
     "SELECT e.event_id, n.n_name AS read_label, CASE WHEN n.n_nationkey IS NULL THEN 'read ONE: expected exactly one row' END AS error_reason FROM events e LEFT JOIN nation n ON n.n_nationkey = e.user_id",
 )
+
+
+INPUT = Envelope(
+    meta=(Field("position", "INTEGER"),),
+    event=(Field("user", "INTEGER"), Field("kind", "TEXT"), Field("value", "REAL"), Field("props", "document"), Field("note", "JSON", nullable=True)),
+    max_bytes=512,
+    max_depth=32,
+)
+
+
+def _inputs(spark, directory) -> DataFrame:
+    """A program input per event; some are too long or too deep, lack a field, hold one of a wrong type or one too many."""
+    tune(spark)
+    return read_table(spark, directory, "events").selectExpr("*", "CAST(get_json_object(props, '$.k') AS BIGINT) AS k").selectExpr(
+        "event_id",
+        "concat('{\"meta\":{\"position\":', event_id + 1, '},\"event\":{', IF(event_type = 'view' AND k % 4 = 0, '', concat('\"user\":', user_id, ',')), "
+        "'\"kind\":\"', event_type, '\",\"value\":', IF(event_type = 'purchase' AND k % 5 = 0, concat('\"', k, '\"'), CAST(k AS STRING)), ',\"props\":', props, "
+        "IF(event_type = 'error' AND k % 3 = 0, ',\"debug\":true', ''), ',\"note\":', "
+        "CASE WHEN k % 11 = 0 THEN concat('\"', repeat('x', 600), '\"') WHEN k % 13 = 0 THEN concat(repeat('[', 40), repeat(']', 40)) ELSE 'null' END, '}}') AS input",
+    )
+
+
+register(
+    "g10_closed_envelope",
+    lambda s, d: _inputs(s, d).select("event_id", INPUT.error(C("input")).alias("error_reason")),
+    f"SELECT event_id, CASE WHEN k % 11 = 0 THEN 'evaluation input exceeds 512 bytes' WHEN k % 13 = 0 THEN 'evaluation input exceeds depth 32' "
+    "WHEN event_type = 'view' AND k % 4 = 0 THEN 'input event: field \"user\" is required' "
+    "WHEN event_type = 'purchase' AND k % 5 = 0 THEN 'input event: field \"value\": must be a finite number' "
+    f"WHEN event_type = 'error' AND k % 3 = 0 THEN 'input event: unknown field \"debug\"' END AS error_reason FROM (SELECT *, {K} AS k FROM events)",
+)

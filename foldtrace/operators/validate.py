@@ -13,9 +13,8 @@ from ..functions.values import not_integral
 MAX_INPUT_BYTES = 256 * 1024
 
 
-def column_error(name: str, logical: str, required: bool) -> Column:
+def value_error(value: Column, logical: str, required: bool) -> Column:
     """Reason a loosely typed (VARIANT) value does not fit its declared type, NULL when it fits."""
-    value = F.col(name)
     kind = F.schema_of_variant(value)
     missing = value.isNull() | (kind == "VOID")
     number = F.try_variant_get(value, "$", "double")
@@ -37,8 +36,13 @@ def column_error(name: str, logical: str, required: bool) -> Column:
         "BLOB": "must be base64 text",
         "JSON": "",
     }[logical]
-    absent = F.when(F.lit(required), f'column "{name}": must not be null')
-    return F.when(missing, absent).when(~F.coalesce(fits, F.lit(False)), f'column "{name}": {expected}')
+    absent = F.when(F.lit(required), "must not be null")
+    return F.when(missing, absent).when(~F.coalesce(fits, F.lit(False)), expected)
+
+
+def column_error(name: str, logical: str, required: bool) -> Column:
+    """The same for a column, which the reason names."""
+    return F.concat(F.lit(f'column "{name}": '), value_error(F.col(name), logical, required))
 
 
 def validate_rows(rows: DataFrame, declared: Mapping[str, tuple[str, bool]]) -> DataFrame:
