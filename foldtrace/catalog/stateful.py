@@ -328,6 +328,21 @@ register(
     with_ctes(O.REC) + "SELECT signal, count(*) AS records FROM rec GROUP BY signal",
 )
 
+
+def _sized(spark, directory) -> DataFrame:
+    """Records whose canonical text is the properties of the event."""
+    rows = event_records(spark, directory).join(read_table(spark, directory, "events").select((C("event_id") + 1).alias("position"), "props"), "position")
+    return rows.withColumn("canonical_bytes", F.octet_length("props").cast("bigint"))
+
+
+register(
+    "l15_intake_bytes",
+    lambda s, d: lifecycle.intake(_sized(s, d)),
+    with_ctes(O.REC)
+    + "SELECT signal, count(*) AS records, CAST(sum(strlen(e.props)) AS BIGINT) AS bytes, max(position) AS last_position "
+    "FROM rec JOIN events e ON e.event_id + 1 = rec.position GROUP BY signal",
+)
+
 # -- query surface -------------------------------------------------------------------
 
 register(
@@ -386,3 +401,25 @@ register(
         "session_cost",
     ),
 )
+
+
+def _typed(spark, directory) -> DataFrame:
+    """Columns typed by declaration: JSON under another name, a text named like a JSON column, a computed column."""
+    tune(spark)
+    events = serve.declared(read_table(spark, directory, "events").selectExpr("event_id", "user_id", "event_type AS evidence", "props", "value"), {"props": "JSON"})
+    customers = serve.declared(read_table(spark, directory, "customer").selectExpr("c_custkey", "c_custkey * 1000000000000000 AS account"))
+    joined = spark.sql(
+        "SELECT e.event_id, e.evidence, e.props AS detail, c.account, e.value > 50 AS high FROM {e} e LEFT JOIN {c} c ON c.c_custkey = e.user_id", e=events, c=customers
+    )
+    kinds = [F.lit(serve.logical_type(item)).alias(f"{item.name}_type") for item in joined.schema]
+    return serve.encoded(joined).select("*", *kinds)
+
+
+register(
+    "q08_typed_by_contract",
+    _typed,
+    "SELECT CAST(event_id AS VARCHAR) AS event_id, '\"' || event_type || '\"' AS evidence, props AS detail, "
+    "CASE WHEN c_custkey * 1000000000000000 > 9007199254740991 THEN '{\"integer_decimal\":\"' || (c_custkey * 1000000000000000) || '\"}' "
+    "ELSE CAST(c_custkey * 1000000000000000 AS VARCHAR) END AS account, CAST(value > 50 AS VARCHAR) AS high, 'INTEGER' AS event_id_type, 'TEXT' AS evidence_type, "
+    "'JSON' AS detail_type, 'INTEGER' AS account_type, 'DYNAMIC' AS high_type FROM events LEFT JOIN customer ON c_custkey = user_id",
+)

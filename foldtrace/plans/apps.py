@@ -47,6 +47,12 @@ class App:
     # Instead of ``fold``, from normalized records; and what these break: (position, at, reason).
     apply: Callable[[DataFrame, Mapping[str, DataFrame]], Plans] | None = None
     violations: Callable[[DataFrame, Mapping[str, DataFrame]], DataFrame | None] | None = None
+    # Declared rules of a table in words, part of its stored shape.
+    rules: Mapping[str, str] = field(default_factory=dict)
+    # Logical types that a column's Spark type does not tell: table -> column -> type.
+    logical: Mapping[str, Mapping[str, str]] = field(default_factory=dict)
+    # Tables and views that other apps may mount; None for all.
+    exports: tuple[str, ...] | None = None
 
     def plans(self, normalized: DataFrame, prior: Mapping[str, DataFrame]) -> Plans:
         if self.apply is not None:
@@ -70,9 +76,37 @@ class App:
         """(position, reason) of the records that cannot be applied."""
         return self.normalize(records).where(F.col("error_reason").isNotNull()).select("position", F.col("error_reason").alias("reason"))
 
+    def shape(self) -> dict[str, dict]:
+        """Keys and rules of every table, as they are stored beside its columns."""
+        return {
+            name: {
+                "keys": list(keys),
+                "non_negative": sorted(total for total, _ in self.non_negative.get(name, ())),
+                "rules": self.rules.get(name, ""),
+                "append_only": name in self.append_only,
+            }
+            for name, keys in self.keys.items()
+        }
+
+    def planned(self, records: DataFrame) -> Tables:
+        """The empty tables, planned over no record; keys and declarations are checked against them."""
+        tables = self.tables(records.limit(0))
+        if set(tables) != set(self.keys):
+            raise ValueError(f"{self.name}: keys are declared for {sorted(self.keys)}, tables are {sorted(tables)}")
+        for name, declared in self.logical.items():
+            if name not in tables or not set(declared) <= set(tables[name].columns):
+                raise ValueError(f"{self.name}.{name}: logical types {dict(declared)} do not fit its columns")
+        for name in self.exports or ():
+            if name not in tables and name not in self.views:
+                raise ValueError(f"{self.name}: export {name} is no table or view")
+        self.contracts(tables)
+        return tables
+
     def validate(self, records: DataFrame) -> dict[str, str]:
         """Check keys against analysed schemas; returns the contract digest of every export."""
-        tables = self.tables(records.limit(0))
+        return self.contracts(self.planned(records))
+
+    def contracts(self, tables: Tables) -> dict[str, str]:
         contracts = {}
         for name, keys in self.keys.items():
             columns = tables[name].columns
@@ -152,6 +186,7 @@ def agent_guard(chunk: int = guard_folds.runs.CHUNK_POSITIONS) -> App:
         },
         append_only=frozenset({"policy_violations", "tool_failure_detail"}),
         views={"policy_findings": findings, "open_guard_findings": findings},
+        logical={name: {"evidence": "JSON"} for name in ("policy_violations", "policy_gaps", "loop_findings")},
     )
 
 

@@ -79,4 +79,5 @@ def program_app(
         revision=revision,
         apply=programs.tables,
         violations=programs.violations,
+        rules={table: repr(rule) for table, rule in rules.items()},
     )

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import base64
 import json
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import MAX_EXACT_INTEGER
+from ..functions.values import wrap_bytes, wrap_integer
 from ..streaming.store import Store
 from .apps import App, contract_digest
 
@@ -22,7 +21,7 @@ MAX_ROWS = 1000
 MAX_RESULT_BYTES = 1 << 20
 MAX_PARAMETERS = 64
 MAX_SQL_BYTES = 16 << 10
-JSON_COLUMNS = frozenset({"evidence"})
+LOGICAL = "logical"
 
 
 class FrontierChanged(RuntimeError):
@@ -50,28 +49,50 @@ def bounded(frame: DataFrame, limit: int = DEFAULT_ROWS) -> DataFrame:
     return frame.limit(limit + 1)
 
 
-def encode(value: Any, name: str = "") -> Any:
-    """JSON-safe form of a result value."""
-    if isinstance(value, bool) or value is None:
-        return value
-    if isinstance(value, int):
-        return value if abs(value) <= MAX_EXACT_INTEGER else {"integer_decimal": str(value)}
-    if isinstance(value, float):
-        if not math.isfinite(value):
-            raise ValueError(f"column {name}: non-finite number")
-        return value
-    if isinstance(value, (bytes, bytearray)):
-        return {"bytes_base64": base64.b64encode(bytes(value)).decode()}
-    if name in JSON_COLUMNS and isinstance(value, str):
-        return json.loads(value)
-    return value if isinstance(value, str) else str(value)
+_LOGICAL = {T.StringType: "TEXT", T.LongType: "INTEGER", T.IntegerType: "INTEGER", T.DoubleType: "REAL", T.BooleanType: "BOOLEAN", T.BinaryType: "BLOB"}
 
 
-_LOGICAL = {T.StringType: "TEXT", T.LongType: "INTEGER", T.IntegerType: "INTEGER", T.DoubleType: "REAL", T.BooleanType: "BOOLEAN", T.BinaryType: "BLOB"}
+def declared(frame: DataFrame, logical: Mapping[str, str] | None = None) -> DataFrame:
+    """A table whose columns carry their logical type as metadata.
+
+    Spark hands metadata on with a column, through aliases, joins, unions and grouping, and gives
+    none to a computed one.
+    """
+    for item in frame.schema:
+        kind = (logical or {}).get(item.name) or _LOGICAL.get(type(item.dataType))
+        if kind is not None:
+            frame = frame.withMetadata(item.name, {**item.metadata, LOGICAL: kind})
+    return frame
 
 
 def logical_type(column: T.StructField) -> str:
-    return "JSON" if column.name in JSON_COLUMNS else _LOGICAL.get(type(column.dataType), "DYNAMIC")
+    """Declared type of a result column; a computed one is DYNAMIC, typed by each value."""
+    return column.metadata.get(LOGICAL, "DYNAMIC")
+
+
+def _encoded(item: T.StructField) -> Column:
+    value, kind = F.col(f"`{item.name.replace('`', '``')}`"), type(item.dataType)
+    if logical_type(item) == "JSON":
+        broken = F.raise_error(F.lit(f"column {item.name}: not JSON"))
+        return F.when(value.isNotNull() & F.try_parse_json(value).isNull(), broken).otherwise(value)
+    if issubclass(kind, T.IntegralType):
+        return wrap_integer(value.cast("bigint"))
+    if issubclass(kind, T.FractionalType) and kind is not T.DecimalType:
+        broken = F.raise_error(F.lit(f"column {item.name}: non-finite number"))
+        return F.when(F.isnan(value) | (F.abs(value) == float("inf")), broken).otherwise(value.cast("string"))
+    if kind is T.BinaryType:
+        return wrap_bytes(value)
+    if kind is T.BooleanType:
+        return value.cast("string")
+    return F.to_json(value.cast("string").cast("variant"))
+
+
+def encoded(frame: DataFrame) -> DataFrame:
+    """Every value as a JSON text (SQL NULL stays NULL): integers beyond 2^53 and bytes wrapped, JSON columns as they are."""
+    names = [f"`{name.replace('`', '``')}`" for name in frame.columns]
+    if len(set(names)) != len(names):
+        raise ValueError(f"result columns {frame.columns} repeat a name")
+    return frame.select(*[_encoded(item).alias(item.name) for item in frame.schema])
 
 
 class Snapshot:
@@ -83,8 +104,9 @@ class Snapshot:
         self.apps = {app.name: app for app in apps}
 
     def frames(self, app: str) -> dict[str, DataFrame]:
-        """Tables and views of an app."""
-        frames = self.store.tables(self.state, app)
+        """Tables and views of an app, with their logical types."""
+        types = self.apps[app].logical
+        frames = {name: declared(frame, types.get(name)) for name, frame in self.store.tables(self.state, app).items()}
         for view, text in self.apps[app].views.items():
             for name in frames:
                 text = text.replace(f"FROM {name}", f"FROM {{{name}}}")
@@ -115,7 +137,8 @@ class Snapshot:
             mounted = self.state["apps"][other]
             if not mounted["frontier"]["complete"] or mounted["frontier"]["position"] != frontier["position"]:
                 raise FrontierChanged(f"mount {alias}: {other} is not at position {frontier['position']}")
-            exports = self.frames(other)
+            shown = self.apps[other].exports
+            exports = {name: frame for name, frame in self.frames(other).items() if shown is None or name in shown}
             frames |= {f"{alias}_{name}": frame for name, frame in exports.items()}
             described.append(
                 {
@@ -129,15 +152,14 @@ class Snapshot:
         used = {name: frame for name, frame in frames.items() if f"{{{name}}}" in sql}
         args = list(parameters)
         frame = self.spark.sql(sql, args=args, **used) if args else self.spark.sql(sql, **used)
-        found = bounded(frame, limit).collect()
+        found = encoded(bounded(frame, limit)).collect()
         rows, size, truncated = [], 0, len(found) > limit
         for row in found[:limit]:
-            encoded = [encode(value, name) for name, value in zip(frame.columns, row)]
-            size += len(json.dumps(encoded))
+            size += sum(len(value or "null") + 1 for value in row) + 1
             if size > MAX_RESULT_BYTES:
                 truncated = True
                 break
-            rows.append(encoded)
+            rows.append([None if value is None else json.loads(value) for value in row])
         return Result(
             app,
             entry["revision"],

@@ -144,6 +144,12 @@ def rejected(canonical: DataFrame) -> DataFrame:
     return canonical.where(C("rejected").isNotNull()).drop("records")
 
 
+def no_records(spark: SparkSession) -> DataFrame:
+    """No canonical records, in their schema: what apps are planned over."""
+    requests = spark.createDataFrame([], "request_block string, request_line long, signal string, body string")
+    return positioned_records(canonicalize(requests)).where(F.lit(False))
+
+
 def assign_positions(
     canonical: DataFrame, base: int = 0, block: str = "request_block", line: str = "request_line"
 ) -> DataFrame:

@@ -132,17 +132,22 @@ def advance(
 def ineffective_sample(
     records: DataFrame, normalized: DataFrame, payload: str = "record", earlier: DataFrame | None = None
 ) -> DataFrame:
-    """Latest records an app did not use; large payloads are left out."""
-    text = F.to_json(F.struct(payload)) if payload in records.columns else F.lit(None).cast("string")
+    """Latest records an app did not use; large payloads are left out.
+
+    ``records`` hold the normalized positions.  Their payloads are looked up by at most
+    ``SAMPLE_SIZE`` broadcast rows, so no payload but those is moved or written as text.
+    """
     latest = (
         normalized.where(~C("effective") & C("error_reason").isNull())
         .select("position", "event_id", "signal", "name", "source")
         .orderBy(C("position").desc())
         .limit(SAMPLE_SIZE)
     )
-    payloads = records.select("position", text.alias("_text"))
+    kept = [C(payload).alias("_payload")] if payload in records.columns else []
+    found = records.select("position", *kept).join(F.broadcast(latest), "position")
+    text = F.to_json(F.struct(C("_payload").alias(payload))) if kept else F.lit(None).cast("string")
     size = F.octet_length("_text")
-    rows = latest.join(payloads, "position", "left").select(
+    rows = found.withColumn("_text", text).select(
         *latest.columns,
         F.when(size <= SAMPLE_PAYLOAD_BYTES, C("_text")).alias("payload"),
         F.coalesce(size > SAMPLE_PAYLOAD_BYTES, F.lit(False)).alias("payload_omitted"),
@@ -153,15 +158,33 @@ def ineffective_sample(
 
 
 def intake(records: DataFrame) -> DataFrame:
-    """Records and canonical bytes per signal."""
+    """Records, canonical bytes and last position per signal: all counters of a batch in one pass.
+
+    An aggregate and not observed metrics, which count a task's rows again when a lost executor
+    makes it run twice.
+    """
     size = C("canonical_bytes") if "canonical_bytes" in records.columns else F.octet_length(F.to_json(F.struct("attributes")))
-    return records.groupBy("signal").agg(F.count(F.lit(1)).alias("records"), F.sum(size.cast("bigint")).alias("bytes"))
+    return records.groupBy("signal").agg(F.count(F.lit(1)).alias("records"), F.sum(size.cast("bigint")).alias("bytes"), F.max("position").alias("last_position"))
+
+
+def shape_change(app: App, entry: Mapping, planned: Mapping[str, DataFrame]) -> str | None:
+    """Why the stored tables of an app cannot be continued by another revision of it."""
+    shapes = app.shape()
+    for name, stored in entry["schemas"].items():
+        if name not in planned:
+            return f"{app.name}.{name}: stored table was removed"
+        if not same_shape(stored, planned[name]):
+            return f"{app.name}.{name}: stored table has another shape; rebuild it"
+        before = entry.get("shape", {}).get(name, shapes[name])
+        if before != shapes[name]:
+            parts = sorted(part for part in shapes[name] if before.get(part) != shapes[name][part])
+            return f"{app.name}.{name}: stored table has other {', '.join(parts)}; rebuild it"
+    return None
 
 
 def same_shape(stored: str, frame: DataFrame) -> bool:
     """Whether a stored table can be continued by this plan."""
 
-
     def shape(fields: list[dict]) -> list[tuple[str, str]]:
         return [(item["name"], json.dumps(item["type"])) for item in fields]
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..plans.apps import App
 from ..session import tune
 from ..sources import otlp
-from .lifecycle import REASON_CHARS, Frontier, advance, ineffective_sample, intake, same_shape
+from .lifecycle import REASON_CHARS, Frontier, advance, ineffective_sample, intake, same_shape, shape_change
 from .store import Store
 
 
@@ -26,15 +26,29 @@ class Runner:
         self.spark, self.store, self.apps = tune(spark), Store(spark, root), list(apps)
         self._publishing = threading.Lock()
 
-    def install(self, app: App, continue_tables: bool = False) -> None:
-        """Start an app at the current head; ``continue_tables`` keeps tables of the same shape."""
+    def install(self, app: App, continue_tables: bool = False, records: DataFrame | None = None) -> None:
+        """Start an app at the current head, its tables empty until records arrive.
+
+        Tables are planned over no records (canonical ones, or of the schema of ``records``), so an
+        app that cannot be planned is refused here.  ``continue_tables`` keeps what is stored: each
+        stored table must keep its columns, keys and rules, or the app is refused and nothing
+        changes; tables that are new start empty.
+        """
         state = self.store.read()
+        planned = app.planned(otlp.no_records(self.spark) if records is None else records)
         entry = state["apps"].get(app.name)
         if entry is None or not continue_tables:
-            state["apps"][app.name] = self._entry(app, state["head"])
+            entry = state["apps"][app.name] = self._entry(app, state["head"])
         else:
-            entry["revision"] = app.revision
+            changed = shape_change(app, entry, planned)
+            if changed is not None:
+                raise ValueError(changed)
+            entry["revision"], entry["shape"] = app.revision, app.shape()
         state["version"] += 1
+        for name, frame in planned.items():
+            if name not in entry["tables"]:
+                entry["tables"][name] = [self.store.write(frame, state["version"], app.name, name)]
+                entry["schemas"][name] = frame.schema.json()
         self.store.publish(state)
 
     def process_records(self, records: DataFrame, batch: int, stream: str = "records") -> None:
@@ -49,7 +63,7 @@ class Runner:
         version = state["version"] + 1
         records = records.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            arrived = intake(records).collect()
+            arrived = intake(records).collect()  # a row per signal, and what fills the cache
             for row in arrived:
                 total = state["intake"].setdefault(row.signal, {"records": 0, "bytes": 0})
                 total["records"] += row.records
@@ -58,8 +72,7 @@ class Runner:
                 state["unrouted"] += sum(row.records for row in arrived)
             for app in self.apps:
                 self._apply_alone(app, records, state, version)
-            head = records.agg(F.max("position")).first()[0]
-            state["head"] = max(state["head"], head or 0)
+            state["head"] = max([state["head"], *[row.last_position for row in arrived]])
             state["version"], state["batches"][stream] = version, batch
             self.store.publish(state)
         finally:
@@ -89,7 +102,7 @@ class Runner:
     def _entry(app: App, boundary: int = 0) -> dict:
         """State of an app that starts after a position."""
         frontier = Frontier(boundary=boundary, position=boundary).as_dict()
-        return {"frontier": frontier, "tables": {}, "schemas": {}, "revision": app.revision, "sample": []}
+        return {"frontier": frontier, "tables": {}, "schemas": {}, "shape": app.shape(), "revision": app.revision, "sample": []}
 
     def _apply(self, app: App, records: DataFrame, state: dict, version: int) -> None:
         entry = state["apps"].setdefault(app.name, self._entry(app))
