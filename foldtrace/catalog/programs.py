@@ -185,3 +185,24 @@ register(
     "WHEN event_type = 'purchase' AND k % 5 = 0 THEN 'input event: field \"value\": must be a finite number' "
     f"WHEN event_type = 'error' AND k % 3 = 0 THEN 'input event: unknown field \"debug\"' END AS error_reason FROM (SELECT *, {K} AS k FROM events)",
 )
+
+
+def _tags_app(limit: int):
+    """A fold that writes a row per ten of the value, and one that marks the user."""
+    normalize = lambda records: finish_many(records, F.expr("array(named_struct('user', user_id, 'n', CAST(value AS INT) div 10 + 1))"))
+    tags = lambda events: events.select("user", F.explode(F.expr("sequence(1, n)")).alias("tag"), F.lit("upsert").alias("op"), "position", "ordinal")
+    seen = lambda events: events.select("user", F.lit("upsert").alias("op"), "position", "ordinal")
+    rules = {"tags": Rules(("user", "tag")), "seen": Rules(("user",))}
+    return program_app("tags", normalize, rules, [{"tags": tags, "seen": seen}], max_changes=limit)
+
+
+def _too_many_changes(spark, directory) -> DataFrame:
+    app = _tags_app(20)
+    return app.violations(app.normalize(unit_records(spark, directory)), {}).select("position", C("at.o").cast("bigint").alias("ordinal"), "reason")
+
+
+register(
+    "g09_change_limit",
+    _too_many_changes,
+    "SELECT event_id + 1 AS position, 0::BIGINT AS ordinal, 'row changes exceed 20' AS reason FROM events WHERE trunc(value)::BIGINT // 10 + 2 > 20",
+)

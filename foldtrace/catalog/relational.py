@@ -40,9 +40,11 @@ shared(
 shared(
     "r03_case_cast",
     "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS parity, CAST(o_orderkey AS STRING) AS txt, "
-    "CAST(floor(o_orderkey / 7.0) AS BIGINT) AS sevenths FROM {orders}",
+    "o_orderkey div 7 AS sevenths, CAST((100 - o_orderkey) div 7 AS BIGINT) AS below FROM {orders}",
+)
+ORACLE["r03_case_cast"] = ORACLE["r03_case_cast"].replace("o_orderkey div 7", "CAST(trunc(o_orderkey / 7) AS BIGINT)").replace(
+    "(100 - o_orderkey) div 7", "trunc((100 - o_orderkey) / 7)"
 )
-ORACLE["r03_case_cast"] = ORACLE["r03_case_cast"].replace("floor(o_orderkey / 7.0)", "o_orderkey // 7")
 shared(
     "r04_inner_join",
     "SELECT l.l_orderkey, l.l_linenumber, o.o_custkey, c.c_nationkey FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey "

@@ -16,6 +16,9 @@ from ..operators.constraints import Rules
 from ..operators.record_view import effective_events, accepted_records
 from .apps import App
 
+# Fixed value: row changes that one evaluation of a program may give.
+MAX_CHANGES = 1024
+
 # Rows of a table with ``op`` (insert, upsert or delete), made from records or from events.
 Program = Callable[[DataFrame], DataFrame]
 
@@ -28,6 +31,7 @@ class Programs:
     rules: Mapping[str, Rules]
     own: Mapping[str, Program]
     folds: Sequence[Mapping[str, Program]]
+    max_changes: int = MAX_CHANGES
 
     def changes(self, table: str, normalized: DataFrame) -> DataFrame:
         """Ordered changes of a table by the records that were accepted."""
@@ -50,8 +54,22 @@ class Programs:
 
         return {table: partial(build, table) for table in self.rules}
 
+    def oversized(self, normalized: DataFrame) -> DataFrame:
+        """Evaluations with more than ``max_changes`` row changes over all tables: (position, at, reason).
+
+        An evaluation is a program over one record or event.  It is refused whole, so its place in
+        the order is before its first change.
+        """
+        parts = [self.changes(table, normalized).select("position", "ordinal", "step") for table in self.rules]
+        merged = parts[0]
+        for part in parts[1:]:
+            merged = merged.unionByName(part)
+        found = merged.groupBy("position", "ordinal", "step").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > self.max_changes)
+        at = F.struct(F.col("position").alias("p"), F.col("ordinal").alias("o"), F.col("step").alias("s"), F.lit(-1).alias("r"))
+        return found.select("position", at.alias("at"), F.lit(f"row changes exceed {self.max_changes}").alias("reason"))
+
     def violations(self, normalized: DataFrame, prior: Mapping[str, DataFrame]) -> DataFrame | None:
-        found = None
+        found = self.oversized(normalized) if self.rules else None
         for table, rules in self.rules.items():
             bad = constraints.violations(table, self.changes(table, normalized), rules, prior.get(table))
             found = bad if found is None else found.unionByName(bad)
@@ -65,12 +83,13 @@ def program_app(
     folds: Sequence[Mapping[str, Program]] = (),
     own: Mapping[str, Program] | None = None,
     revision: str = "1",
+    max_changes: int = MAX_CHANGES,
 ) -> App:
     """An app whose normalizer gives ``events`` (see ``record_view.finish_many``).
 
     Every program keeps ``position`` and, for folds, ``ordinal`` of the rows it reads.
     """
-    programs = Programs(rules, own or {}, folds)
+    programs = Programs(rules, own or {}, folds, max_changes)
     return App(
         name,
         normalize,

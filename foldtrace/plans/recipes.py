@@ -103,10 +103,16 @@ def session_labels(detail: DataFrame) -> DataFrame:
 
 
 def guard_cost(progress: DataFrame, cost: DataFrame) -> DataFrame:
-    """Actions and cost of the sessions that both apps know, with when they were last seen."""
+    """Actions, tokens and cost of the sessions that both apps know."""
     key = ["harness", "session_id"]
     actions = progress.select(*key, "total_actions", "consecutive_failures", "no_progress_count")
-    return actions.join(cost.select(*key, "input_tokens", "output_tokens", "cost_microusd"), key)
+    return actions.join(cost.select(*key, *TOKENS, "cost_microusd"), key).orderBy(*key)
+
+
+def coverage_by_capability(coverage: DataFrame) -> DataFrame:
+    """What each harness was seen to report, and since when."""
+    seen = [f"{end}_seen_unix_nano" for end in ("first", "last")]
+    return coverage.select("harness", "capability", "state", "reason", *seen, "last_source_position").orderBy("harness", "capability")
 
 
 def stalled_sessions(progress: DataFrame, before_nanos: str) -> DataFrame:
@@ -126,8 +132,14 @@ def urls_due(observations: DataFrame, verdicts: DataFrame, provider: str, now_na
     return due.select("observed_full", "host", "last_observed_unix_nano", *[name for name in context if name in due.columns])
 
 
+def due_listing(observations: DataFrame, verdicts: DataFrame, provider: str, now_nanos: str) -> DataFrame:
+    """``urls_due``, those observed longest ago first."""
+    return urls_due(observations, verdicts, provider, now_nanos).orderBy("last_observed_unix_nano", "observed_full")
+
+
 def enabled_exclusions(exclusions: DataFrame) -> DataFrame:
-    return exclusions.where(C("enabled") == 1).select("exclusion_id", "kind", "pattern", "updated_unix_nano")
+    rows = exclusions.where(C("enabled") == 1).select("exclusion_id", "kind", "pattern", "updated_unix_nano")
+    return rows.orderBy("kind", "pattern", "exclusion_id")
 
 
 def failed_commands(failures: DataFrame) -> DataFrame:

@@ -126,3 +126,22 @@ def test_bound_of_events(spark, count):
     gap = lifecycle.gap_frame(app, app.normalize(frame), {}).first()
     assert gap.reason == ("more than 256 events" if count > 256 else None)
     assert app.normalize(frame).first().effective == (count > 0)
+
+
+def test_an_evaluation_with_too_many_changes_stops_the_app(spark):
+    """Changes count over all tables of one program and event, and are refused before the first of them."""
+    made = [(1, 2), (2, 3), (3, 4), (4, 9)]
+    records = spark.createDataFrame([(p, f"r{p}", "log", "n", "s", n) for p, n in made], "position long, event_id string, signal string, name string, source string, n int")
+    normalize = lambda frame: finish_many(frame, F.expr("array(named_struct('n', 1), named_struct('n', n))"))
+    tags = lambda events: events.select(F.explode(F.expr("sequence(1, n)")).alias("tag"), F.lit("upsert").alias("op"), "position", "ordinal")
+    seen = lambda events: events.select("n", F.lit("upsert").alias("op"), "position", "ordinal")
+    rules = {"tags": Rules(("tag",), checks={"tag > 0": "tag > 0", "never": "tag < 0 OR position < 3"}), "seen": Rules(("n",))}
+    app = program_app("tags", normalize, rules, [{"tags": tags, "seen": seen}, {"seen": seen}], max_changes=4)
+    normalized = app.normalize(records)
+    broken = {(row.position, row.at.o, row.at.s) for row in app.violations(normalized, {}).where("reason = 'row changes exceed 4'").collect()}
+    assert broken == {(3, 1, 0), (4, 1, 0)}
+    assert lifecycle.first_gap(app, normalized, {}) == (3, "CHECK constraint failed: never")  # the event before it
+    late = program_app("tags", lambda frame: normalize(frame).where("position > 0"), {"tags": Rules(("tag",), checks={"never": "tag < 2"}), "seen": Rules(("n",))}, [{"tags": tags, "seen": seen}], max_changes=4)
+    assert lifecycle.first_gap(late, late.normalize(records.where("position > 2")), {}) == (3, "row changes exceed 4")
+    roomy = program_app("tags", normalize, {"tags": Rules(("tag",)), "seen": Rules(("n",))}, [{"tags": tags, "seen": seen}])
+    assert lifecycle.first_gap(roomy, normalized, {}) is None
