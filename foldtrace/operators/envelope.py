@@ -14,7 +14,7 @@ A null text is not decodable.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -55,6 +55,14 @@ def _as(value: Column, kind: str) -> Column:
     return F.try_variant_get(value, "$", kind)
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, as the variable of a lambda.
+
+    Branches of a condition share nothing in generated code: each would parse and cast again.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _field_error(value: Column, declared: Field) -> Column:
     if declared.kind in SCALARS:
         return value_error(value, declared.kind, not declared.nullable)
@@ -80,7 +88,11 @@ def object_error(value: Column, fields: Sequence[Field]) -> Column:
     names = [declared.name for declared in fields]
     if len(set(names)) != len(names):
         raise ValueError(f"fields {names} repeat a name")
-    members = _as(value, "map<string,variant>")
+    return _once(_as(value, "map<string,variant>"), lambda members: _members_error(members, fields))
+
+
+def _members_error(members: Column, fields: Sequence[Field]) -> Column:
+    names = [declared.name for declared in fields]
     errors = [F.when(members.isNull(), "must be a non-null object")]
     for declared in sorted(fields, key=lambda item: item.name):
         member = F.try_element_at(members, F.lit(declared.name))
@@ -131,13 +143,12 @@ class Envelope:
 
     def error(self, text: Column) -> Column:
         """Reason why a text does not fit."""
-        value = F.try_parse_json(text)
-        members = _as(value, "map<string,variant>")
-        errors = [
-            F.when(F.octet_length(text) > self.max_bytes, F.concat(F.lit("evaluation "), oversized(text, self.max_bytes))),
-            depth_error(text, self.max_depth),
-            F.when(members.isNull(), "evaluation input is not a JSON object"),
-        ]
+        too_long = F.when(F.octet_length(text) > self.max_bytes, F.concat(F.lit("evaluation "), oversized(text, self.max_bytes)))
+        members = _as(F.try_parse_json(text), "map<string,variant>")
+        return _first([too_long, depth_error(text, self.max_depth), _once(members, self._error)])
+
+    def _error(self, members: Column) -> Column:
+        errors = [F.when(members.isNull(), "evaluation input is not a JSON object")]
         fields = self._fields()
         for declared in fields:
             member = F.try_element_at(members, F.lit(declared.name))
