@@ -23,3 +23,11 @@ def test_a_cost_scaled_beyond_64_bits(spark, tmp_path):
     folder = tables(spark, tmp_path, events=events((1, 4, 200000.0), (2, 4, 0.01), (3, 8, 0.5)))
     rows = all_queries()["q08_result_typing"](spark, folder).collect()
     assert {r.session_id: r.scaled for r in rows} == {"s4": '{"integer_decimal":"20000001000000000000"}', "s8": "50000000000000"}
+
+
+def test_a_declared_integer_beyond_64_bits(spark, tmp_path):
+    customers = [(1,), (9,), (10,), (20000,)]
+    folder = tables(spark, tmp_path, events=events((1, 20000, 60.0), (2, 9, 1.0), (3, 5, 1.0)), customer=(customers, "c_custkey long"))
+    rows = all_queries()["q08_typed_by_contract"](spark, folder).collect()
+    assert {r.event_id: r.account for r in rows} == {"1": '{"integer_decimal":"20000000000000000000"}', "2": "9000000000000000", "3": None}
+    assert {r.account_type for r in rows} == {"INTEGER"}
