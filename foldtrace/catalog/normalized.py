@@ -385,7 +385,7 @@ register(
     "x12_codec",
     lambda spark, directory: _numbers(spark, directory).select(
         "event_id",
-        values_kit.wrap_integer(C("event_id") * F.lit(3000000000000)).alias("wrapped"),
+        values_kit.wrap_integer(values_kit.exact_product(C("event_id"), 3000000000000)).alias("wrapped"),
         values_kit.wrap_bytes(C("event_type").cast("binary")).alias("bytes"),
         values_kit.finite(C("value") / F.nullif(C("event_id") % 2, F.lit(0))).alias("finite"),
     ),

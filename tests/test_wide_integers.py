@@ -31,3 +31,12 @@ def test_a_declared_integer_beyond_64_bits(spark, tmp_path):
     rows = all_queries()["q08_typed_by_contract"](spark, folder).collect()
     assert {r.event_id: r.account for r in rows} == {"1": '{"integer_decimal":"20000000000000000000"}', "2": "9000000000000000", "3": None}
     assert {r.account_type for r in rows} == {"INTEGER"}
+
+
+LAST = (2**63 - 1) // 3_000_000_000_000
+WIDE = [(LAST - 1, 1, 1.5), (LAST, 2, 2.5), (LAST + 1, 3, 3.5), (6_000_000, 4, 4.5)]
+
+
+def test_the_codec_wraps_a_product_beyond_64_bits(spark, tmp_path):
+    rows = all_queries()["x12_codec"](spark, tables(spark, tmp_path, events=events(*WIDE))).collect()
+    assert {r.event_id: r.wrapped for r in rows} == {k: f'{{"integer_decimal":"{k * 3_000_000_000_000}"}}' for k, _, _ in WIDE}
