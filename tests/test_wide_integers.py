@@ -40,3 +40,13 @@ WIDE = [(LAST - 1, 1, 1.5), (LAST, 2, 2.5), (LAST + 1, 3, 3.5), (6_000_000, 4, 4
 def test_the_codec_wraps_a_product_beyond_64_bits(spark, tmp_path):
     rows = all_queries()["x12_codec"](spark, tables(spark, tmp_path, events=events(*WIDE))).collect()
     assert {r.event_id: r.wrapped for r in rows} == {k: f'{{"integer_decimal":"{k * 3_000_000_000_000}"}}' for k, _, _ in WIDE}
+
+
+def test_requests_with_products_beyond_64_bits_are_admitted(spark, tmp_path):
+    folder = tables(spark, tmp_path, events=events(*WIDE))
+    found = all_queries()
+    rows = found["s04_any_values"](spark, folder).orderBy("position").collect()
+    assert [(r.position, r.value, r.big) for r in rows] == [(n + 1, v, str(k * 3_000_000_000_000)) for n, (k, _, v) in enumerate(WIDE)]
+    for name in ("s02_span_records", "s10_content_digest"):
+        assert found[name](spark, folder).count() == len(WIDE)
+    assert {r.rejected for r in found["s11_record_bounds"](spark, folder).collect()} == {None}
