@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -159,3 +160,16 @@ def test_values_and_refusals_through_spark(spark):
     refused = {r.request_line: (r.signal, r.rejected, r.body) for r in otlp.rejected(frame).collect()}
     assert refused[1] == ("log", "record: attribute key is duplicated", bodies[1])
     assert [refused[k][1] for k in (4, 98, 99)] == ["malformed request"] * 3 and refused[99][0] == "trace" and refused[98][0] is None
+
+
+def test_a_batch_is_decoded_as_its_pieces_leave(monkeypatch):
+    bodies, walked = [with_value({"stringValue": "x" * 200})] * 40, []
+    monkeypatch.setattr(otlp, "PIECE_CHARS", 1000)
+    monkeypatch.setattr(otlp, "canonical_texts", lambda *given: walked.append(1) or canonical_texts(*given))
+    batch = pa.RecordBatch.from_pydict({"signal": ["log"] * 40, "body": bodies})
+    layout = pa.schema([*batch.schema, pa.field("records", pa.list_(pa.string())), pa.field("rejected", pa.string())])
+    rows = 0
+    for piece in otlp._decoder(layout, Limits())(iter([batch])):
+        rows += piece.num_rows
+        assert len(walked) == rows and piece.num_rows < 10
+    assert rows == 40
