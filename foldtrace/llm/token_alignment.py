@@ -48,7 +48,7 @@ MAX_VOCABULARY_BYTES = 64 << 20
 #: So many pairs are broadcast at a time (about 60 MB in the driver and in each executor).
 SLICE_PAIRS = 1_000_000
 #: Units that a Python worker keeps between batches, twice (about 300 bytes each), and the longest it keeps.
-KEPT_UNITS = 100_000
+KEPT_UNITS = 300_000
 KEPT_CHARS = 100
 #: A batch is worked off in stretches of about so many characters, of which so many units are
 #: encoded at once.
@@ -118,7 +118,7 @@ def sliced(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """
     index_a = dict(zip(ends_a.tolist(), range(1, len(ends_a) + 1)))
     index_b = dict(zip(ends_b.tolist(), range(1, len(ends_b) + 1)))
-    common = sorted(index_a.keys() & index_b.keys())
+    common = [end for end in index_b if end in index_a]  # ends ascend, and so does their dictionary
     upto_a = np.fromiter(map(index_a.__getitem__, common), np.int64, len(common))
     upto_b = np.fromiter(map(index_b.__getitem__, common), np.int64, len(common))
     ends = np.union1d(ends_a, ends_b)

@@ -113,3 +113,12 @@ def test_dictionary_of_most_linked_ids(spark, tokenizers):
     best = {(r.id_b, r.id_a): r["count"] for r in ta.most_linked(frame).collect()}
     (a,), (b,) = tokenizers.a.encode(" the").ids, tokenizers.b.encode("the")
     assert best[b, a] == 3
+
+
+def test_units_are_kept_over_a_quarter_of_a_million_others():
+    from foldtrace.llm.token_alignment import Kept
+
+    kept = Kept()
+    for k in range(250_000):
+        kept.put(f"unit{k}", (k,))
+    assert kept.get("unit0") == (0,)
