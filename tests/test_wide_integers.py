@@ -50,3 +50,18 @@ def test_requests_with_products_beyond_64_bits_are_admitted(spark, tmp_path):
     for name in ("s02_span_records", "s10_content_digest"):
         assert found[name](spark, folder).count() == len(WIDE)
     assert {r.rejected for r in found["s11_record_bounds"](spark, folder).collect()} == {None}
+
+
+def test_every_ingest_query_runs_on_products_beyond_64_bits(spark, tmp_path):
+    folder = tables(spark, tmp_path, events=events(*WIDE))
+    found = all_queries()
+    rows = {name: found[name](spark, folder).collect() for name in found if name.startswith("s0") or name in ("s10_content_digest", "s11_record_bounds")}
+    # All are purchases; a metric of an odd event has a second point.
+    points = len(WIDE) + sum(event % 2 for event, _, _ in WIDE)
+    whole = {"s01_log_records", "s02_span_records", "s03_distribution_points", "s04_any_values", "s04_deep_values", "s06_resource_scope", "s10_content_digest"}
+    assert {name: len(rows[name]) for name in whole} == dict.fromkeys(whole, len(WIDE))
+    assert len(rows["s03_metric_points"]) == points
+    assert sum(r.records for r in rows["s07_source_names"]) == sum(r.records for r in rows["s08_log_event_names"]) == len(WIDE)
+    assert [r.observed for r in rows["s09_optional_times"]] == [len(WIDE)]
+    assert {r.rejected for r in rows["s11_record_bounds"]} == {None}
+    assert rows["s05_rejected_attributes"] == []
